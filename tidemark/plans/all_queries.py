@@ -1,6 +1,11 @@
 """Imports every query module; the registry fills as a side effect."""
 
-from tidemark.plans import panel_queries, window_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    check_queries,
+    panel_queries,
+    scalar_queries,
+    window_queries,
+)
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
