@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     check_queries,
+    metric_queries,
     panel_queries,
     scalar_queries,
     window_queries,

@@ -21,3 +21,9 @@ def sr6(expr: str, alias: str) -> str:
 
 def quoted(*names: str) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
+
+
+def config_rows(spark, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A configuration table of a few literal rows."""
+    cells = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    return spark.range(1).select(F.explode(cells).alias("r")).select("r.*")

@@ -166,3 +166,13 @@ class Inputs:
         return splits.stratified_bootstrap(
             self.targets.select("stay", "case").distinct(), draws=QUERY_DRAWS, salt="boot"
         )
+
+    @cached_property
+    def risk_scores(self) -> DataFrame:
+        ev, d = F.col("event"), F.col("day")
+        grp = (F.when(ev.isNull(), "none").when(ev < F.col("idx"), "c").when(ev - F.col("idx") <= 3, "b").otherwise("a"))
+        noise = hash32(F.lit("rs"), "repeat", "entity", "day") / F.lit(4294967296.0)
+        near = F.when(ev.isNull(), 0.0).otherwise(F.lit(1.0) / (ev - d))
+        rows = self.risk.withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(1, 6)])))
+        return rows.select("*", ev.isNotNull().cast("int").alias("case"), grp.alias("grp"),
+                           (F.lit(0.7) * noise + F.lit(0.3) * near).alias("probability"))

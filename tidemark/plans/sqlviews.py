@@ -74,6 +74,12 @@ SELECT t.repeat, t.row_key, t.stay, t.y, t.pod, t."case", t.fold, a.arm,
                   ELSE {h32("concat_ws('|', 'noise', t.repeat, t.row_key)")} / 4294967296e0 END AS probability
 FROM f_targets t, (SELECT unnest(['ties', 'fine', 'noise']) AS arm) a""",
     "f_mult": "",
+    "f_risk_scores": f"""
+SELECT k.*, CAST(r.r AS INTEGER) AS repeat, CASE WHEN event IS NULL THEN 0 ELSE 1 END AS "case",
+       CASE WHEN event IS NULL THEN 'none' WHEN event < idx THEN 'c' WHEN event - idx <= 3 THEN 'b' ELSE 'a' END AS grp,
+       0.7e0 * ({h32("concat_ws('|', 'rs', r.r, entity, day)")} / 4294967296e0)
+         + 0.3e0 * (CASE WHEN event IS NULL THEN 0e0 ELSE 1e0 / (event - day) END) AS probability
+FROM f_risk k, (SELECT unnest(range(1, 6)) AS r) r""",
 }
 
 
@@ -96,5 +102,5 @@ JOIN (SELECT stay, "case" AS case2, row_number() OVER (PARTITION BY "case" ORDER
 
 
 #: Draw count of the registered resampling queries (a parameter; the contract default is 2,000).
-QUERY_DRAWS = 12
+QUERY_DRAWS = 6
 SQL_VIEWS["f_mult"] = mult_sql(QUERY_DRAWS)
