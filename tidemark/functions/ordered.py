@@ -19,15 +19,15 @@ _BLOCK = "__block"
 _RESOLUTION = 4096
 
 
-def value_block(c: Column | str) -> Column:
-    """Order-preserving block of a double: 4,096 equal steps inside every power of two.
+def value_block(c: Column | str, resolution: int = _RESOLUTION) -> Column:
+    """Order-preserving block of a double: ``resolution`` equal steps inside every power of two.
 
     Follows the values' own magnitude, so scores crowded near zero still spread out.
     """
     x = as_col(c).cast("double")
     a = F.abs(x)
     e = F.floor(F.log2(a))
-    step = (e + 1100) * _RESOLUTION + F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * _RESOLUTION)
+    step = (e + 1100) * resolution + F.floor((a / F.pow(F.lit(2.0), e.cast("double")) - 1) * resolution)
     return F.when(x == 0, F.lit(0).cast("long")).otherwise((F.signum(x) * step).cast("long"))
 
 
@@ -52,7 +52,9 @@ def running(
     maxes = {k: as_col(v) for k, v in (maxes or {}).items()}
     group = list(group)
     end = -1 if before else Window.currentRow
-    keyed = df.withColumn(_BLOCK, block)
+    # both branches below read this one exchange (same columns on both sides, so Spark reuses it)
+    keyed = df.withColumn(_BLOCK, F.coalesce(block.cast("long"), F.lit(-(2**62)))).repartition(*group, _BLOCK)
+    used = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
 
     inner = Window.partitionBy(*group, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = keyed.select(
@@ -62,19 +64,21 @@ def running(
     )
 
     per_block = keyed.groupBy(*group, _BLOCK).agg(
-        *[F.sum(c).alias(k) for k, c in sums.items()], *[F.max(c).alias(k) for k, c in maxes.items()]
+        *[F.sum(c).alias(k) for k, c in sums.items()], *[F.max(c).alias(k) for k, c in maxes.items()],
+        F.max(used).alias("__used"),
     )
     outer = Window.partitionBy(*group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     offsets = per_block.select(
         *group,
         _BLOCK,
+        "__used",
         *[F.coalesce(F.sum(k).over(outer), F.lit(0)).alias(f"__o_{k}") for k in sums],
         *[F.max(k).over(outer).alias(f"__o_{k}") for k in maxes],
         *([F.coalesce(F.sum(k).over(whole), F.lit(0)).alias(f"{k}_total") for k in sums] if totals else []),
     )
     keep = [c for c in df.columns if c not in sums and c not in maxes]
-    return local.join(offsets, [*group, _BLOCK]).select(
+    return local.join(offsets, [*group, _BLOCK]).where(F.col("__used").isNotNull()).select(
         *keep,
         *[(F.col(f"__l_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums],
         *[F.greatest(f"__l_{k}", f"__o_{k}").alias(k) for k in maxes],

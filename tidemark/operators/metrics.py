@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.contract import MIN_EFFECT, REL_DAY_BINS, bin_label, valid_floor
 from tidemark.functions.ordered import exact_quantiles, running, value_block
 from tidemark.functions.scalars import expit, logit
+from tidemark.operators.resample import SCOPES, resampled_metrics
 
 METRIC_COLUMNS = ("auc", "ap", "brier")
-SCOPES = ("total", "post", "pre", "cross")
 #: metric name -> (scope, statistic)
 METRICS = {
     "AUROC_total": ("total", "auc"),
@@ -136,29 +136,11 @@ def auc_decomposition(df: DataFrame, group: Sequence[str], *, four_cells: bool,
 # --- draws and intervals ---
 
 
-def drawn_metrics(
-    df: DataFrame, mult: DataFrame, group: Sequence[str], *, score: str = "probability", entity: str = "stay"
-) -> DataFrame:
-    """The eight metrics per draw: rows weighted by the entity multiplicity shared by all arms and repeats.
-
-    Rows are merged to (entity, group, phase, score) sums before they meet the draws.
-    """
-    phased = df.withColumn("post", (F.col("pod") >= 0).cast("int"))
-    compact = phased.groupBy(entity, *group, "pod", score, "y").agg(F.count("*").alias("__c"))
-    w = compact.join(mult.select("draw", entity, "m"), entity).withColumn("__w", F.col("__c") * F.col("m"))
-    return phase_metrics(w, ["draw", *group], weight="__w", score=score)
-
-
-def percentile_intervals(
-    samples: DataFrame, group: Sequence[str], *, value: str, draws: int, minimum: int | None = None
-) -> DataFrame:
-    """Percentile 95 % interval per group with valid and undefined draw counts; NULL below ``minimum`` valid draws."""
-    need = valid_floor(draws) if minimum is None else minimum
-    q = exact_quantiles(samples, group, value, {"lo": 0.025, "hi": 0.975})
-    base = samples.select(*group).distinct().join(q, list(group), "left")
-    n = F.coalesce("n", F.lit(0))
-    return base.select(*group, n.cast("long").alias("valid_draws"), (F.lit(draws) - n).cast("long").alias("undefined_draws"),
-                       F.when(n >= need, F.col("lo")).alias("ci_lo"), F.when(n >= need, F.col("hi")).alias("ci_hi"))
+def long_metrics(m: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Scope statistics -> (group, metric, value) for the eight metrics."""
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(sc).alias("s"), F.col(st).alias("value"))
+                     for n, (sc, st) in METRICS.items()])
+    return m.select(*group, "scope", F.explode(rows).alias("r")).where("scope = r.s").select(*group, "r.metric", "r.value")
 
 
 def equal_repeat(df: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
@@ -166,45 +148,77 @@ def equal_repeat(df: DataFrame, group: Sequence[str], value: str = "value") -> D
     return df.groupBy(*group).agg(F.when(F.count(value) == F.count(F.lit(1)), F.avg(value)).alias(value))
 
 
-def contrast(values: DataFrame, contrasts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """arm minus reference per contrast row (arm, reference, metric)."""
-    keys = list(keys)
-    a = values.select(*keys, "arm", "metric", F.col("value").alias("__a"))
-    b = values.select(*keys, F.col("arm").alias("reference"), "metric", F.col("value").alias("__b"))
-    return contrasts.join(a, ["arm", "metric"]).join(b, [*keys, "reference", "metric"]).select(
-        *keys, "arm", "reference", "metric", (F.col("__a") - F.col("__b")).alias("delta"))
+def drawn_arm_metrics(
+    scores: DataFrame, mult: DataFrame, *, draws: int, entity: str = "stay"
+) -> DataFrame:
+    """(draw, arm, metric, value): equal-repeat means of the eight metrics; draw 0 is the unweighted point."""
+    m = resampled_metrics(scores, mult, ["repeat", "arm"], draws=draws, entity=entity)
+    return equal_repeat(long_metrics(m, ["draw", "repeat", "arm"]), ["draw", "arm", "metric"])
 
 
-def simultaneous_intervals(
-    estimates: DataFrame, samples: DataFrame, key: Sequence[str], *, draws: int, minimum: int | None = None
+def interval_summary(
+    values: DataFrame, key: Sequence[str], *, value: str, draws: int, minimum: int | None = None
 ) -> DataFrame:
-    """Family-wise band: q = 95th percentile over jointly valid draws of the largest centred error; estimate +/- q."""
+    """Per key from rows (draw, key, value): estimate (draw 0), valid and undefined draws, percentile 95 % interval.
+
+    A group holds at most ``draws`` + 1 rows. The interval is NULL below ``minimum`` valid draws or
+    without an estimate.
+    """
+    need = valid_floor(draws) if minimum is None else minimum
+    v = F.when(F.col("draw") > 0, F.col(value))
+    g = values.groupBy(*key).agg(
+        F.max(F.when(F.col("draw") == 0, F.col(value))).alias("estimate"), F.count(v).alias("valid_draws"),
+        F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
+    ok = (F.col("valid_draws") >= need) & F.col("estimate").isNotNull()
+    return g.select(*key, "estimate", "valid_draws", (F.lit(draws) - F.col("valid_draws")).alias("undefined_draws"),
+                    F.when(ok, F.col("__q")[0]).alias("ci_lo"), F.when(ok, F.col("__q")[1]).alias("ci_hi"))
+
+
+def contrast(values: DataFrame, contrasts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """arm minus reference per contrast row (arm, reference, metric) and key; undefined sides stay undefined."""
+    sides = F.array(F.struct(F.col("arm").alias("side"), F.lit(1.0).alias("sign")),
+                    F.struct(F.col("reference").alias("side"), F.lit(-1.0).alias("sign")))
+    c = contrasts.select("arm", "reference", F.col("metric").alias("__m"), F.explode(sides).alias("s")).select(
+        "arm", "reference", "__m", "s.side", "s.sign")
+    v = values.withColumnRenamed("arm", "side")
+    j = v.join(c, (v.side == c.side) & (v.metric == c["__m"]))
+    d = F.when(F.count("value") == 2, F.sum(F.col("value") * F.col("sign")))
+    return j.groupBy(*keys, "arm", "reference", "metric").agg(d.alias("delta"))
+
+
+def simultaneous_summary(
+    deltas: DataFrame, key: Sequence[str], *, draws: int, minimum: int | None = None
+) -> DataFrame:
+    """Estimates with percentile and family-wise intervals from rows (draw, key, delta), draw 0 the estimate.
+
+    q = 95th percentile over jointly valid draws of the largest centred error in the family; the
+    band is estimate +/- q. Windows hold one family per draw, or all draws of one contrast.
+    """
     need = valid_floor(draws) if minimum is None else minimum
     key = list(key)
-    n_family = estimates.agg(F.count("delta").alias("n"), F.count("*").alias("all"))
-    j = samples.select("draw", *key, F.col("delta").alias("__s")).join(estimates.select(*key, "delta"), key)
-    per = j.groupBy("draw").agg(F.max(F.abs(F.col("__s") - F.col("delta"))).alias("err"), F.count("__s").alias("__n"))
-    complete = per.where(F.col("__n") == n_family.select("all").scalar()).withColumn("__g", F.lit(0))
-    q = exact_quantiles(complete, ["__g"], "err", {"q": 0.95})
-    enough = F.col("n") >= need
-    band = q.select(F.when(enough, F.col("q")).alias("q"), F.col("n").alias("n"))
-    width, common = band.select("q").scalar(), band.select("n").scalar()
-    return estimates.select(*key, "delta", F.coalesce(common, F.lit(0)).cast("long").alias("common_valid_draws"), width.alias("q"),
-                            (F.col("delta") - width).alias("sim_lo"), (F.col("delta") + width).alias("sim_hi"))
+    est = F.max(F.when(F.col("draw") == 0, F.col("delta"))).over(Window.partitionBy(*key))
+    per_draw = Window.partitionBy("draw")
+    e = deltas.withColumn("__est", est).withColumn("__err", F.abs(F.col("delta") - F.col("__est")))
+    e = e.select("*", F.max("__err").over(per_draw).alias("__max"),
+                 (F.count("__err").over(per_draw) == F.count(F.lit(1)).over(per_draw)).alias("__joint"))
+    v = F.when(F.col("draw") > 0, F.col("delta"))
+    joint = F.when((F.col("draw") > 0) & F.col("__joint"), F.col("__max"))
+    g = e.groupBy(*key).agg(
+        F.max("__est").alias("delta"), F.count(v).alias("valid_draws"), F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"),
+        F.count(joint).alias("common_valid_draws"), F.percentile(joint, 0.95).alias("__band"))
+    ok, ok_all = F.col("valid_draws") >= need, F.col("common_valid_draws") >= need
+    q = F.when(ok_all, F.col("__band"))
+    return g.select(*key, "delta", "common_valid_draws", q.alias("q"), (F.col("delta") - q).alias("sim_lo"), (F.col("delta") + q).alias("sim_hi"),
+                    "valid_draws", (F.lit(draws) - F.col("valid_draws")).alias("undefined_draws"),
+                    F.when(ok, F.col("__q")[0]).alias("ci_lo"), F.when(ok, F.col("__q")[1]).alias("ci_hi"))
 
 
 def paired_evaluation(
     scores: DataFrame, mult: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None
 ) -> DataFrame:
     """Per contrast: equal-repeat difference, percentile interval, simultaneous interval."""
-    point = equal_repeat(phase_metrics(scores, ["repeat", "arm"]), ["arm", "metric"])
-    drawn = equal_repeat(drawn_metrics(scores, mult, ["repeat", "arm"]), ["draw", "arm", "metric"])
-    est = contrast(point, contrasts)
-    smp = contrast(drawn, contrasts, ["draw"])
-    key = ["arm", "reference", "metric"]
-    ci = percentile_intervals(smp, key, value="delta", draws=draws, minimum=minimum)
-    sim = simultaneous_intervals(est, smp, key, draws=draws, minimum=minimum)
-    return sim.join(ci, key, "left")
+    deltas = contrast(drawn_arm_metrics(scores, mult, draws=draws), contrasts, ["draw"])
+    return simultaneous_summary(deltas, ["arm", "reference", "metric"], draws=draws, minimum=minimum)
 
 
 def promotion(
@@ -226,10 +240,7 @@ def promotion(
 
 def arm_intervals(scores: DataFrame, mult: DataFrame, *, draws: int, minimum: int | None = None) -> DataFrame:
     """Single-arm estimates with descriptive intervals on the shared draws."""
-    key = ["arm", "metric"]
-    point = equal_repeat(phase_metrics(scores, ["repeat", "arm"]), key).withColumnRenamed("value", "estimate")
-    drawn = equal_repeat(drawn_metrics(scores, mult, ["repeat", "arm"]), ["draw", *key])
-    return point.join(percentile_intervals(drawn, key, value="value", draws=draws, minimum=minimum), key, "left")
+    return interval_summary(drawn_arm_metrics(scores, mult, draws=draws), ["arm", "metric"], value="value", draws=draws, minimum=minimum)
 
 
 def rel_bin_label(pod: Column) -> Column:
@@ -239,27 +250,25 @@ def rel_bin_label(pod: Column) -> Column:
     return out
 
 
+def _binned(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("bin", rel_bin_label(F.col("pod"))).where("bin is not null")
+
+
 def binned_metrics(
     scores: DataFrame, mult: DataFrame, *, draws: int, minimum: int | None = None, support: int = 10, entity: str = "stay"
 ) -> DataFrame:
     """Metrics per rel-day bin and arm. AUC needs ``support`` positive and negative entities in every repeat."""
-    b = scores.withColumn("bin", rel_bin_label(F.col("pod"))).where("bin is not null")
+    b = _binned(scores)
     ent = b.groupBy("repeat", "arm", "bin", entity).agg(F.max("y").alias("p"), F.min("y").alias("q"))
     sup = ent.groupBy("repeat", "arm", "bin").agg(
         F.sum("p").alias("positive_entities"), F.count_if(F.col("q") == 0).alias("negative_entities"))
     ok = sup.groupBy("arm", "bin").agg(
         F.min((F.col("positive_entities") >= support) & (F.col("negative_entities") >= support)).alias("supported"))
+    m = resampled_metrics(b, mult, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRIC_COLUMNS])
     key = ["arm", "bin", "metric"]
-
-    def stats(m: DataFrame, group: Sequence[str]) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRIC_COLUMNS])
-        return equal_repeat(m.select(*group, F.explode(rows).alias("r")).select(*group, "r.*"), [g for g in group if g != "repeat"] + ["metric"])
-
-    point = stats(rank_metrics(b, ["repeat", "arm", "bin"]), ["repeat", "arm", "bin"]).withColumnRenamed("value", "estimate")
-    compact = b.groupBy(entity, "repeat", "arm", "bin", "probability", "y").agg(F.count("*").alias("__c"))
-    w = compact.join(mult.select("draw", entity, "m"), entity).withColumn("__w", F.col("__c") * F.col("m"))
-    drawn = stats(rank_metrics(w, ["draw", "repeat", "arm", "bin"], weight="__w"), ["draw", "repeat", "arm", "bin"])
-    out = point.join(percentile_intervals(drawn, key, value="value", draws=draws, minimum=minimum), key, "left").join(ok, ["arm", "bin"])
+    values = equal_repeat(m.select("draw", "arm", "bin", F.explode(rows).alias("r")).select("draw", "arm", "bin", "r.*"), ["draw", *key])
+    out = interval_summary(values, key, value="value", draws=draws, minimum=minimum).join(ok, ["arm", "bin"])
     hide = (F.col("metric") == "auc") & ~F.col("supported")
     return out.select(*key, "valid_draws", *[F.when(~hide, F.col(c)).alias(c) for c in ("estimate", "ci_lo", "ci_hi")],
                       F.col("supported").cast("int").alias("supported"))
@@ -269,20 +278,12 @@ def binned_gains(
     scores: DataFrame, mult: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None, entity: str = "stay"
 ) -> DataFrame:
     """Paired AUC gains per rel-day bin on the shared draws. ``contrasts`` has (arm, reference)."""
-    b = scores.withColumn("bin", rel_bin_label(F.col("pod"))).where("bin is not null")
-
-    def gains(m: DataFrame, keys: list[str]) -> DataFrame:
-        v = equal_repeat(m.withColumnRenamed("auc", "value"), [*keys, "bin", "arm"]).withColumn("metric", F.col("bin"))
-        c = contrasts.select("arm", "reference").withColumn(
-            "metric", F.explode(F.array(F.lit("pre"), *[F.lit(bin_label(lo, hi)) for lo, hi in REL_DAY_BINS])))
-        return contrast(v, c, keys).withColumnRenamed("metric", "bin")
-
-    point = gains(rank_metrics(b, ["repeat", "arm", "bin"]), [])
-    compact = b.groupBy(entity, "repeat", "arm", "bin", "probability", "y").agg(F.count("*").alias("__c"))
-    w = compact.join(mult.select("draw", entity, "m"), entity).withColumn("__w", F.col("__c") * F.col("m"))
-    drawn = gains(rank_metrics(w, ["draw", "repeat", "arm", "bin"], weight="__w"), ["draw"])
-    key = ["arm", "reference", "bin"]
-    return point.join(percentile_intervals(drawn, key, value="delta", draws=draws, minimum=minimum), key, "left")
+    m = resampled_metrics(_binned(scores), mult, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    values = equal_repeat(m.select("draw", "arm", F.col("bin").alias("metric"), F.col("auc").alias("value")), ["draw", "arm", "metric"])
+    bins = F.array(F.lit("pre"), *[F.lit(bin_label(lo, hi)) for lo, hi in REL_DAY_BINS])
+    deltas = contrast(values, contrasts.select("arm", "reference", F.explode(bins).alias("metric")), ["draw"])
+    out = interval_summary(deltas, ["arm", "reference", "metric"], value="delta", draws=draws, minimum=minimum)
+    return out.withColumnsRenamed({"metric": "bin", "estimate": "delta"})
 
 
 def learning_slope(points: DataFrame, group: Sequence[str], *, value: str = "auc", cases: str = "cases") -> DataFrame:

@@ -73,8 +73,8 @@ def contrasts(x):
   {sr6('quantile_cont(value, 0.025)', 'ci_lo')}, {sr6('quantile_cont(value, 0.975)', 'ci_hi')} FROM ({_DRAWN}) GROUP BY arm, metric""",
 )
 def met_04(x):
-    drawn = metrics.equal_repeat(metrics.drawn_metrics(x.scores, x.mult, ["repeat", "arm"]), ["draw", "arm", "metric"])
-    return r6(metrics.percentile_intervals(drawn, ["arm", "metric"], value="value", draws=D), "ci_lo", "ci_hi")
+    out = metrics.interval_summary(metrics.drawn_arm_metrics(x.scores, x.mult, draws=D), ["arm", "metric"], value="value", draws=D)
+    return r6(out.drop("estimate"), "ci_lo", "ci_hi")
 
 
 @query(
@@ -83,11 +83,10 @@ def met_04(x):
  {sr6('delta - q', 'sim_lo')}, {sr6('delta + q', 'sim_hi')} FROM est, band""",
 )
 def met_05(x):
-    point = metrics.equal_repeat(metrics.phase_metrics(x.scores, ["repeat", "arm"]), ["arm", "metric"])
-    drawn = metrics.equal_repeat(metrics.drawn_metrics(x.scores, x.mult, ["repeat", "arm"]), ["draw", "arm", "metric"])
-    out = metrics.simultaneous_intervals(metrics.contrast(point, contrasts(x)), metrics.contrast(drawn, contrasts(x), ["draw"]),
-                                         ["arm", "reference", "metric"], draws=D)
-    return r6(out, "delta", "q", "sim_lo", "sim_hi")
+    deltas = metrics.contrast(metrics.drawn_arm_metrics(x.scores, x.mult, draws=D), contrasts(x), ["draw"])
+    out = metrics.simultaneous_summary(deltas, ["arm", "reference", "metric"], draws=D)
+    names = ["delta", "q", "sim_lo", "sim_hi"]
+    return r6(out.select("arm", "reference", "metric", "common_valid_draws", *names), *names)
 
 
 _MET06 = f"""WITH {_EVAL.strip()} SELECT arm, reference, metric, {sr6('delta', 'delta')}, n AS common_valid_draws, {sr6('q', 'q')},
@@ -502,10 +501,9 @@ _APPLY = """SELECT o.o_orderkey AS entity, {sel} FROM orders o LEFT JOIN (SELECT
 
 @query(
     "enc_03",
-    f"WITH {_LAB}, {_COD}, {_RATES.replace('FROM cod JOIN lab', 'FROM cod JOIN (SELECT * FROM lab WHERE entity % 3 > 0) lab')} "
+    f"WITH {_LAB.replace('prior FROM lab', 'prior FROM lab WHERE entity % 3 > 0')}, {_COD}, {_RATES.replace('FROM cod JOIN lab', 'FROM cod JOIN (SELECT * FROM lab WHERE entity % 3 > 0) lab')} "
     + _APPLY.format(sel="CASE WHEN o.o_orderkey % 10 > 0 THEN " + sr6("coalesce(w.type, prior)", "x").rsplit(" AS ", 1)[0] + " END AS type, "
-                    + sr6("coalesce(bm, prior)", "brand_mean") + ", " + sr6("coalesce(bx, prior)", "brand_max") + ", coalesce(bc, 0) AS brand_count")
-    .replace("pr", "pr"),
+                    + sr6("coalesce(bm, prior)", "brand_mean") + ", " + sr6("coalesce(bx, prior)", "brand_max") + ", coalesce(bc, 0) AS brand_count"),
 )
 def enc_03(x):
     """Rates fitted on part of the pool; unseen codes fall back to the prior; a closed gate gives NULL."""
