@@ -128,11 +128,14 @@ def exact_quantiles(
 def weighted_quantiles(
     df: DataFrame, group: Sequence[str], value: str, weight: str, levels: Mapping[str, float]
 ) -> DataFrame:
-    """Inverse weighted empirical CDF: smallest value whose cumulative weight reaches q times the total."""
+    """Inverse weighted empirical CDF: smallest value whose cumulative weight reaches q times the total.
+
+    A relative slack of 1e-9 absorbs the rounding of fractional running weights.
+    """
     group = list(group)
     merged = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.sum(weight).alias("__w"))
     cum = running(merged, group, [value], block=value_block(value), sums={"__cum": "__w"}, totals=True)
-    reach = {n: F.col("__cum") >= F.lit(float(q)) * F.col("__cum_total") for n, q in levels.items()}
+    reach = {n: F.col("__cum") >= F.lit(float(q) - 1e-9) * F.col("__cum_total") for n, q in levels.items()}
     return cum.where(F.col("__cum_total") > 0).groupBy(*group).agg(
         *[F.min(F.when(c, F.col(value))).alias(n) for n, c in reach.items()],
         F.max("__cum_total").alias("total_weight"),

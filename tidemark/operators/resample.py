@@ -162,3 +162,41 @@ def resampled_metrics(
         "draw", *group, "scope", p.alias("n_pos"), n.alias("n_neg"),
         F.when((p > 0) & (n > 0), F.col("u") / (p * n)).alias("auc"), F.when(p > 0, F.col("a") / p).alias("ap"),
         F.when(p + n > 0, F.col("b") / (p + n)).alias("brier"))
+
+
+def resampled_sums(
+    df: DataFrame, mult: DataFrame, group: Sequence[str], values: Sequence[str], *, draws: int, entity: str = "stay"
+) -> DataFrame:
+    """(draw, group, sums): multiplicity-weighted sums of linear statistics; draw 0 has unit weights.
+
+    ``df`` holds per-entity cells. Each Arrow batch is reduced to one row per (group, draw) in the
+    task, so the copies per draw never reach a shuffle. NULL values count as 0.
+    """
+    group, values = list(group), list(values)
+    m = mult.groupBy(entity).agg(F.collect_list(F.struct(F.col("draw").cast("short").alias("d"), F.col("m").cast("int").alias("m"))).alias("z"))
+    j = df.join(m, entity, "left")
+    rows = j.select(
+        *group, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values],
+        F.concat(F.array(F.lit(0).cast("short")), F.coalesce(F.col("z.d"), F.array().cast("array<smallint>"))).alias("d"),
+        F.concat(F.array(F.lit(1)), F.coalesce(F.col("z.m"), F.array().cast("array<int>"))).alias("w"))
+    schema = T.StructType([*[rows.schema[g] for g in group], T.StructField("draw", T.IntegerType()),
+                           *[T.StructField(v, T.DoubleType()) for v in values], T.StructField("weight", T.DoubleType())])
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = pdf.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
+            n = int(code.max()) + 1
+            r, d, w = _matrix(pdf, draws)
+            flat = code[r] * (draws + 1) + d
+            size = n * (draws + 1)
+            head = pdf[group].iloc[np.unique(code, return_index=True)[1]]
+            out = head.loc[head.index.repeat(draws + 1)].reset_index(drop=True)
+            out["draw"] = np.tile(np.arange(draws + 1, dtype=np.int32), n)
+            for v in values:
+                out[v] = np.bincount(flat, weights=w * pdf[v].to_numpy()[r], minlength=size)
+            out["weight"] = np.bincount(flat, weights=w, minlength=size)
+            yield out
+
+    return rows.mapInPandas(reduce, schema).groupBy("draw", *group).agg(*[F.sum(v).alias(v) for v in [*values, "weight"]])

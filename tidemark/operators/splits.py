@@ -97,16 +97,16 @@ def plain_bootstrap(entities: DataFrame, *, draws: int, entity: str = "stay", sa
 
 def matched_donors(
     rows: DataFrame, *, entity: str, keys: Sequence[str], salt: str = "donor", minimum: int = 5,
-    carry: Sequence[str] = (),
+    carry: Sequence[str] = (), vary: Sequence[str] = (),
 ) -> DataFrame:
     """Pair every row with another entity's row of the same structural group.
 
     Rows of a group are put in salted-hash order and rotated by 1..n-1 places, so a donor is never
     the row itself; groups below ``minimum`` keep ``donor`` NULL. ``carry`` columns of the donor
-    come along as ``donor_<name>``.
+    come along as ``donor_<name>``. ``vary`` columns (a subset of the keys, e.g. a trial) change the order.
     """
     keys = list(keys)
-    ranked = strata_ranks(rows, keys, [salt], entity)
+    ranked = strata_ranks(rows, keys, [salt, *[F.col(c) for c in vary]], entity)
     n = F.col("rank_total")
     shift = F.pmod(hash32(F.lit(salt + "-shift"), *keys), n - 1) + 1
     pos = F.when(n >= minimum, F.pmod(F.col("rank") - 1 + shift, n) + 1)

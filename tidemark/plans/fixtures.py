@@ -176,3 +176,24 @@ class Inputs:
         rows = self.risk.withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(1, 6)])))
         return rows.select("*", ev.isNotNull().cast("int").alias("case"), grp.alias("grp"),
                            (F.lit(0.7) * noise + F.lit(0.3) * near).alias("probability"))
+
+    @cached_property
+    def phi(self) -> DataFrame:
+        r = F.col("repeat")
+        parts = {
+            "quantity": (F.col("l_quantity") - 25) / 100 * (1 + r * F.lit(0.1)),
+            "discount": (F.col("l_discount") - F.lit(0.05)) * 3,
+            "tax": (F.lit(0.04) - F.col("l_tax")) * 4 * r,
+            "price": (F.col("l_extendedprice") - 50000) / 170017,
+        }
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), e.alias("phi")) for c, e in parts.items()])
+        meta = ["repeat", "row_key", "stay", "y", "pod", "case", "fold"]
+        return self.targets.select(*meta, F.explode(rows).alias("p")).select(*meta, "p.*")
+
+    @cached_property
+    def layout(self) -> DataFrame:
+        from tidemark.plans.common import config_rows
+
+        return config_rows(self.spark, ["column", "feature", "lag", "kind"], [
+            ("quantity", "quantity", 0, "value"), ("discount", "rate", 0, "value"), ("tax", "rate", 1, "value"),
+            ("price", "price", 0, "observation")])

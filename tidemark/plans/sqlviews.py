@@ -74,6 +74,14 @@ SELECT t.repeat, t.row_key, t.stay, t.y, t.pod, t."case", t.fold, a.arm,
                   ELSE {h32("concat_ws('|', 'noise', t.repeat, t.row_key)")} / 4294967296e0 END AS probability
 FROM f_targets t, (SELECT unnest(['ties', 'fine', 'noise']) AS arm) a""",
     "f_mult": "",
+    "f_phi": """
+SELECT t.repeat, t.row_key, t.stay, t.y, t.pod, t."case", t.fold, c.col AS "column",
+  CASE c.col WHEN 'quantity' THEN (l_quantity - 25) / 100 * (1 + repeat * 0.1e0) WHEN 'discount' THEN (l_discount - 0.05e0) * 3
+             WHEN 'tax' THEN (0.04e0 - l_tax) * 4 * repeat ELSE (l_extendedprice - 50000) / 170017 END AS phi
+FROM f_targets t, (SELECT unnest(['quantity', 'discount', 'tax', 'price']) AS col) c""",
+    "f_layout": """
+SELECT * FROM (VALUES ('quantity', 'quantity', 0, 'value'), ('discount', 'rate', 0, 'value'), ('tax', 'rate', 1, 'value'),
+  ('price', 'price', 0, 'observation')) v("column", feature, lag, kind)""",
     "f_risk_scores": f"""
 SELECT k.*, CAST(r.r AS INTEGER) AS repeat, CASE WHEN event IS NULL THEN 0 ELSE 1 END AS "case",
        CASE WHEN event IS NULL THEN 'none' WHEN event < idx THEN 'c' WHEN event - idx <= 3 THEN 'b' ELSE 'a' END AS grp,
