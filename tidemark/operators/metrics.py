@@ -71,35 +71,45 @@ def rank_metrics(
     return metrics_from_groups(score_groups(df, group, score=score, y=y, weight=weight), group, score=score)
 
 
-def _scoped(groups: DataFrame) -> DataFrame:
-    """Score groups split by phase -> the four metric scopes. Cross-phase: all positives against pre negatives."""
-    post = F.col("post") == 1
-    zero = F.lit(0)
-    rows = F.array_compact(F.array(
-        F.struct(F.lit("total").alias("scope"), F.col("pos").alias("pos"), F.col("neg").alias("neg")),
-        F.when(post, F.struct(F.lit("post").alias("scope"), F.col("pos").alias("pos"), F.col("neg").alias("neg"))),
-        F.when(~post, F.struct(F.lit("pre").alias("scope"), F.col("pos").alias("pos"), F.col("neg").alias("neg"))),
-        F.struct(F.lit("cross").alias("scope"), F.col("pos").alias("pos"), F.when(post, zero).otherwise(F.col("neg")).alias("neg")),
-    ))
-    keep = [c for c in groups.columns if c not in ("pos", "neg", "post")]
-    flat = groups.select(*keep, F.explode(rows).alias("r")).select(*keep, "r.scope", "r.pos", "r.neg")
-    return flat.groupBy(*keep, "scope").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
 def phase_metrics(
-    df: DataFrame, group: Sequence[str], *, weight: str | None = None, score: str = "probability"
+    df: DataFrame, group: Sequence[str], *, weight: str | None = None, score: str = "probability", y: str = "y"
 ) -> DataFrame:
-    """Long result (group, metric, value): the eight metrics of ``METRICS``."""
+    """Long result (group, metric, value): the eight metrics of ``METRICS``.
+
+    Positives and negatives before and after the index are four running sums over one score order;
+    every scope is a combination of them, so rows are neither copied nor sorted per scope.
+    """
     group = list(group)
-    phased = df.withColumn("post", (F.col("pod") >= 0).cast("int"))
-    groups = _scoped(score_groups(phased, [*group, "post"], score=score, weight=weight))
-    m = metrics_from_groups(groups, [*group, "scope"], score=score)
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(sc).alias("s"), F.col(st).alias("value"))
-                     for n, (sc, st) in METRICS.items()])
-    found = m.select(*group, "scope", F.explode(rows).alias("r")).where("scope = r.s").select(*group, "r.metric", "r.value")
-    # a scope without rows still reports its metrics, as NULL
-    base = m.select(*group).distinct().withColumn("metric", F.explode(F.array(*[F.lit(n) for n in METRICS])))
-    return base.join(found, [*group, "metric"], "left")
+    w = F.col(weight) if weight else F.lit(1)
+    post, pos = F.col("pod") >= 0, F.col(y) == 1
+    parts = {"p0": pos & ~post, "p1": pos & post, "n0": ~pos & ~post, "n1": ~pos & post}
+    g = df.groupBy(*group, score).agg(*[F.sum(F.when(c, w).otherwise(0)).alias(n) for n, c in parts.items()])
+    cum = running(g, group, [score], block=value_block(score), sums={f"c_{n}": n for n in parts}, totals=True)
+    s, zero = F.col(score), F.lit(0)
+    members = {
+        "total": (("p0", "p1"), ("n0", "n1")), "post": (("p1",), ("n1",)), "pre": (("p0",), ("n0",)), "cross": (("p0", "p1"), ("n0",)),
+    }
+    add = lambda names, form: sum((F.col(form.format(n)) for n in names), zero)
+    aggs = []
+    for scope, (ps, ns) in members.items():
+        p, n = add(ps, "{}"), add(ns, "{}")
+        cn, tp, tn = add(ns, "c_{}"), add(ps, "c_{}_total"), add(ns, "c_{}_total")
+        above_p = tp - add(ps, "c_{}") + p
+        above = above_p + tn - cn + n
+        aggs += [
+            F.max(tp).alias(f"{scope}_p"), F.max(tn).alias(f"{scope}_n"), F.sum(p * (cn - n / 2)).alias(f"{scope}_u"),
+            F.sum(F.when(above > 0, p * above_p / above).otherwise(0.0)).alias(f"{scope}_a"),
+            F.sum(p * (s - 1) * (s - 1) + n * s * s).alias(f"{scope}_b")]
+    wide = cum.groupBy(*group).agg(*aggs)
+
+    def value(scope: str, stat: str) -> Column:
+        p, n, u, a, b = (F.col(f"{scope}_{c}") for c in "pnuab")
+        if stat == "auc":
+            return F.when((p > 0) & (n > 0), u / (p * n))
+        return F.when(p > 0, a / p) if stat == "ap" else F.when(p + n > 0, b / (p + n))
+
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), value(sc, st).alias("value")) for m, (sc, st) in METRICS.items()])
+    return wide.select(*group, F.explode(rows).alias("r")).select(*group, "r.*")
 
 
 def auc_decomposition(df: DataFrame, group: Sequence[str], *, four_cells: bool, score: str = "probability") -> DataFrame:

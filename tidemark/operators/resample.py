@@ -1,7 +1,7 @@
 """Rank metrics under many shared entity weights: sort once, reweight every draw.
 
 Each row carries its entity's multiplicities as two short arrays instead of being copied once per
-draw. Rows are partitioned by (group, score block); NumPy works on one block at a time and SQL
+draw. Rows are partitioned by (group, score block); NumPy works on one block at a time over Arrow buffers and SQL
 adds the blocks up. Statistics are exact for any number of blocks.
 """
 
@@ -10,27 +10,55 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.ordered import value_block
 
 SCOPES = ("total", "post", "pre", "cross")
 _CHANNELS = ("p0", "p1", "n0", "n1")  # positives / negatives before and after the index
 _SLAB = 128
+_HOT = 64  # rows of one score in an Arrow batch from which merging pays off
 
 
-def _matrix(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, draw, weight) triplets of the sparse weights."""
-    lens = pdf["d"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(pdf)), lens)
-    return rows, np.concatenate(pdf["d"].to_numpy()).astype(np.int64), np.concatenate(pdf["w"].to_numpy()).astype(np.float64)
+def _triplets(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, draw, weight) triplets of the sparse weights, read from the flat list buffers."""
+    lens = pc.list_value_length(t.column("d")).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else pc.list_value_length(t.column("d")).to_numpy()
+    flat = [pc.list_flatten(t.column(c)) for c in ("d", "w")]
+    d, w = (f.to_numpy(zero_copy_only=False) if isinstance(f, pa.Array) else f.to_numpy() for f in flat)
+    return np.repeat(np.arange(len(lens)), lens), d.astype(np.int64), w.astype(np.float64)
 
 
-def _channel(pdf: pd.DataFrame) -> np.ndarray:
-    return (2 * (1 - pdf["y"].to_numpy()) + pdf["post"].to_numpy()).astype(np.int64)
+def _codes(t: pa.RecordBatch, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct key, key code per row)."""
+    code = np.zeros(t.num_rows, dtype=np.int64)
+    for c in columns:
+        enc = pc.dictionary_encode(t.column(c), null_encoding="encode")
+        code = code * max(len(enc.dictionary), 1) + enc.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    return first, inverse
+
+
+def _floats(t: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    c = t.column(column)
+    return (c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()).astype(np.float64)
+
+
+def _channel(t: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return (2 * (1 - _floats(t, "y")) + _floats(t, "post")).astype(np.int64)
+
+
+def _per_draw(t: pa.RecordBatch, keys: Sequence[str], first: np.ndarray, draws: int, values: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    """One output row per (distinct key, draw)."""
+    head = t.select(list(keys)).take(pa.array(np.repeat(first, draws + 1)))
+    cols = [head.column(k) for k in keys] + [pa.array(np.tile(np.arange(draws + 1, dtype=np.int32), len(first)))]
+    cols += [pa.array(v) for v in values.values()]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 def resampled_metrics(
@@ -59,48 +87,47 @@ def resampled_metrics(
     keys = [*group, "block"]
     schema = keyed.schema
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Merge rows of equal score inside a batch when that pays off."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merge rows of a score that fills much of a batch; all other rows pass unchanged."""
         cols = [*keys, "s", "y", "post"]
-        for pdf in batches:
-            code = pdf.groupby(cols, sort=False, dropna=False).ngroup().to_numpy()
-            n = int(code.max()) + 1 if len(code) else 0
-            if n > 0.7 * len(pdf):
-                yield pdf
+        for b in batches:
+            _, inverse, counts = np.unique(_floats(b, "s"), return_inverse=True, return_counts=True)
+            hot = counts[inverse] > _HOT
+            if not hot.any():
+                yield b
                 continue
-            r, d, w = _matrix(pdf, draws)
-            flat = code[r] * (draws + 1) + d
-            total = np.bincount(flat, weights=w, minlength=n * (draws + 1)).reshape(n, draws + 1)
-            first = pdf.groupby(code).head(1).copy()
-            order = code[first.index.to_numpy()] if isinstance(pdf.index, pd.RangeIndex) else code[pdf.index.get_indexer(first.index)]
-            hit = [np.flatnonzero(total[k]) for k in order]
-            first["d"] = [h.astype(np.int16) for h in hit]
-            first["w"] = [total[k][h].astype(np.int32) for k, h in zip(order, hit)]
-            yield first
-
-    merged = keyed.mapInPandas(merge, schema).repartition(*keys)
+            if not hot.all():
+                yield b.filter(pa.array(~hot))
+            part = b.filter(pa.array(hot))
+            first, code = _codes(part, cols)
+            r, d, w = _triplets(part)
+            total = np.bincount(code[r] * (draws + 1) + d, weights=w, minlength=len(first) * (draws + 1)).reshape(len(first), draws + 1)
+            row, draw = np.nonzero(total)
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(first)))].astype(np.int32))
+            out = part.take(pa.array(first))
+            lists = {"d": pa.array(draw.astype(np.int16)), "w": pa.array(total[row, draw].astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(offsets, lists[n]).cast(out.schema.field(n).type) if n in lists else out.column(n) for n in out.schema.names],
+                schema=out.schema)
+
+    merged = keyed.mapInArrow(merge, schema).repartition(*keys)
 
     key_fields = [schema[k] for k in keys]
     totals_schema = T.StructType([*key_fields, T.StructField("draw", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _CHANNELS]])
 
-    def block_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    totals_arrow = to_arrow_schema(totals_schema)
+
+    def block_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            g = pdf.groupby(keys, sort=False, dropna=False)
-            code = g.ngroup().to_numpy()
-            n = int(code.max()) + 1
-            r, d, w = _matrix(pdf, draws)
-            flat = (code[r] * (draws + 1) + d) * 4 + _channel(pdf)[r]
-            t = np.bincount(flat, weights=w, minlength=n * (draws + 1) * 4).reshape(n * (draws + 1), 4)
-            head = pdf[keys].iloc[np.unique(code, return_index=True)[1]]
-            out = head.loc[head.index.repeat(draws + 1)].reset_index(drop=True)
-            out["draw"] = np.tile(np.arange(draws + 1, dtype=np.int32), n)
-            for i, c in enumerate(("p0", "p1", "n0", "n1")):
-                out[c] = t[:, i]
-            yield out
-
-    per_block = merged.mapInPandas(block_totals, totals_schema).groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in _CHANNELS])
+            first, code = _codes(b, keys)
+            r, d, w = _triplets(b)
+            flat = (code[r] * (draws + 1) + d) * 4 + _channel(b)[r]
+            t = np.bincount(flat, weights=w, minlength=len(first) * (draws + 1) * 4).reshape(-1, 4)
+            yield _per_draw(b, keys, first, draws, {c: t[:, i] for i, c in enumerate(("p0", "p1", "n0", "n1"))}, totals_arrow)
+
+    per_block = merged.mapInArrow(block_totals, totals_schema).groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in _CHANNELS])
     before = Window.partitionBy(*group, "draw").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group, "draw")
     offs = per_block.select(
@@ -115,24 +142,21 @@ def resampled_metrics(
         *[T.StructField(c, T.DoubleType()) for c in ("p", "n", "u", "a", "b")]])
     wanted = tuple(scopes)
 
-    def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("s", kind="stable").reset_index(drop=True)
-        s = left["s"].to_numpy(dtype=np.float64)
-        starts = np.r_[0, np.flatnonzero(np.diff(s)) + 1]
-        value = s[starts][:, None]
-        sid = np.zeros(len(s), dtype=np.int64)
-        sid[starts[1:]] = 1
-        sid = np.cumsum(sid)
-        r, d, w = _matrix(left, draws)
-        chan = _channel(left)[r]
-        n_s = len(starts)
-        off = {c: np.asarray(right[c].iloc[0], dtype=np.float64) for c in packed}
-        parts = []
+    out_arrow = to_arrow_schema(out_schema)
+
+    def local(left: pa.Table, right: pa.Table) -> pa.Table:
+        s_raw = _floats(left, "s")
+        value, sid = np.unique(s_raw, return_inverse=True)
+        n_s, value = len(value), value[:, None]
+        r, d, w = _triplets(left)
+        chan, sid = _channel(left)[r], sid[r]
+        off = {c: right.column(c).chunk(0)[0].values.to_numpy(zero_copy_only=False).astype(np.float64) for c in packed}
+        parts: dict[str, list] = {c: [] for c in ("draw", "scope", "p", "n", "u", "a", "b")}
         for lo in range(0, draws + 1, _SLAB):
             hi = min(lo + _SLAB, draws + 1)
             k = (d >= lo) & (d < hi)
             width = hi - lo
-            flat = (chan[k] * n_s + sid[r[k]]) * width + (d[k] - lo)
+            flat = (chan[k] * n_s + sid[k]) * width + (d[k] - lo)
             ch = np.bincount(flat, weights=w[k], minlength=4 * n_s * width).reshape(4, n_s, width)
             ch = {"p0": ch[0], "p1": ch[1], "n0": ch[2], "n1": ch[3]}
             o = {c: v[lo:hi] for c, v in off.items()}
@@ -146,16 +170,16 @@ def resampled_metrics(
                 above_p = tp - bp - np.cumsum(p, axis=0) + p
                 above = above_p + tn - cn + n
                 prec = np.divide(above_p, above, out=np.zeros_like(p), where=above > 0)
-                parts.append(pd.DataFrame({
-                    "draw": np.arange(lo, hi, dtype=np.int32), "scope": scope, "p": p.sum(axis=0), "n": n.sum(axis=0),
-                    "u": (p * (cn - n / 2)).sum(axis=0), "a": (p * prec).sum(axis=0),
-                    "b": (p * (value - 1) ** 2 + n * value**2).sum(axis=0)}))
-        out = pd.concat(parts, ignore_index=True)
-        for g in group:
-            out[g] = left[g].iloc[0]
-        return out[[*group, "draw", "scope", "p", "n", "u", "a", "b"]]
-
-    blocks = merged.groupBy(*keys).cogroup(arrays.groupBy(*keys)).applyInPandas(local, out_schema)
+                found = {"draw": np.arange(lo, hi, dtype=np.int32), "scope": np.full(width, scope, dtype=object), "p": p.sum(axis=0), "n": n.sum(axis=0),
+                         "u": (p * (cn - n / 2)).sum(axis=0), "a": (p * prec).sum(axis=0), "b": (p * (value - 1) ** 2 + n * value**2).sum(axis=0)}
+                for c, v in found.items():
+                    parts[c].append(v)
+        stats = {c: pa.array(np.concatenate(v)) for c, v in parts.items()}
+        rows = len(stats["draw"])
+        cols = [left.column(g).take(pa.array(np.zeros(rows, dtype=np.int64))).combine_chunks() for g in group] + list(stats.values())
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
+
+    blocks = merged.groupBy(*keys).cogroup(arrays.groupBy(*keys)).applyInArrow(local, out_schema)
     t = blocks.groupBy("draw", *group, "scope").agg(*[F.sum(c).alias(c) for c in ("p", "n", "u", "a", "b")])
     p, n = F.col("p"), F.col("n")
     return t.select(
@@ -182,21 +206,16 @@ def resampled_sums(
     schema = T.StructType([*[rows.schema[g] for g in group], T.StructField("draw", T.IntegerType()),
                            *[T.StructField(v, T.DoubleType()) for v in values], T.StructField("weight", T.DoubleType())])
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    arrow = to_arrow_schema(schema)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            code = pdf.groupby(group, sort=False, dropna=False).ngroup().to_numpy()
-            n = int(code.max()) + 1
-            r, d, w = _matrix(pdf, draws)
-            flat = code[r] * (draws + 1) + d
-            size = n * (draws + 1)
-            head = pdf[group].iloc[np.unique(code, return_index=True)[1]]
-            out = head.loc[head.index.repeat(draws + 1)].reset_index(drop=True)
-            out["draw"] = np.tile(np.arange(draws + 1, dtype=np.int32), n)
-            for v in values:
-                out[v] = np.bincount(flat, weights=w * pdf[v].to_numpy()[r], minlength=size)
-            out["weight"] = np.bincount(flat, weights=w, minlength=size)
-            yield out
-
-    return rows.mapInPandas(reduce, schema).groupBy("draw", *group).agg(*[F.sum(v).alias(v) for v in [*values, "weight"]])
+            first, code = _codes(b, group)
+            r, d, w = _triplets(b)
+            flat, size = code[r] * (draws + 1) + d, len(first) * (draws + 1)
+            sums = {v: np.bincount(flat, weights=w * _floats(b, v)[r], minlength=size) for v in values}
+            yield _per_draw(b, group, first, draws, {**sums, "weight": np.bincount(flat, weights=w, minlength=size)}, arrow)
+
+    return rows.mapInArrow(reduce, schema).groupBy("draw", *group).agg(*[F.sum(v).alias(v) for v in [*values, "weight"]])

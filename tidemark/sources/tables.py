@@ -15,6 +15,13 @@ from tidemark.operators.checks import ContractError
 from tidemark.session import ensure_checkpoint_dir
 
 
+# windows-1252 differs from ISO-8859-1 in the bytes 0x80-0x9f only (five of them undefined); the CSV
+# reader offers just the latter, so those characters are mapped afterwards
+_C1 = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_C1_LATIN = "".join(chr(b) for b in _C1)
+_C1_WINDOWS = bytes(_C1).decode("cp1252")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the session's shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -30,18 +37,22 @@ def read_text_table(
     Adds ``entity`` (normalised id) and ``<date>__serial`` per date column. ``strict`` stops on a
     malformed line. The header must name the columns in order.
     """
+    if encoding not in ("UTF-8", "windows-1252"):
+        raise ValueError("encoding must be UTF-8 or windows-1252")
+    windows = encoding == "windows-1252"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("encoding", encoding)
+        .option("encoding", "iso-8859-1" if windows else "UTF-8")
         .option("emptyValue", "")
         .option("nullValue", "\u0000")
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .csv(path)
     )
-    out = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
+    text = lambda c: F.translate(F.col(c), _C1_LATIN, _C1_WINDOWS) if windows else F.col(c)
+    out = raw.select(*[F.coalesce(text(c), F.lit("")).alias(c) for c in columns])
     extra = [serial_day(c).alias(f"{c}__serial") for c in dates]
     if entity:
         extra.append(norm_id(entity).alias("entity"))
@@ -51,7 +62,7 @@ def read_text_table(
 def with_encoding_fallback(spark: SparkSession, path: str) -> str:
     """UTF-8 when the whole file decodes, else windows-1252. The bytes are tested in the executors."""
     lines = spark.read.text(path)
-    bad = lines.where(F.col("value").contains("�")).limit(1).count()
+    bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
     return "windows-1252" if bad else "UTF-8"
 
 
