@@ -42,7 +42,7 @@ def day_changes(
     return flat.groupBy(F.col(entity).alias(entity), F.col("__m.d").alias(day)).agg(*aggs)
 
 
-def _counts(cal: DataFrame, changes: DataFrame, groups: Sequence[str], entity: str, day: str) -> DataFrame:
+def running_counts(cal: DataFrame, changes: DataFrame, groups: Sequence[str], entity: str, day: str) -> DataFrame:
     """Running starts (through d), ends through d and through d-1 per group, on the calendar rows."""
     w = up_to_day(entity, day)
     prev = Window.partitionBy(entity).orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
@@ -63,7 +63,7 @@ def active_flags(
     day: str = DAY,
 ) -> DataFrame:
     """0/1 per group: some record has floor(start) <= day <= floor(end); an open end stays active."""
-    out = _counts(cal, day_changes(records, start, end, groups, entity=entity, day=day), list(groups), entity, day)
+    out = running_counts(cal, day_changes(records, start, end, groups, entity=entity, day=day), list(groups), entity, day)
     return out.select(*cal.columns, *[(F.col(f"{g}__cs") - F.col(f"{g}__cp") > 0).cast("int").alias(g) for g in groups])
 
 
@@ -87,7 +87,7 @@ def line_burden(
 ) -> DataFrame:
     """In place at day end, placed today, ever placed, inclusive record-days since the first calendar day."""
     g = {"all": F.lit(True)}
-    out = _counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["all"], entity, day)
+    out = running_counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["all"], entity, day)
     inclusive = F.col("all__cs") - F.col("all__cp")
     return out.select(
         *cal.columns,
@@ -110,10 +110,10 @@ def union_day_totals(
     g = {"u": F.lit(True)}
     if eod:
         # open at midnight d+1 <=> start < d+1 and end >= d+1: an end counts from the day it falls in
-        out = _counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["u"], entity, day)
+        out = running_counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["u"], entity, day)
         active = (F.col("u__cs") - F.col("u__ce") > 0).cast("int")
     else:
-        out = _counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["u"], entity, day)
+        out = running_counts(cal, day_changes(records, start, end, g, entity=entity, day=day), ["u"], entity, day)
         active = (F.col("u__cs") - F.col("u__cp") > 0).cast("int")
     w = up_to_day(entity, day)
     out = out.withColumn("active", active)

@@ -167,21 +167,22 @@ def drawn_arm_metrics(
 
 
 def interval_summary(
-    values: DataFrame, key: Sequence[str], *, value: str, draws: int, minimum: int | None = None
+    values: DataFrame, key: Sequence[str], *, value: str, draws: int, minimum: int | None = None,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per key from rows (draw, key, value): estimate (draw 0), valid and undefined draws, percentile 95 % interval.
 
     A group holds at most ``draws`` + 1 rows. The interval is NULL below ``minimum`` valid draws or
-    without an estimate.
+    without an estimate. ``extra`` adds aggregates of the same pass.
     """
     need = valid_floor(draws) if minimum is None else minimum
     v = F.when(F.col("draw") > 0, F.col(value))
     g = values.groupBy(*key).agg(
         F.max(F.when(F.col("draw") == 0, F.col(value))).alias("estimate"), F.count(v).alias("valid_draws"),
-        F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"))
+        F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), *[e.alias(n) for n, e in (extra or {}).items()])
     ok = (F.col("valid_draws") >= need) & F.col("estimate").isNotNull()
     return g.select(*key, "estimate", "valid_draws", (F.lit(draws) - F.col("valid_draws")).alias("undefined_draws"),
-                    F.when(ok, F.col("__q")[0]).alias("ci_lo"), F.when(ok, F.col("__q")[1]).alias("ci_hi"))
+                    F.when(ok, F.col("__q")[0]).alias("ci_lo"), F.when(ok, F.col("__q")[1]).alias("ci_hi"), *(extra or {}))
 
 
 def contrast(values: DataFrame, contrasts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -64,7 +64,7 @@ def joi_07(x):
     """Day-in-interval join, counted from start and end changes."""
     closed = x.interval_daily.where("end_ts is not null")
     changes = intervals.day_changes(closed, "start_ts", "end_ts", {"g": F.lit(True)})
-    out = intervals._counts(x.calendar, changes, ["g"], "entity", "day")
+    out = intervals.running_counts(x.calendar, changes, ["g"], "entity", "day")
     return out.select(*K, (F.col("g__cs") - F.col("g__cp")).alias("open_records"))
 
 
