@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import running
-from tidemark.functions.scalars import as_col
 from tidemark.operators.panel import DAY, ENTITY, calendar_only, stack_days, to_day, up_to_day
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.contract import MIN_EFFECT, REL_DAY_BINS, bin_label, valid_floor
 from tidemark.functions.ordered import exact_quantiles, running, value_block
 from tidemark.functions.scalars import expit, logit
-from tidemark.operators.resample import SCOPES, resampled_metrics
+from tidemark.operators.resample import resampled_metrics
 
 METRIC_COLUMNS = ("auc", "ap", "brier")
 #: metric name -> (scope, statistic)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, checks, intervals, panel
+from tidemark.operators import aggregates, checks, panel
 from tidemark.plans.catalog import query
 from tidemark.plans.common import longs, r6, sr6
 from tidemark.plans.panel_queries import _gate_sql, pan_17, union_state_frame
