@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, token_counts
+from tidemark.llm import bpe, fingerprints, mixing, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +37,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, tokenizer("word_bpe_49k.json"), digests=True)
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return mixed.select("doc_id", "mix_domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "mix_tokens", "mix_epoch")
+
+
+ORACLES["op8_mixing"] = mixing.mix_sql()
