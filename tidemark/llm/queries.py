@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, mixing, token_counts
+from tidemark.llm import bpe, chat, fingerprints, mixing, token_counts, warc
+from tidemark.llm._common import shared_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -51,3 +52,48 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_mixing"] = mixing.mix_sql()
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.read_back(chat.format_records(chat.turn_records(rows)))
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+ORACLES["op3_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 19 WHEN 'assistant' THEN 12
+    ELSE 17 + 2 * length(role) - length(translate(role, '<[]\', '')) END
+  + 2 * length(text) - length(translate(text, '<[\', '')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    written = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    n = written.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if not n:
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return warc.read_archives(spark, folder)
+
+
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((concat('0x', substr(s, {5 * (k // 4) + 1}, 5))::BIGINT >> {15 - 5 * (k % 4)}) & 31)::BIGINT + 1, 1)" for k in range(32)
+)
+ORACLES["op6_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS last_id FROM p)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM g
+"""
