@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, fingerprints, mixing, token_counts, warc
+from tidemark.llm import bpe, chat, embed_dedup, fingerprints, mixing, token_counts, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -97,3 +97,19 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS last_id FROM p)
 SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM g
 """
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id
+"""
