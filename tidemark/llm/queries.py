@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, embed_dedup, fingerprints, mixing, ngram_join, token_counts, warc
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, token_counts, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -131,3 +131,8 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
