@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, token_counts, warc
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, token_counts, toxicity, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -136,3 +136,10 @@ SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN c ON c.a = s
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select("doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("rejected"))
