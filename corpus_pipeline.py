@@ -5,20 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import queries
 from tidemark.llm._common import written
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.chunk_dedup import substring_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.ngram_join import ngram_jaccard
+from tidemark.llm.toxicity import THRESHOLD, score, train
 
 ORACLE_SQL = None  # classifier, content-defined chunks and merges are outside SQL; tests/llm compares with brute force
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject; null and empty texts score by the intercept and stay."""
+    chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score(docs, chain, prefix="__p_")
+    return scored.where(F.col("__p_toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group (5-word shingles, Jaccard of 0.8 or more); equal rows stay once.
+
+    Documents without words, and rows with null doc_id, are no one's duplicates.
+    """
+    found = ngram_jaccard(docs.select("doc_id", "text"), size=5, num=4, den=5)
+    keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
+    named = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; n_chars follows."""
+    cut = substring_dedup(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the target mixture, one row per epoch."""
+    return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What trainers read: ids per document, and their decoding's digest as a receipt."""
-    return encode_decode(docs.select("doc_id", "lang", "source", "text"), queries.tokenizer("word_bpe_49k.json"), digests=True)
+    """What trainers read: token ids of each row."""
+    encoded = encode_decode(docs.select("doc_id", "lang", "source", "text"), queries.tokenizer("word_bpe_49k.json"))
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("bpe", bpe)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("mixture", mixture),
+    ("bpe", bpe),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
