@@ -237,4 +237,4 @@ def turn_records(df: DataFrame) -> DataFrame:
     Rows with a null conv_id form one conversation.
     """
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return df.groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("rows"))).alias("record"))
+    return df.groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(row)).alias("rows")), {"ignoreNullFields": "false"}).alias("record"))
