@@ -52,15 +52,21 @@ def test_layout_matches_window_columns(x):
         checks.expected_layout([f"f{i}" for i in range(300)], 3, "R1", ENGINEERED_COLUMN_CAP)
 
 
+def test_dependency_closure(spark):
+    deps = spark.createDataFrame(
+        [("a", "a", None), ("b", "b", ["a"]), ("c", "c", ["b"]), ("d", "d", []), ("e1", "e", ["d"]), ("e2", "e", None)],
+        "column string, feature string, dependencies array<string>")
+    seeds = spark.createDataFrame([("g", "a"), ("h", "d"), ("i", "c")], "group string, feature string")
+    got = sorted(map(tuple, attribution.dependency_closure(deps, seeds).collect()))
+    assert got == [("g", "a"), ("g", "b"), ("g", "c"), ("h", "d"), ("h", "e1"), ("h", "e2"), ("i", "c")]
+
+
 def test_attribution_layout():
     layout = attribution.window_layout(["v", "k"], 3)
     attribution.validate_layout(layout)
     assert [r["column"] for r in layout] == checks.expected_layout(["v", "k"], 3, "R1", 800)
     with pytest.raises(checks.ContractError):
         attribution.validate_layout(layout + layout[:1])
-    deps = [{"column": "a", "feature": "a"}, {"column": "b", "feature": "b", "dependencies": ["a"]}, {"column": "c", "feature": "c", "dependencies": ["b"]},
-            {"column": "d", "feature": "d"}]
-    assert attribution.dependency_closure(deps, ["a"]) == ["a", "b", "c"]
 
 
 def test_calendar_rejects_reversed_anchor(spark):
@@ -198,7 +204,7 @@ def test_auc_decomposition_identity(x):
 
 def test_promotion_cannot_lower_the_threshold(spark):
     with pytest.raises(ValueError):
-        metrics.promotion(spark.range(1), stage="confirm", repeats_complete=True, family_complete=True, draws=10, mdd=0.001)
+        metrics.promotion(spark.range(1), spark.range(1), spark.range(1), stage="confirm", repeats=5, draws=10, mdd=0.001)
 
 
 def test_calibration(spark):

@@ -18,7 +18,7 @@ class ContractError(ValueError):
 
 def require(violations: DataFrame) -> None:
     """Raise when any check reports rows (the report has one row per check)."""
-    bad = violations.where(F.col("n") > 0).orderBy("check").take(20)
+    bad = violations.where(F.col("n") > 0).orderBy("check").collect()
     if bad:
         raise ContractError("; ".join(f"{r['check']}: {r['n']}" for r in bad))
 
@@ -336,8 +336,8 @@ def truncate_as_of(
                          for c in records.columns])
 
 
-def check_population(df: DataFrame, *, entity: str, label: str, case: str, expected: Mapping[str, int]) -> DataFrame:
-    """Observed counts next to the contracted ones."""
+def check_population(df: DataFrame, *, entity: str, label: str, case: str, expected: Mapping[str, int | Column]) -> DataFrame:
+    """Observed counts next to the contracted ones: numbers, or scalars of other tables."""
     agg = df.agg(
         F.count("*").alias("rows"),
         F.countDistinct(entity).alias("entities"),

@@ -232,21 +232,32 @@ def paired_evaluation(
     return simultaneous_summary(deltas, ["arm", "reference", "metric"], draws=draws, minimum=minimum)
 
 
+#: Reasons against promotion, one letter code each, in the order of the contract's rules.
+HOLDS = {"S": "not a confirmation run", "R": "an arm lacks repeats", "F": "the family of contrasts or its draws are incomplete", "E": "the effect is too small or undefined", "L": "the lower bound is not above zero"}
+
+
 def promotion(
-    comparisons: DataFrame, *, stage: str, repeats_complete: bool, family_complete: bool, draws: int, mdd: float = MIN_EFFECT
+    comparisons: DataFrame, scores: DataFrame, family: DataFrame, *, stage: str, repeats: int, draws: int, mdd: float = MIN_EFFECT
 ) -> DataFrame:
-    """Adds passes and the list of reasons against promotion."""
+    """Adds ``holds`` (codes of ``HOLDS``) and ``passes`` to each comparison.
+
+    Completeness is counted in the data: ``scores`` (arm, repeat) must have ``repeats`` repeats of both arms, and every
+    contrast of ``family`` (arm, reference, metric) must have a comparison with an effect.
+    """
     if mdd < MIN_EFFECT:
         raise ValueError("the minimum effect cannot be lowered after evaluation")
-    threshold = max(MIN_EFFECT, mdd)
-    reasons = F.array_compact(F.array(
-        F.when(F.lit(stage != "confirm"), "screen_never_promotes"),
-        F.when(F.lit(not repeats_complete), "complete_repeats_required"),
-        F.when(F.lit(not family_complete) | (F.col("common_valid_draws") < valid_floor(draws)), "complete_family_and_valid_draws_required"),
-        F.when(F.col("delta").isNull() | (F.col("delta") < threshold), "delta_below_threshold_or_undefined"),
-        F.when(F.col("sim_lo").isNull() | (F.col("sim_lo") <= 0), "positive_lower_bound_required"),
-    ))
-    return comparisons.select("*", reasons.alias("reasons"), (F.size(reasons) == 0).alias("passes"))
+    seen = scores.groupBy("arm").agg(F.countDistinct("repeat").alias("__seen"))
+    missing = family.join(comparisons.where("delta is not null").select("arm", "reference", "metric"), ["arm", "reference", "metric"], "left_anti")
+    out = comparisons.join(seen, "arm", "left").join(seen.select(F.col("arm").alias("reference"), F.col("__seen").alias("__seen_reference")), "reference", "left")
+    holds = {
+        "S": F.lit(stage != "confirm"),
+        "R": F.coalesce(F.least("__seen", "__seen_reference"), F.lit(0)) < repeats,
+        "F": (missing.agg(F.count("*").alias("n")).select("n").scalar() > 0) | (F.col("common_valid_draws") < valid_floor(draws)),
+        "E": F.coalesce(F.col("delta") < mdd, F.lit(True)),
+        "L": F.coalesce(F.col("sim_lo") <= 0, F.lit(True)),
+    }
+    out = out.withColumn("holds", F.concat(*[F.when(broken, code).otherwise("") for code, broken in holds.items()]))
+    return out.select(*comparisons.columns, "holds", (F.col("holds") == "").alias("passes"))
 
 
 def arm_intervals(scores: DataFrame, mult: DataFrame, *, draws: int, minimum: int | None = None) -> DataFrame:

@@ -365,10 +365,12 @@ def val_17(x):
     "val_18",
     """SELECT unnest(['rows', 'entities', 'cases', 'positives']) AS measure,
   unnest([count(*), count(DISTINCT stay), count(DISTINCT CASE WHEN "case" = 1 THEN stay END), count(*) FILTER (y = 1)]) AS n,
-  unnest([CAST(45832 AS BIGINT), NULL, NULL, NULL]) AS expected FROM f_targets WHERE repeat = 1""",
+  unnest([(SELECT 5 * count(*) FROM f_lines), (SELECT count(DISTINCT l_orderkey) FROM lineitem), NULL, NULL]) AS expected FROM f_targets""",
 )
 def val_18(x):
-    return checks.check_population(x.targets.where("repeat = 1"), entity="stay", label="y", case="case", expected={"rows": 45832})
+    rows = x.lines.agg((5 * F.count("*")).alias("n")).select("n").scalar()
+    entities = x.table("lineitem").agg(F.countDistinct("l_orderkey").alias("n")).select("n").scalar()
+    return checks.check_population(x.targets, entity="stay", label="y", case="case", expected={"rows": rows, "entities": entities})
 
 
 @query(

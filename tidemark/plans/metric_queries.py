@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.contract import valid_floor
 from tidemark.operators import aggregates, encode, metrics, splits
 from tidemark.plans.catalog import query
 from tidemark.plans.common import config_rows, r6, sr6
@@ -105,13 +106,14 @@ def met_06(x):
 
 @query(
     "met_07",
-    f"""SELECT arm, reference, metric, concat_ws(';', CASE WHEN delta < 0.01 THEN 'delta_below_threshold_or_undefined' END,
-  CASE WHEN sim_lo <= 0 THEN 'positive_lower_bound_required' END) AS reasons,
-  CAST(delta >= 0.01 AND sim_lo > 0 AS INTEGER) AS passes FROM ({_MET06})""",
+    f"""SELECT arm, reference, metric, h AS holds, CAST(h = '' AS INTEGER) AS passes FROM (SELECT arm, reference, metric, concat(
+  CASE WHEN least((SELECT count(DISTINCT repeat) FROM f_scores f WHERE f.arm = c.arm), (SELECT count(DISTINCT repeat) FROM f_scores f WHERE f.arm = c.reference)) < 5 THEN 'R' ELSE '' END,
+  CASE WHEN (SELECT count(*) FROM ({_MET06}) WHERE delta IS NOT NULL) < {len(_CONTRASTS)} OR common_valid_draws < {valid_floor(D)} THEN 'F' ELSE '' END,
+  CASE WHEN delta >= 0.01 THEN '' ELSE 'E' END, CASE WHEN sim_lo > 0 THEN '' ELSE 'L' END) AS h FROM ({_MET06}) c)""",
 )
 def met_07(x):
-    out = metrics.promotion(_paired(x), stage="confirm", repeats_complete=True, family_complete=True, draws=D)
-    return out.select("arm", "reference", "metric", F.array_join("reasons", ";").alias("reasons"), F.col("passes").cast("int").alias("passes"))
+    out = metrics.promotion(_paired(x), x.scores, contrasts(x), stage="confirm", repeats=5, draws=D)
+    return out.select("arm", "reference", "metric", "holds", F.col("passes").cast("int").alias("passes"))
 
 
 _BIN = "CASE WHEN pod < 0 THEN 'pre' WHEN pod <= 2 THEN '0-2' ELSE '3-7' END"
@@ -143,11 +145,11 @@ def met_08(x):
 @query(
     "met_09",
     f"""SELECT p.arm, p.metric, {sr6('p.value', 'estimate')}, valid_draws, undefined_draws, {sr6('lo', 'ci_lo')}, {sr6('hi', 'ci_hi')} FROM
- (SELECT * FROM ({_POINT}) WHERE arm = 'fine') p JOIN (SELECT arm, metric, count(value) AS valid_draws, {D} - count(value) AS undefined_draws,
+ (SELECT * FROM ({_POINT})) p JOIN (SELECT arm, metric, count(value) AS valid_draws, {D} - count(value) AS undefined_draws,
   quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM ({_DRAWN}) GROUP BY arm, metric) d ON d.arm = p.arm AND d.metric = p.metric""",
 )
 def met_09(x):
-    return r6(metrics.arm_intervals(x.scores.where("arm = 'fine'"), x.mult, draws=D), "estimate", "ci_lo", "ci_hi")
+    return r6(metrics.arm_intervals(x.scores, x.mult, draws=D), "estimate", "ci_lo", "ci_hi")
 
 
 _MASKS = {"all": "TRUE", "pre": "rel < 0", "pod0_3": "rel BETWEEN 0 AND 3", "pod4plus": "rel >= 4", "lead3": "y3 = 0 OR event - day = 3"}
@@ -241,22 +243,23 @@ def met_14(x):
 
 @query(
     "met_15",
-    f"""WITH s AS (SELECT *, probability >= threshold AS hit FROM f_scores JOIN {_THR} USING (arm) WHERE repeat = 1)
-SELECT arm, 'alert_rate' AS metric, {sr6('avg(CAST(hit AS INTEGER))', 'value')} FROM s WHERE y = 0 GROUP BY arm UNION ALL
-SELECT arm, 'detected_all', {sr6('avg(h)', 'value')} FROM (SELECT arm, stay, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY arm UNION ALL
-SELECT arm, 'detected_' || g, {sr6('avg(h)', 'value')} FROM (SELECT arm, stay, min(CASE WHEN pod < 0 THEN 'early' ELSE 'late' END) AS g, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY arm, g UNION ALL
-SELECT arm, 'logit_mean_difference', {sr6('ln(avg(y) / (1 - avg(y))) - ln(avg(least(greatest(probability, 1e-6), 1 - 1e-6)) / (1 - avg(least(greatest(probability, 1e-6), 1 - 1e-6))))', 'value')} FROM s GROUP BY arm""",
+    f"""WITH s AS (SELECT *, probability >= threshold AS hit FROM f_scores JOIN {_THR} USING (arm))
+SELECT repeat, arm, 'alert_rate' AS metric, {sr6('avg(CAST(hit AS INTEGER))', 'value')} FROM s WHERE y = 0 GROUP BY repeat, arm UNION ALL
+SELECT repeat, arm, 'detected_all', {sr6('avg(h)', 'value')} FROM (SELECT repeat, arm, stay, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY repeat, arm UNION ALL
+SELECT repeat, arm, 'detected_' || g, {sr6('avg(h)', 'value')} FROM (SELECT repeat, arm, stay, min(CASE WHEN pod < 0 THEN 'early' ELSE 'late' END) AS g, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY repeat, arm, g UNION ALL
+SELECT repeat, arm, 'logit_mean_difference', {sr6('ln(avg(y) / (1 - avg(y))) - ln(avg(least(greatest(probability, 1e-6), 1 - 1e-6)) / (1 - avg(least(greatest(probability, 1e-6), 1 - 1e-6))))', 'value')} FROM s GROUP BY repeat, arm""",
 )
 def met_15(x):
     thr = metrics.alert_threshold(x.scores)
-    s = x.scores.where("repeat = 1").withColumn("phase", F.when(F.col("pod") < 0, "early").otherwise("late"))
-    det = metrics.detection(s, thr, ["arm"], group="phase")
-    rate = metrics.negative_alert_rate(s, thr, ["arm"])
-    lmd = metrics.logit_mean_difference(s, ["arm"])
+    s = x.scores.withColumn("phase", F.when(F.col("pod") < 0, "early").otherwise("late"))
+    thr = s.select("repeat", "arm").distinct().join(thr, "arm")
+    det = metrics.detection(s, thr, ["repeat", "arm"], group="phase")
+    rate = metrics.negative_alert_rate(s, thr, ["repeat", "arm"])
+    lmd = metrics.logit_mean_difference(s, ["repeat", "arm"])
     return r6(aggregates.union_all([
-        rate.select("arm", F.lit("alert_rate").alias("metric"), F.col("alert_rate").alias("value")),
-        det.select("arm", F.concat(F.lit("detected_"), "segment").alias("metric"), F.col("detected").alias("value")),
-        lmd.select("arm", F.lit("logit_mean_difference").alias("metric"), F.col("logit_mean_difference").alias("value"))]), "value")
+        rate.select("repeat", "arm", F.lit("alert_rate").alias("metric"), F.col("alert_rate").alias("value")),
+        det.select("repeat", "arm", F.concat(F.lit("detected_"), "segment").alias("metric"), F.col("detected").alias("value")),
+        lmd.select("repeat", "arm", F.lit("logit_mean_difference").alias("metric"), F.col("logit_mean_difference").alias("value"))]), "value")
 
 
 @query("met_16")
@@ -279,12 +282,11 @@ def met_17(x):
 
 @query(
     "met_18",
-    f"""SELECT arm, frame, {sr6('auc', 'auc')} FROM ({metrics_sql("(SELECT *, 'all' AS frame FROM f_scores WHERE repeat = 1 UNION ALL SELECT *, 'post' FROM f_scores WHERE repeat = 1 AND pod >= 0)", 'arm, frame')})""",
+    f"""SELECT repeat, arm, frame, {sr6('auc', 'auc')} FROM ({metrics_sql("(SELECT *, 'all' AS frame FROM f_scores UNION ALL SELECT *, 'post' FROM f_scores WHERE pod >= 0)", 'repeat, arm, frame')})""",
 )
 def met_18(x):
-    s = x.scores.where("repeat = 1")
-    m = metrics.masked_auc(s, {"all": F.lit(True), "post": F.col("pod") >= 0}, ["arm"])
-    return r6(m.select("arm", F.col("subset").alias("frame"), "auc"), "auc")
+    m = metrics.masked_auc(x.scores, {"all": F.lit(True), "post": F.col("pod") >= 0}, ["repeat", "arm"])
+    return r6(m.select("repeat", "arm", F.col("subset").alias("frame"), "auc"), "auc")
 
 
 @query(
@@ -326,7 +328,7 @@ def met_20(x):
 
 _LEDGER = """fits AS (SELECT l_orderkey * 10 + l_linenumber AS attempt_id, concat(p_brand, '/', l_linenumber) AS fit_key, p_type AS arm,
    CASE WHEN l_linestatus = 'O' THEN 'inner' ELSE 'outer' END AS kind, CASE WHEN l_returnflag = 'A' AND l_suppkey % 3 = 0 THEN 'completed' ELSE 'failed' END AS status
-   FROM f_lines JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49),
+   FROM f_lines JOIN part ON p_partkey = l_partkey),
  per AS (SELECT fit_key, count(*) FILTER (status = 'completed') AS ok FROM fits GROUP BY fit_key)"""
 
 
@@ -338,7 +340,7 @@ SELECT 'missing', count(*) FROM (SELECT DISTINCT concat(p_brand, '/1') AS k FROM
 SELECT 'undeclared', count(*) FROM fits WHERE arm = 'SMALL' UNION ALL SELECT 'slots_over', CAST(1 AS BIGINT)""",
 )
 def met_21(x):
-    f = x.lines.join(x.table("part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity > 49")
+    f = x.lines.join(x.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     ok = (F.col("l_returnflag") == "A") & (F.col("l_suppkey") % 3 == 0)
     fits = f.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attempt_id"),
                     F.concat("p_brand", F.lit("/"), F.col("l_linenumber").cast("string")).alias("fit_key"), F.col("p_type").alias("arm"),
@@ -442,14 +444,14 @@ def spl_08(x):
 
 @query(
     "spl_09",
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY pod, pat ORDER BY {h32("concat_ws('|', 'donor', stay)")}, stay) AS rank,
-   count(*) OVER (PARTITION BY pod, pat) AS n FROM (SELECT stay, pod, CASE WHEN l_tax > 0.04 THEN '11' ELSE '01' END AS pat FROM f_targets WHERE repeat = 1)),
- p AS (SELECT *, CASE WHEN n >= 5 THEN (rank - 1 + {h32("concat_ws('|', 'donor-shift', pod, pat)")} % (n - 1) + 1) % n + 1 END AS pos FROM r)
-SELECT p.stay, p.pod, p.pat, q.stay AS donor FROM p LEFT JOIN r q ON q.pod = p.pod AND q.pat = p.pat AND q.rank = p.pos""",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY repeat, pod, pat ORDER BY {h32("concat_ws('|', 'donor', stay)")}, stay) AS rank,
+   count(*) OVER (PARTITION BY repeat, pod, pat) AS n FROM (SELECT repeat, stay, pod, CASE WHEN l_tax > 0.04 THEN '11' ELSE '01' END AS pat FROM f_targets)),
+ p AS (SELECT *, CASE WHEN n >= 5 THEN (rank - 1 + {h32("concat_ws('|', 'donor-shift', repeat, pod, pat)")} % (n - 1) + 1) % n + 1 END AS pos FROM r)
+SELECT p.repeat, p.stay, p.pod, p.pat, q.stay AS donor FROM p LEFT JOIN r q ON q.repeat = p.repeat AND q.pod = p.pod AND q.pat = p.pat AND q.rank = p.pos""",
 )
 def spl_09(x):
-    rows = x.targets.where("repeat = 1").select("stay", "pod", F.when(F.col("l_tax") > 0.04, "11").otherwise("01").alias("pat"))
-    return splits.matched_donors(rows, entity="stay", keys=["pod", "pat"])
+    rows = x.targets.select("repeat", "stay", "pod", F.when(F.col("l_tax") > 0.04, "11").otherwise("01").alias("pat"))
+    return splits.matched_donors(rows, entity="stay", keys=["repeat", "pod", "pat"])
 
 
 @query(

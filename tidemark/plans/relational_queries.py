@@ -318,7 +318,7 @@ _C05 = f"""{_FIRST}, ea AS (SELECT a.*, first_event, u FROM f_anchors a JOIN en
  cand AS (SELECT d.* FROM d JOIN ea USING (entity) WHERE (e IS NULL OR e >= s) AND s BETWEEN adm AND dis AND (e IS NULL OR e >= idx) AND greatest(idx, s) < dis),
  fi AS (SELECT entity, s, count(*) AS t, min(e) AS e FROM cand WHERE s = (SELECT min(c2.s) FROM cand c2 WHERE c2.entity = cand.entity) GROUP BY entity, s),
  sel AS (SELECT h.entity, ea.site, ea.adm, ea.idx, ea.dis, ea.first_event, ea.u, fi.s AS start_day, fi.e AS end_day, greatest(ea.idx, fi.s) AS t0,
-  CASE WHEN ea.entity IS NULL THEN 'unlinked' WHEN fi.s IS NULL THEN 'no_valid_post_interval' WHEN t > 1 THEN 'tied_first_start' WHEN u = 1 THEN 'undated_event'
+  CASE WHEN ea.entity IS NULL THEN 'unlinked' WHEN fi.s IS NULL THEN 'no_valid_post_interval' WHEN t > 1 THEN 'tied_first_start' WHEN u = 1 THEN 'undated'
    WHEN first_event <= greatest(ea.idx, fi.s) THEN 'event_on_or_before_entry' ELSE 'eligible' END AS reason
   FROM (SELECT DISTINCT entity FROM d) h LEFT JOIN ea USING (entity) LEFT JOIN fi USING (entity))"""
 
@@ -335,10 +335,10 @@ def cau_05(x):
 @query("cau_05_timing", f"""WITH {_C05}, oc AS (SELECT site, end_day - idx AS r, CASE WHEN end_day IS NULL THEN 'no_end' WHEN end_day >= dis THEN 'boundary' WHEN end_day = first_event THEN 'event_day'
    WHEN end_day > first_event THEN 'after_event' ELSE 'observed' END AS o FROM sel WHERE reason = 'eligible')
 SELECT site, count(*) AS eligible, {", ".join(f"count(*) FILTER (o = '{k}') AS {k}" for k in ('observed', 'no_end', 'boundary', 'event_day', 'after_event'))},
- {", ".join(f"CASE WHEN count(*) FILTER (o = 'observed') >= 3 THEN round(quantile_cont(CASE WHEN o = 'observed' THEN CAST(r AS DOUBLE) END, {q}), 6) + 0e0 END AS {n}" for n, q in (('q1', 0.25), ('median', 0.5), ('q3', 0.75)))}
+ {", ".join(f"CASE WHEN count(*) FILTER (o = 'observed') >= 20 THEN round(quantile_cont(CASE WHEN o = 'observed' THEN CAST(r AS DOUBLE) END, {q}), 6) + 0e0 END AS {n}" for n, q in (('q1', 0.25), ('median', 0.5), ('q3', 0.75)))}
 FROM oc GROUP BY site""")
 def cau_05_timing(x):
-    return r6(cohort.end_timing_by_site(selected(x), minimum=3), "q1", "median", "q3")
+    return r6(cohort.end_timing_by_site(selected(x)), "q1", "median", "q3")
 
 
 @query("cau_06", """SELECT CASE WHEN fc < s THEN 'reopened_after_closure' WHEN fc = s THEN 'same_time_ambiguous' ELSE 'no_prior_closure' END AS reopen_class, count(*) AS n FROM (
@@ -362,8 +362,8 @@ def cau_07(x):
                                                                    "finite_non_negative": (t, F.col("c_acctbal") >= 0), "positive": (t, F.col("c_acctbal") > 0)})
 
 
-_ELIG = """CASE WHEN NOT (adm <= idx AND idx <= {d} AND {d} <= dis) THEN 'not_present_or_invalid_order' WHEN u = 1 THEN 'undated_event' WHEN {p} THEN 'prior_event_code'
-  WHEN first_event < {d} THEN 'event_before_decision' END"""
+_ELIG = """CASE WHEN NOT (adm <= idx AND idx <= {d} AND {d} <= dis) THEN 'absent' WHEN u = 1 THEN 'undated' WHEN {p} THEN 'known_before'
+  WHEN first_event < {d} THEN 'too_late' END"""
 
 
 @query("cau_08", f"""WITH {_FIRST} SELECT c.entity, c.day, coalesce({_ELIG.format(d='c.day', p='c.site = 7')}, 'eligible') AS reason FROM f_calendar c JOIN en USING (entity)""")
@@ -375,8 +375,8 @@ def cau_08(x):
 
 _GRID = f"""{_C05}, g AS (SELECT s.*, CAST(rel_day AS INTEGER) AS rel_day, CAST(grace AS INTEGER) AS grace, idx + rel_day AS dd, idx + rel_day + grace - 1 AS ld
    FROM sel s, (SELECT unnest(range(1, 8)) AS rel_day), (SELECT unnest([1, 2]) AS grace) WHERE reason = 'eligible'),
- x AS (SELECT *, coalesce({_ELIG.format(d='dd', p='site = 7')}, CASE WHEN start_day >= dd THEN 'not_started_by_previous_day' WHEN end_day < dd THEN 'already_ended' END) AS exclusion FROM g),
- w AS (SELECT *, CASE WHEN exclusion IS NULL THEN CASE WHEN first_event BETWEEN dd AND ld THEN 'event_in_window' WHEN dis <= ld THEN 'end_in_window' WHEN end_day IS NULL THEN 'missing_end' END END AS unknown FROM x),
+ x AS (SELECT *, coalesce({_ELIG.format(d='dd', p='site = 7')}, CASE WHEN start_day >= dd THEN 'start_later' WHEN end_day < dd THEN 'over' END) AS exclusion FROM g),
+ w AS (SELECT *, CASE WHEN exclusion IS NULL THEN CASE WHEN first_event BETWEEN dd AND ld THEN 'cut_by_event' WHEN dis <= ld THEN 'cut_by_exit' WHEN end_day IS NULL THEN 'open' END END AS unknown FROM x),
  ch AS (SELECT *, CASE WHEN exclusion IS NULL AND unknown IS NULL THEN CASE WHEN end_day <= ld THEN 1 ELSE 0 END END AS arm_a FROM w)"""
 
 
@@ -407,7 +407,7 @@ def cau_11(x):
 _POINT = f"""{_FIRST}, nom AS (SELECT entity, count(*) AS c, min(serial) AS t, min(value) AS v, min(entity % 12 + CASE WHEN k > 90 THEN 1 ELSE 0 END) AS enc FROM f_point WHERE kind = 'view' AND day = (SELECT floor(icu + 1) FROM f_anchors a WHERE a.entity = f_point.entity) GROUP BY entity),
  pj AS (SELECT a.*, first_event, u, icu + 1 AS stamp, CAST(floor(icu + 1) AS INTEGER) AS dd, n.c, n.t, n.v, n.enc FROM f_anchors a JOIN en USING (entity) LEFT JOIN nom n USING (entity)),
  px AS (SELECT *, {_ELIG.format(d='dd', p='site = 7')} AS exclusion FROM pj),
- pw AS (SELECT *, CASE WHEN exclusion IS NULL THEN CASE WHEN first_event = dd THEN 'event_in_window' WHEN dis <= dd THEN 'end_in_window' WHEN c IS NULL THEN 'nominal_missing' WHEN c > 1 THEN 'nominal_duplicate'
+ pw AS (SELECT *, CASE WHEN exclusion IS NULL THEN CASE WHEN first_event = dd THEN 'cut_by_event' WHEN dis <= dd THEN 'cut_by_exit' WHEN c IS NULL THEN 'nominal_missing' WHEN c > 1 THEN 'nominal_duplicate'
     WHEN abs(t - stamp) > 0.5 OR enc <> site THEN 'time_or_encounter_mismatch' END END AS unknown FROM px)"""
 
 
@@ -431,10 +431,10 @@ _PS = """(SELECT rel_day, grace, arm_a AS a, entity, 0.1e0 + 0.8e0 * ((entity *
 @query("cau_13", f"""WITH {_GRID}, z AS (SELECT *, CASE WHEN a = 1 THEN q / p ELSE (1 - q) / (1 - p) END AS w FROM (SELECT *, avg(a) OVER (PARTITION BY rel_day, grace) AS q FROM {_PS}))
 SELECT rel_day, grace, CASE WHEN ok THEN 'fitted' ELSE 'too_small' END AS status, n, n_a, n_b, p_low, p_high, {", ".join(f"CASE WHEN ok THEN round({c}, 6) + 0e0 END AS {c}" for c in ('ess', 'ess_a', 'ess_b', 'weight_max'))} FROM (
  SELECT rel_day, grace, count(*) AS n, count(*) FILTER (a = 1) AS n_a, count(*) FILTER (a = 0) AS n_b, count(*) FILTER (p < 0.05) AS p_low, count(*) FILTER (p > 0.95) AS p_high, sum(w) ** 2 / sum(w * w) AS ess,
-  sum(w) FILTER (a = 1) ** 2 / sum(w * w) FILTER (a = 1) AS ess_a, sum(w) FILTER (a = 0) ** 2 / sum(w * w) FILTER (a = 0) AS ess_b, max(w) AS weight_max, count(*) >= 8 AND least(count(*) FILTER (a = 1), count(*) FILTER (a = 0)) >= 2 AS ok FROM z GROUP BY rel_day, grace)""")
+  sum(w) FILTER (a = 1) ** 2 / sum(w * w) FILTER (a = 1) AS ess_a, sum(w) FILTER (a = 0) ** 2 / sum(w * w) FILTER (a = 0) AS ess_b, max(w) AS weight_max, count(*) >= 30 AND least(count(*) FILTER (a = 1), count(*) FILTER (a = 0)) >= 5 AS ok FROM z GROUP BY rel_day, grace)""")
 def cau_13(x):
     g = cohort_grid(x).where("arm_a is not null").withColumn("p", F.lit(0.1) + F.lit(0.8) * ((F.col("entity") * 7 + F.col("rel_day")) % 10) / 10)
-    return r6(cohort.overlap_summary(g, by=["rel_day", "grace"], arm="arm_a", propensity="p", minimum=8, arm_minimum=2), "ess", "ess_a", "ess_b", "weight_max")
+    return r6(cohort.overlap_summary(g, by=["rel_day", "grace"], arm="arm_a", propensity="p"), "ess", "ess_a", "ess_b", "weight_max")
 
 
 _SITE = f"""SELECT rel_day, grace, site, entries, a, b, entries - a - b AS unclassified, CAST(a >= 5 AND b >= 5 AS INTEGER) AS both_large, CAST((a > 0) <> (b > 0) AS INTEGER) AS single_arm FROM (

@@ -180,12 +180,11 @@ def scl_11(x):
 
 @query(
     "scl_12",
-    f"""SELECT row_key, {sr6('ln(c / (1 - c))', 'logit')}, {sr6('1 / (1 + exp(-(p * 8 - 4)))', 'expit')} FROM (
- SELECT row_key, probability AS p, least(greatest(probability, 1e-6), 1 - 1e-6) AS c FROM f_scores WHERE arm = 'ties' AND repeat = 1)""",
+    f"""SELECT repeat, arm, row_key, {sr6('ln(c / (1 - c))', 'logit')}, {sr6('1 / (1 + exp(-(p * 8 - 4)))', 'expit')} FROM (
+ SELECT repeat, arm, row_key, probability AS p, least(greatest(probability, 1e-6), 1 - 1e-6) AS c FROM f_scores)""",
 )
 def scl_12(x):
-    df = x.scores.where("arm = 'ties' and repeat = 1")
-    return r6(df.select("row_key", s.logit("probability").alias("logit"),
+    return r6(x.scores.select("repeat", "arm", "row_key", s.logit("probability").alias("logit"),
                         s.expit(F.col("probability") * 8 - 4).alias("expit")), "logit", "expit")
 
 

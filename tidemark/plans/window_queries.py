@@ -194,13 +194,13 @@ def win_08(x):
 @query(
     "win_09",
     """SELECT arm, probability, CAST(sum(p) OVER w AS BIGINT) AS cum_pos, CAST(sum(q) OVER w AS BIGINT) AS cum_neg FROM (
-  SELECT arm, probability, sum(y) AS p, sum(1 - y) AS q FROM f_scores WHERE arm = 'ties' GROUP BY arm, probability)
+  SELECT arm, probability, sum(y) AS p, sum(1 - y) AS q FROM f_scores GROUP BY arm, probability)
 WINDOW w AS (PARTITION BY arm ORDER BY probability)""",
 )
 def win_09(x):
     from tidemark.functions.ordered import running, value_block
 
-    g = x.scores.where("arm = 'ties'").groupBy("arm", "probability").agg(
+    g = x.scores.groupBy("arm", "probability").agg(
         F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("q"))
     return running(g, ["arm"], ["probability"], block=value_block("probability"),
                    sums={"cum_pos": "p", "cum_neg": "q"}).select("arm", "probability", "cum_pos", "cum_neg")

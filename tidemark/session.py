@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +28,31 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset session gets a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets its own; on a cluster this is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    if configured is None and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(configured or LOCAL_CHECKPOINTS)
+
+
+def ship_package(spark: SparkSession, folder: str | Path) -> None:
+    """Send this package to the Python workers, for sessions whose executors can't import it. The archive is made in ``folder``."""
+    root = Path(__file__).resolve().parent
+    archive = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def materialize(df: DataFrame) -> DataFrame:
