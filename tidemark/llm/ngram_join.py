@@ -5,8 +5,9 @@ a shingle. Documents with equal sets are one class; classes with equal prefix an
 lists of their prefix shingles, are filtered by size, place and a bound from bit masks, and only pairs that are left are
 expanded to classes, filtered by the classes' own masks and verified on whole sets.
 
-Only classes that are not yet known to be linked are ever paired: a first round verifies each class against one hub,
-the second takes the pairs between the components of the first. So a large group of near copies costs one pair each.
+Only classes that are not yet known to be linked are ever paired. Star rounds verify each class against one hub of its
+lists, the nearest by the masks, while many pairs are left; a last round takes all pairs that are left between components.
+So a large group of near copies costs a few pairs each, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from tidemark.llm._text import mix, shingles, slices, string_column
 BITS = 512  # of a class's mask; bit = parity of the shingles that fall on it
 WORDS = BITS // 64
 FREQUENT, MOST_FREQUENT = 64, 100_000  # shingles of so many documents go last in the order; the order's table is bounded, not the work
-SMALL_IDS = 2_000_000  # up to so many ids (some 16 MB) are sent to all executors to pick texts; beyond, Spark joins
+ROUNDS, HUBS = 6, 4  # further star rounds at most, and the hubs of a list in each
+DENSE, SAMPLE = 4, 32  # a further round is run while the pairs left, estimated from one class in SAMPLE, are over DENSE a class
+SMALL_IDS = 2_000_000  # up to so many ids or shingles (some 50 MB) are sent to all executors to pick rows; beyond, Spark joins
 
 
 def prefix_length(n, num: int, den: int):
@@ -119,20 +122,29 @@ def _group_apart(x: str, y: str) -> Column:
     return reduce(operator.add, parts)
 
 
+def _within(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is in ``keys`` (one column, distinct): a small list goes to all executors, a larger one is joined by Spark."""
+    keys = keys.select(F.col(keys.columns[0]).alias("__key"))
+    return df.join(F.broadcast(keys) if keys.count() <= SMALL_IDS else keys, F.col(column) == F.col("__key"), "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets reach the threshold; sets are made anew from the texts of these classes only."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram")
-    wanted = ids.join(classes.select("id", "h1"), "id")
-    if ids.count() <= SMALL_IDS:
-        picked = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"], "left_semi")
-    else:
-        picked = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    sets = picked.select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
-    sets = written(sets.join(wanted, ["id", "h1"], "left_semi").select("id", "grams").dropDuplicates(["id"]), "ngram")  # rows may repeat an id with another text
-    x, y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+    """The pairs (a, b) of class ids whose sets reach the threshold, written; sets are made anew from the texts of these classes only.
+
+    Hubs are few: their sets come last, so what is shuffled by hub is wide and a hot hub's share is split.
+    """
+    marks = classes.select("id", "h1")
+    keyed = pairs.join(marks.withColumnsRenamed({"id": "a", "h1": "ha"}), "a").join(marks.withColumnsRenamed({"id": "b", "h1": "hb"}), "b")
+    keyed = written(keyed.select("a", "ha", "b", "hb"), "ngram")
+
+    def sets(side: str, mark: str, name: str) -> DataFrame:
+        ids = written(keyed.select(F.col(side).alias("id")).distinct(), "ngram")
+        made = _within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
+        return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.col("grams").alias(name))  # rows may repeat an id with another text: h1 picks
+
+    both = keyed.join(sets("a", "ha", "x"), ["a", "ha"]).join(sets("b", "hb", "y"), ["b", "hb"])
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(same * den >= num * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return written(both.where(same * den >= num * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "ngram")
 
 
 def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -141,8 +153,8 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     Words: runs of other than ASCII white space, A-Z lower-cased. A set: the distinct shingles of ``size`` words; fewer words
     make one shingle, no words an empty set, which links with nothing. component_id: smallest doc_id reachable. Null text
     is empty. Rows with null doc_id join their equal set's class but are no links of their own (component_id null if no
-    named row has this set). Rows with equal doc_id and different sets are compared by the smallest of these sets. Whole texts; extra columns are
-    left out.
+    named row has this set). Rows with equal doc_id and different sets are compared by the smallest of these sets. Whole
+    texts; extra columns are left out.
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,58 +164,109 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     masks = [f"m{i}" for i in range(WORDS)]
     schema = "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in masks)
     rows = written(docs.mapInArrow(_features(size, num, den, frequent), schema), "ngram")
-
-    named = rows.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first(F.struct("prefix", *masks)).alias("f"))
-    classes = classes.groupBy("id").agg(F.min_by(F.struct("n", "h1", "h2", "f.*"), F.struct("n", "h1", "h2")).alias("f")).select("id", "f.*")
-    classes = written(classes.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(3), "prefix")), "ngram")
-    held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
-    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
-    groups = written(groups, "ngram")
-    of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "n", "members", *masks)
-
-    # lists of two groups or more, their hub being the group of smallest id
-    posted = groups.select("g", "n", F.posexplode("prefix").alias("place", "gram"))
-    lists = posted.groupBy("gram").agg(F.count("*").alias("groups"), F.min("g").alias("hub")).where("groups > 1")
-    posted = written(posted.join(lists.select("gram", "hub"), "gram"), "ngram")
-
-    # round 1: a class against its group's first class, a group's first class against the smallest hub of its lists
-    own = of.where("members > 1 and id <> g").select(F.col("id").alias("a"), F.col("g").alias("b"))
-    hubs = posted.where("hub <> g").groupBy("g").agg(F.min("hub").alias("b")).select(F.col("g").alias("a"), "b")
-    stars = own.unionByName(hubs)
-    slim = classes.select("id", "n", *masks)
-    x, y = slim.alias("x"), slim.alias("y")
-    n_a, n_b = F.col("x.n"), F.col("y.n")
-    near = _sizes_fit(n_a, n_b, num, den) & (_apart("x", "y") <= n_a + n_b - 2 * _needed(n_a, n_b, num, den))
-    stars = written(stars.alias("s").join(x, F.col("s.a") == F.col("x.id")).join(y, (F.col("s.b") == F.col("y.id")) & near).select("s.a", "s.b"), "ngram")
-    links = written(_verified(stars, docs, classes, size, num, den), "ngram")
+    classes, groups, wide = _classes(rows)
+
+    # lists of two groups or more; only group ids are posted, places are looked up for the few groups of the last round
+    posted = _within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.explode("prefix").alias("gram"))
+    lists = written(posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram"), "ngram")
+    posted = written(_within(posted, "gram", lists), "ngram")
+    of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "members")
+    of = written(of.join(wide.select(F.col("doc_id").alias("id"), "n", *masks), "id"), "ngram")
+
+    # first round: a class against its group's first class, a group's first class against the first group of its lists
+    hub = posted.groupBy("gram").agg(F.min("g").alias("hub"))
+    own = of.where("members > 1 and id <> g").select("id", F.col("g").alias("hub"))
+    stars = own.unionByName(posted.join(hub, "gram").where("hub <> g").groupBy(F.col("g").alias("id")).agg(F.min("hub").alias("hub")))
+    links = _verified(_nearest(stars, of, masks, num, den), docs, classes, size, num, den)
     joined = components(links)
 
-    # round 2: what is left between components
-    of = of.join(joined, of["id"] == joined["node"], "left").select("g", "id", "n", *masks, F.coalesce("component", "id").alias("c"))
-    of = written(of, "ngram")
-    parts = of.groupBy("g", "n").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), *held)
-    live = posted.join(parts.select("g", "c_low", "c_high"), "g")
-    mixed = live.groupBy("gram").agg(F.min("c_low").alias("l"), F.max("c_high").alias("h")).where("l <> h").select("gram")
-    live = live.select("gram", "g", "place").join(mixed, "gram", "left_semi").join(parts, "g")
-    live = written(live, "ngram")
-    x, y = live.alias("x"), live.alias("y")
-    reach = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # common shingles from the first one on
-    need = _needed(n_a, n_b, num, den)
-    meet = (
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.g") < F.col("y.g")) & _sizes_fit(n_a, n_b, num, den)
-        & ((F.col("x.c_low") != F.col("y.c_high")) | (F.col("x.c_high") != F.col("y.c_low")))
-        & (reach >= need) & (_group_apart("x", "y") <= n_a + n_b - 2 * need)
-    )
-    group_pairs = x.join(y, meet).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    inner = parts.where("c_low <> c_high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-    group_pairs = group_pairs.unionByName(inner)
-    x, y = of.alias("x"), of.alias("y")
-    differ = (F.col("x.c") != F.col("y.c")) & ((F.col("p.ga") != F.col("p.gb")) | (F.col("x.id") < F.col("y.id")))
-    pairs = group_pairs.alias("p").join(x, F.col("p.ga") == F.col("x.g")).join(y, (F.col("p.gb") == F.col("y.g")) & differ & (_apart("x", "y") <= n_a + n_b - 2 * need))
-    pairs = written(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "ngram")
+    live, at = _live(posted, of, joined)
+    for turn in range(ROUNDS):
+        n, sampled = at.count(), _remaining(live, at, wide, masks, num, den, one_in=SAMPLE).count()
+        if sampled * SAMPLE <= DENSE * n:
+            break
+        new = _verified(_nearest(_hubs(live, at, turn), at, masks, num, den, apart=True), docs, classes, size, num, den)
+        links = written(links.unionByName(new), "ngram")
+        joined = components(links)
+        live, at = _live(live, at.drop("c"), joined)
+
+    pairs = written(_remaining(live, at, wide, masks, num, den), "ngram")
     more = _verified(pairs, docs, classes, size, num, den)
     joined = components(written(links.unionByName(more), "ngram"))
     known = classes.select("n", "h1", "h2", "id").join(joined, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes: id, n, h1, h2, p1, p2 of each distinct set; groups: n, p1, p2, g, members; the one row of ``rows`` for each class)."""
+    key = ["n", "h1", "h2"]
+    named = rows.where("n > 0 and doc_id is not null").withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(3), "prefix")})
+    classes = written(named.groupBy(*key, "p1", "p2").agg(F.min("doc_id").alias("id")), "ngram")
+    twice = written(classes.groupBy("id").agg(F.count("*").alias("c"), F.min(F.struct(*key)).alias("k")).where("c > 1").select("id", "k.*"), "ngram")
+    if not twice.isEmpty():  # ids with several sets keep the smallest
+        rest = classes.join(twice.select("id"), "id", "left_anti")
+        classes = written(rest.unionByName(classes.join(twice, ["id", *key], "left_semi")), "ngram")
+    wide = _within(named, "doc_id", classes.select("id"))
+    if wide.count() != classes.count():  # repeated rows, or other texts with such an id
+        wide = written(wide.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "ngram")
+    groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"), F.count("*").alias("members"))
+    return classes, written(groups, "ngram"), wide
+
+
+def _near(num: int, den: int) -> Column:
+    """Sizes and masks of classes x and y allow the threshold."""
+    a, b = F.col("x.n"), F.col("y.n")
+    return _sizes_fit(a, b, num, den) & (_apart("x", "y") <= a + b - 2 * _needed(a, b, num, den))
+
+
+def _nearest(candidates: DataFrame, of: DataFrame, masks: list[str], num: int, den: int, *, apart: bool = False) -> DataFrame:
+    """(a, b): for each class of ``candidates`` (id, hub) the hub nearest by the masks; ``apart``: of another component."""
+    slim = of.select("id", "n", *masks, *(["c"] if apart else []))
+    fits = _near(num, den) & (F.col("x.c") != F.col("y.c")) if apart else _near(num, den)
+    both = candidates.alias("k").join(slim.alias("x"), F.col("k.id") == F.col("x.id")).join(slim.alias("y"), (F.col("k.hub") == F.col("y.id")) & fits)
+    best = both.select(F.col("k.id").alias("a"), F.col("k.hub").alias("b"), _apart("x", "y").alias("d"))
+    return written(best.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"), "ngram")
+
+
+def _live(posted: DataFrame, of: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the lists that still hold several components; their classes with component c)."""
+    at = of.join(joined, of["id"] == joined["node"], "left").select(*of.columns, F.coalesce("component", "id").alias("c"))
+    parts = at.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = posted.join(parts, "g").groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
+    live = written(posted.join(mixed, "gram", "left_semi"), "ngram")
+    return live, written(at.join(live.select("g").distinct(), "g", "left_semi"), "ngram")
+
+
+def _hubs(live: DataFrame, at: DataFrame, turn: int) -> DataFrame:
+    """(id, hub): classes of live lists with ``HUBS`` classes drawn from each of their lists."""
+    member = live.join(at.select("g", "id"), "g").select("gram", "id")
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(turn * HUBS + k))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = member.groupBy("gram").agg(*drawn).select("gram", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("hub"))
+    per_group = live.join(hubs, "gram").select("g", "hub").distinct()
+    return per_group.join(at.select("g", "id"), "g").where("id <> hub").select("id", "hub")
+
+
+def _remaining(live: DataFrame, at: DataFrame, wide: DataFrame, masks: list[str], num: int, den: int, *, one_in: int = 1) -> DataFrame:
+    """(a, b): all pairs of classes of different components that sizes, places and masks allow: group pairs first, then their classes.
+
+    ``one_in``: for an estimate, only the pairs of one group in so many.
+    """
+    held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
+    parts = written(at.groupBy("g", "n").agg(F.min("c").alias("low"), F.max("c").alias("high"), *held), "ngram")
+    places = _within(wide, "doc_id", parts.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
+    live = written(places.join(live, ["g", "gram"], "left_semi").join(parts, "g"), "ngram")
+    n_a, n_b = F.col("x.n"), F.col("y.n")
+    need = _needed(n_a, n_b, num, den)
+    reach = F.least(n_a - F.col("x.place"), n_b - F.col("y.place"))  # common shingles from the first one on
+    meet = (
+        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.g") < F.col("y.g")) & _sizes_fit(n_a, n_b, num, den) & (reach >= need)
+        & ((F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))) & (_group_apart("x", "y") <= n_a + n_b - 2 * need)
+    )
+    first = live if one_in == 1 else live.where(F.pmod(F.xxhash64("g"), F.lit(one_in)) == 0)
+    pairs = first.alias("x").join(live.alias("y"), meet).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
+    inner = parts.where("low <> high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+    pairs = pairs.unionByName(inner if one_in == 1 else inner.where(F.pmod(F.xxhash64("ga"), F.lit(one_in)) == 0))
+    differ = (F.col("x.c") != F.col("y.c")) & ((F.col("p.ga") != F.col("p.gb")) | (F.col("x.id") < F.col("y.id")))
+    members = pairs.alias("p").join(at.alias("x"), F.col("p.ga") == F.col("x.g")).join(at.alias("y"), (F.col("p.gb") == F.col("y.g")) & differ & _near(num, den))
+    return members.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
