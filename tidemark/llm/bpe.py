@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._text import Memo, slices, string_column
 from tidemark.llm.token_counts import WHITE
 
-MEMO_WORDS = 150_000
+MEMO_WORDS = 60_000
 _LIMIT = 0x250  # below: Latin; texts with other characters are normalised by the library itself
 _loaded: dict[str, Model] = {}
 
@@ -217,7 +217,7 @@ def encode_decode(df: DataFrame, path: str, *, text: str = "text", digests: bool
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = string_column(batch, "__text")
-            for first, end, _, _ in slices(column, 1 << 22):
+            for first, end, _, _ in slices(column, 1 << 21):
                 n, ids, decoded = [], [], []
                 for count, a, b in encode_texts(column.slice(first, end - first).to_pylist(), path):
                     n.append(count)

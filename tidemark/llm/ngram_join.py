@@ -122,7 +122,7 @@ def _group_apart(x: str, y: str) -> Column:
     return reduce(operator.add, parts)
 
 
-def _within(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def within(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` is in ``keys`` (one column, distinct): a small list goes to all executors, a larger one is joined by Spark."""
     keys = keys.select(F.col(keys.columns[0]).alias("__key"))
     return df.join(F.broadcast(keys) if keys.count() <= SMALL_IDS else keys, F.col(column) == F.col("__key"), "left_semi")
@@ -139,7 +139,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
     def sets(side: str, mark: str, name: str) -> DataFrame:
         ids = written(keyed.select(F.col(side).alias("id")).distinct(), "ngram")
-        made = _within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
+        made = within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
         return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.col("grams").alias(name))  # rows may repeat an id with another text: h1 picks
 
     both = keyed.join(sets("a", "ha", "x"), ["a", "ha"]).join(sets("b", "hb", "y"), ["b", "hb"])
@@ -167,9 +167,9 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     classes, groups, wide = _classes(rows)
 
     # lists of two groups or more; only group ids are posted, places are looked up for the few groups of the last round
-    posted = _within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.explode("prefix").alias("gram"))
+    posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.explode("prefix").alias("gram"))
     lists = written(posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram"), "ngram")
-    posted = written(_within(posted, "gram", lists), "ngram")
+    posted = written(within(posted, "gram", lists), "ngram")
     of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "members")
     of = written(of.join(wide.select(F.col("doc_id").alias("id"), "n", *masks), "id"), "ngram")
 
@@ -207,7 +207,7 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     if not twice.isEmpty():  # ids with several sets keep the smallest
         rest = classes.join(twice.select("id"), "id", "left_anti")
         classes = written(rest.unionByName(classes.join(twice, ["id", *key], "left_semi")), "ngram")
-    wide = _within(named, "doc_id", classes.select("id"))
+    wide = within(named, "doc_id", classes.select("id"))
     if wide.count() != classes.count():  # repeated rows, or other texts with such an id
         wide = written(wide.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "ngram")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"), F.count("*").alias("members"))
@@ -254,7 +254,7 @@ def _remaining(live: DataFrame, at: DataFrame, wide: DataFrame, masks: list[str]
     """
     held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
     parts = written(at.groupBy("g", "n").agg(F.min("c").alias("low"), F.max("c").alias("high"), *held), "ngram")
-    places = _within(wide, "doc_id", parts.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
+    places = within(wide, "doc_id", parts.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
     live = written(places.join(live, ["g", "gram"], "left_semi").join(parts, "g"), "ngram")
     n_a, n_b = F.col("x.n"), F.col("y.n")
     need = _needed(n_a, n_b, num, den)

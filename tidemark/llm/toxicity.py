@@ -70,24 +70,25 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_link(name: str, word: np.ndarray, row: np.ndarray, y: np.ndarray, earlier: np.ndarray) -> Link:
+def fit_link(name: str, words: np.ndarray, code: np.ndarray, row: np.ndarray, y: np.ndarray, earlier: np.ndarray) -> Link:
     """Ridge logistic regression on the words that relate to the label, and on earlier log-odds.
 
-    word, row: pairs of word hash and row number; y: 0/1; earlier: (rows, k). Rows without the label are left out before.
+    words: hashes, ascending; code, row: pairs of place in ``words`` and row number; y: 0/1; earlier: (rows, k). Rows without the label are left out
+    before.
     """
     n, yes = len(y), float(y.sum())
     if not n or yes in (0, n):  # nothing to learn: the observed share, smoothed
         return Link(name, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(_log_odds(np.array((yes + 0.5) / (n + 1)))))
-    words, code = np.unique(word, return_inverse=True)
     df, hits = np.bincount(code, minlength=len(words)), np.bincount(code, weights=y[row], minlength=len(words))
     share = yes / n
     z = (hits - df * share) / np.sqrt(df * share * (1 - share) * (1 - df / (n + 1)) + 1e-9)
     good = np.flatnonzero((df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
     good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:MOST_WORDS]])
-    place = np.full(len(words), -1)
+    place = np.full(len(words), -1, np.int32)
     place[good] = np.arange(len(good))
     at = place[code]
-    row, at = row[at >= 0], at[at >= 0]
+    kept = at >= 0
+    row, at = row[kept], at[kept]
     k, m = earlier.shape[1], len(good)
     held = np.bincount(row, minlength=n) + 1 + (np.abs(earlier).sum(axis=1) if k else 0)  # bounds the curvature, one step size per weight
     scale = 0.25 * np.concatenate([np.bincount(at, weights=held[row], minlength=m), (np.abs(earlier) * held[:, None]).sum(axis=0), [held.sum()]]) + RIDGE
@@ -120,15 +121,18 @@ def margins(link: Link, word: np.ndarray, row: np.ndarray, n: int, earlier: np.n
 def fit_chain(word: np.ndarray, row: np.ndarray, fold: np.ndarray, labels: list[tuple[str, np.ndarray]], folds: int = FOLDS) -> list[Link]:
     """Models in order; ``labels``: (name, values 0/1, NaN where unknown), ``fold``: fold of each row."""
     n, chain = len(fold), []
+    words, code = np.unique(word, return_inverse=True)
+    code, row = code.astype(np.int32), row.astype(np.int32)
     earlier = np.zeros((n, 0))
     for number, (name, y) in enumerate(labels):
         known = ~np.isnan(y)
 
         def fit(rows: np.ndarray, name=name, y=y, earlier=earlier) -> Link:
-            place = np.full(n, -1)
+            place = np.full(n, -1, np.int32)
             place[rows] = np.arange(len(rows))
-            use = place[row] >= 0
-            return fit_link(name, word[use], place[row[use]], y[rows], earlier[rows])
+            at = place[row]
+            use = at >= 0
+            return fit_link(name, words, code[use], at[use], y[rows], earlier[rows])
 
         chain.append(fit(np.flatnonzero(known)))
         if number + 1 < len(labels):
@@ -138,7 +142,7 @@ def fit_chain(word: np.ndarray, row: np.ndarray, fold: np.ndarray, labels: list[
                 link = fit(np.flatnonzero(known & ~held))
                 use = held[row]
                 place = np.cumsum(held) - 1
-                out[held] = margins(link, word[use], place[row[use]], int(held.sum()), earlier[held])
+                out[held] = margins(link, words[code[use]], place[row[use]], int(held.sum()), earlier[held])
             earlier = np.column_stack([earlier, _log_odds(_sigmoid(out))])
     return chain
 
@@ -177,16 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] =
     schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(categories))) + ", size long, words array<long>"
     found = texts.select(F.col("doc_id").cast("long"), *[f"y{i}" for i in range(len(categories))], "size", "text").where(F.col("size") <= max_bytes).mapInArrow(_features, schema)
     found = written(found, "toxicity")
-    sizes = found.select("doc_id", "size", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"], kind="stable")  # at most ``rows`` rows
-    taken = sizes[sizes["size"].cumsum() <= max_bytes]["h"]
-    table = found.where(F.xxhash64("doc_id") <= int(taken.iloc[-1])).orderBy(F.xxhash64("doc_id"), "doc_id", "size").toArrow() if len(taken) else found.limit(0).toArrow()
+    sizes = found.select("size", F.xxhash64("doc_id").alias("h")).toArrow()  # at most ``rows`` rows
+    h, size = sizes.column("h").to_numpy(), sizes.column("size").to_numpy()
+    order = np.argsort(h, kind="stable")
+    taken = h[order][np.cumsum(size[order]) <= max_bytes]
+    table = found.where(F.xxhash64("doc_id") <= int(taken[-1])).toArrow() if len(taken) else found.limit(0).toArrow()
+    table = table.take(np.argsort(table.column("doc_id").to_numpy(), kind="stable")) if len(table) else table
     lists = table.column("words").combine_chunks()
     counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
     word = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     ids = table.column("doc_id").to_numpy().astype(np.int64)
     fold = (mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    rows_of = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
     values = [(c.name, table.column(f"y{i}").to_numpy(zero_copy_only=False).astype(np.float64)) for i, c in enumerate(categories)]
-    return fit_chain(word, np.repeat(np.arange(len(ids)), counts), fold, values)
+    del table, lists
+    return fit_chain(word, rows_of, fold, values)
 
 
 def score(df: DataFrame, chain: list[Link], *, prefix: str = "p_") -> DataFrame:
