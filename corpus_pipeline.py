@@ -12,7 +12,7 @@ from tidemark.llm._common import written
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chunk_dedup import substring_dedup
 from tidemark.llm.mixing import mix
-from tidemark.llm.ngram_join import ngram_jaccard
+from tidemark.llm.ngram_join import ngram_jaccard, within
 from tidemark.llm.toxicity import THRESHOLD, score, train
 
 ORACLE_SQL = None  # classifier, content-defined chunks and merges are outside SQL; tests/llm compares with brute force
@@ -32,7 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = ngram_jaccard(docs.select("doc_id", "text"), size=5, num=4, den=5)
     keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
-    named = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    named = within(docs, "doc_id", keep)
+    if named.count() != keep.count():  # repeated rows
+        named = named.dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
