@@ -172,8 +172,8 @@ def test_resampled_metrics_brute_force(spark):
     rows = [(1, "a", int(s), int(v), float(q), int(d)) for s, v, q, d in zip(stay, y, p, pod)]
     df = spark.createDataFrame(rows, "repeat int, arm string, stay int, y int, probability double, pod int")
     m = {d: rng.multinomial(80, np.full(80, 1 / 80)) for d in (1, 2, 3)}
-    mult = spark.createDataFrame([(d, e, int(v[e])) for d, v in m.items() for e in range(80) if v[e]], "draw int, stay int, m int")
-    got = {(r["draw"], r["scope"]): r for r in resample.resampled_metrics(df, mult, ["repeat", "arm"], draws=3, resolution=4).collect()}
+    weights = spark.createDataFrame([(e, bytes(int(m[d][e]) for d in (1, 2, 3))) for e in range(80) if any(m[d][e] for d in m)], "stay int, w binary")
+    got = {(r["draw"], r["scope"]): r for r in resample.resampled_metrics(df, weights, ["repeat", "arm"], draws=3, block_rows=40).collect()}
     m[0] = np.ones(80, int)
     scopes = {"total": np.ones(n, bool), "post": pod >= 0, "pre": pod < 0, "cross": (y == 1) | (pod < 0)}
     for d, v in m.items():
@@ -183,9 +183,16 @@ def test_resampled_metrics_brute_force(spark):
             assert np.allclose([r["auc"], r["ap"], r["brier"]], want), (d, s)
 
 
+def test_weights_equal_bootstrap(x):
+    ent = x.targets.select("stay", "case").distinct()
+    table = {(r["draw"], r["stay"]): r["m"] for r in splits.stratified_bootstrap(ent, draws=5).collect()}
+    packed = {(d + 1, r["stay"]): m for r in splits.bootstrap_weights(ent, draws=5).collect() for d, m in enumerate(r["w"]) if m}
+    assert packed == table
+
+
 def test_phase_metrics_equal_resampled_point(x):
     a = {(r["repeat"], r["arm"], r["metric"]): r["value"] for r in metrics.phase_metrics(x.scores, ["repeat", "arm"]).collect()}
-    m = resample.resampled_metrics(x.scores, x.mult.where("draw = 1"), ["repeat", "arm"], draws=1).where("draw = 0")
+    m = resample.resampled_metrics(x.scores, x.weights, ["repeat", "arm"], draws=1).where("draw = 0")
     b = {(r["repeat"], r["arm"], r["metric"]): r["value"] for r in metrics.long_metrics(m, ["repeat", "arm"]).collect()}
     assert a.keys() == b.keys() and np.allclose([a[k] for k in a], [b[k] for k in a])
 
@@ -218,13 +225,22 @@ def test_calibration(spark):
     for _ in range(30):
         q = 1 / (1 + np.exp(-X @ b))
         b += np.linalg.solve((X * (q * (1 - q))[:, None]).T @ X, X.T @ (y - q))
-    fit = metrics.calibration_slope(df)
+    fit = metrics.calibration_slope(df).first()
     assert fit["status"] == "converged" and np.allclose([fit["intercept"], fit["slope"]], b, atol=1e-6)
-    a = metrics.calibration_intercept(df)["intercept"]
+    a = metrics.calibration_intercept(df).first()["intercept"]
     assert abs(np.mean(1 / (1 + np.exp(-(a + z)))) - y.mean()) < 1e-9
-    assert metrics.calibration_slope(df.where("y = 1"))["status"] == "single_class"
-    sep = df.withColumn("y", (F.col("probability") > 0.5).cast("int"))
-    assert metrics.calibration_slope(sep)["status"] == "separated"
+    parts = df.withColumn("g", F.lit("all")).unionByName(df.where("y = 1").withColumn("g", F.lit("ones")))
+    parts = parts.unionByName(df.withColumn("y", (F.col("probability") > 0.5).cast("int")).withColumn("g", F.lit("sep")))
+    got = {r["g"]: (r["status"], r["slope"]) for r in metrics.calibration_slope(parts, ["g"]).collect()}
+    assert got["all"][0] == "converged" and got["ones"] == ("single_class", None) and got["sep"] == ("separated", None)
+
+
+def test_tree_program_fills_missing(x):
+    from tidemark.plans.attribution_queries import _COLS, model_rows
+
+    rows = model_rows(x).withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
+    p, info = models.tree_program(rows.where("fold < 3"), rows.where("fold = 3"), _COLS, fold="fold", keep=["row_key"], rounds=2, primary=F.col("l_quantity") > 10)
+    assert p.count() == rows.where("fold = 3").count() and p.where("probability is null").count() == 0 and info["rounds"] in (1, 2)
 
 
 # --- encodings and models ---

@@ -16,6 +16,7 @@ LANDMARKS = {
 # Resampling, inference and selection thresholds.
 BOOTSTRAP_DRAWS = 2000
 MIN_VALID_DRAWS = 1990
+QUERY_DRAWS = BOOTSTRAP_DRAWS  # of the registered queries; scripts/verify.py --draws lowers it to compare them with DuckDB
 MIN_EFFECT = 0.01
 SELECTION_TIE_TOLERANCE = 0.002
 IDENTITY_TOLERANCE = 1e-9

@@ -64,6 +64,8 @@ def inconsistent_groups(df: DataFrame, group: str, columns: Sequence[str]) -> Da
 def frequency(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """Count per value with the denominator of the whole group."""
     counts = df.groupBy(*by, value.alias("value")).agg(F.count("*").alias("n"))
+    if not by:  # one number, not a window over all values
+        return counts.withColumn("denominator", df.agg(F.count("*").alias("n")).select("n").scalar())
     return counts.withColumn("denominator", F.sum("n").over(Window.partitionBy(*by)))
 
 

@@ -6,6 +6,7 @@ Rows are merged to score groups first. Running counts are blocked by score, so a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from tidemark.contract import MIN_EFFECT, REL_DAY_BINS, bin_label, valid_floor
 from tidemark.functions.ordered import exact_quantiles, running, value_block
 from tidemark.functions.scalars import expit, logit
 from tidemark.operators.resample import resampled_metrics
+from tidemark.session import materialize
 
 METRIC_COLUMNS = ("auc", "ap", "brier")
 #: metric name -> (scope, statistic)
@@ -159,10 +161,10 @@ def equal_repeat(df: DataFrame, group: Sequence[str], value: str = "value") -> D
 
 
 def drawn_arm_metrics(
-    scores: DataFrame, mult: DataFrame, *, draws: int, entity: str = "stay"
+    scores: DataFrame, weights: DataFrame, *, draws: int, entity: str = "stay"
 ) -> DataFrame:
     """(draw, arm, metric, value): equal-repeat means of the eight metrics; draw 0 is the unweighted point."""
-    m = resampled_metrics(scores, mult, ["repeat", "arm"], draws=draws, entity=entity)
+    m = resampled_metrics(scores, weights, ["repeat", "arm"], draws=draws, entity=entity)
     return equal_repeat(long_metrics(m, ["draw", "repeat", "arm"]), ["draw", "arm", "metric"])
 
 
@@ -225,10 +227,10 @@ def simultaneous_summary(
 
 
 def paired_evaluation(
-    scores: DataFrame, mult: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None
+    scores: DataFrame, weights: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None
 ) -> DataFrame:
     """Per contrast: equal-repeat difference, percentile interval, simultaneous interval."""
-    deltas = contrast(drawn_arm_metrics(scores, mult, draws=draws), contrasts, ["draw"])
+    deltas = contrast(drawn_arm_metrics(scores, weights, draws=draws), contrasts, ["draw"])
     return simultaneous_summary(deltas, ["arm", "reference", "metric"], draws=draws, minimum=minimum)
 
 
@@ -260,9 +262,9 @@ def promotion(
     return out.select(*comparisons.columns, "holds", (F.col("holds") == "").alias("passes"))
 
 
-def arm_intervals(scores: DataFrame, mult: DataFrame, *, draws: int, minimum: int | None = None) -> DataFrame:
+def arm_intervals(scores: DataFrame, weights: DataFrame, *, draws: int, minimum: int | None = None) -> DataFrame:
     """Single-arm estimates with descriptive intervals on the shared draws."""
-    return interval_summary(drawn_arm_metrics(scores, mult, draws=draws), ["arm", "metric"], value="value", draws=draws, minimum=minimum)
+    return interval_summary(drawn_arm_metrics(scores, weights, draws=draws), ["arm", "metric"], value="value", draws=draws, minimum=minimum)
 
 
 def rel_bin_label(pod: Column) -> Column:
@@ -277,7 +279,7 @@ def _binned(scores: DataFrame) -> DataFrame:
 
 
 def binned_metrics(
-    scores: DataFrame, mult: DataFrame, *, draws: int, minimum: int | None = None, support: int = 10, entity: str = "stay"
+    scores: DataFrame, weights: DataFrame, *, draws: int, minimum: int | None = None, support: int = 10, entity: str = "stay"
 ) -> DataFrame:
     """Metrics per rel-day bin and arm. AUC needs ``support`` positive and negative entities in every repeat."""
     b = _binned(scores)
@@ -286,7 +288,7 @@ def binned_metrics(
         F.sum("p").alias("positive_entities"), F.count_if(F.col("q") == 0).alias("negative_entities"))
     ok = sup.groupBy("arm", "bin").agg(
         F.min((F.col("positive_entities") >= support) & (F.col("negative_entities") >= support)).alias("supported"))
-    m = resampled_metrics(b, mult, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    m = resampled_metrics(b, weights, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRIC_COLUMNS])
     key = ["arm", "bin", "metric"]
     values = equal_repeat(m.select("draw", "arm", "bin", F.explode(rows).alias("r")).select("draw", "arm", "bin", "r.*"), ["draw", *key])
@@ -297,10 +299,10 @@ def binned_metrics(
 
 
 def binned_gains(
-    scores: DataFrame, mult: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None, entity: str = "stay"
+    scores: DataFrame, weights: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None, entity: str = "stay"
 ) -> DataFrame:
     """Paired AUC gains per rel-day bin on the shared draws. ``contrasts`` has (arm, reference)."""
-    m = resampled_metrics(_binned(scores), mult, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    m = resampled_metrics(_binned(scores), weights, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
     values = equal_repeat(m.select("draw", "arm", F.col("bin").alias("metric"), F.col("auc").alias("value")), ["draw", "arm", "metric"])
     bins = F.array(F.lit("pre"), *[F.lit(bin_label(lo, hi)) for lo, hi in REL_DAY_BINS])
     deltas = contrast(values, contrasts.select("arm", "reference", F.explode(bins).alias("metric")), ["draw"])
@@ -358,70 +360,108 @@ def repeat_summary(df: DataFrame, group: Sequence[str], values: Sequence[str]) -
         F.avg(v).alias(f"{v}_mean"), F.when(F.count(v) > 1, F.stddev_samp(v)).alias(f"{v}_sd"))])
 
 
-def calibration_slope(df: DataFrame, *, score: str = "probability", y: str = "y", max_steps: int = 25, tol: float = 1e-9) -> dict:
-    """Unpenalised logistic fit y ~ 1 + logit(p): {'status', 'intercept', 'slope', 'steps'}.
+def _score_table(df: DataFrame, by: Sequence[str], score: str, y: str) -> DataFrame:
+    """(by, z, n, k): rows and positives per log-odds, written once for the passes over it."""
+    return materialize(df.groupBy(*by, logit(score).alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("k")))
 
-    The rows are merged to (score: n, positives) once; each Newton step is one aggregation of five
-    sums, and only those scalars come to the driver. Single class, constant score and separation
-    are reported, not fitted.
+
+def _fits(by: Sequence[str], table: DataFrame, rows: list[tuple]) -> DataFrame:
+    kinds = "".join(f"`{c}` {table.schema[c].dataType.simpleString()}, " for c in by)
+    return df_rows(table, f"{kinds}status string, intercept double, slope double, steps int", rows)
+
+
+def df_rows(like: DataFrame, schema: str, rows: list[tuple]) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def calibration_slope(
+    df: DataFrame, by: Sequence[str] = (), *, score: str = "probability", y: str = "y", max_steps: int = 25, tol: float = 1e-9
+) -> DataFrame:
+    """Unpenalised logistic fits y ~ 1 + logit(p), one per group: (by, status, intercept, slope, steps).
+
+    Groups are few (arms x repeats). All of them take a Newton step together: one aggregation of five sums per group, and
+    only those sums come to the driver. Undefined fits (single class, constant score, separation) have NULL coefficients.
     """
-    from tidemark.session import materialize
-
-    z = logit(score)
-    g = materialize(df.groupBy(z.alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("k")))
-    s = g.agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("z").alias("lo"), F.max("z").alias("hi"),
-        F.min(F.when(F.col("k") > 0, F.col("z"))).alias("p_lo"), F.max(F.when(F.col("k") > 0, F.col("z"))).alias("p_hi"),
-        F.min(F.when(F.col("k") < F.col("n"), F.col("z"))).alias("n_lo"), F.max(F.when(F.col("k") < F.col("n"), F.col("z"))).alias("n_hi"),
-        (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("mean"),
-    ).first()
-    fail = lambda why: {"status": why, "intercept": None, "slope": None, "steps": 0}
-    if not s["n"] or s["k"] in (0, s["n"]):
-        return fail("single_class")
-    if s["lo"] == s["hi"]:
-        return fail("constant_score")
-    if s["p_lo"] >= s["n_hi"] or s["p_hi"] <= s["n_lo"]:
-        return fail("separated")
-    center = s["mean"]
-    import math
-
-    base = s["k"] / s["n"]
-    a, b, c = math.log(base / (1 - base)), 0.0, F.col("z") - F.lit(center)
+    by = list(by)
+    g = _score_table(df, by, score, y)
+    pos, neg = F.col("k") > 0, F.col("k") < F.col("n")
+    start = g.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("z").alias("lo"), F.max("z").alias("hi"), (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("mean"),
+        *[f(F.when(c, F.col("z"))).alias(f"{m}_{s}") for m, c in (("p", pos), ("n", neg)) for s, f in (("lo", F.min), ("hi", F.max))]).collect()
+    done: dict[tuple, tuple] = {}
+    at: dict[tuple, list] = {}
+    for r in start:
+        key = tuple(r[c] for c in by)
+        if r["k"] in (0, r["n"]):
+            done[key] = ("single_class", None, None, 0)
+        elif r["lo"] == r["hi"]:
+            done[key] = ("constant_score", None, None, 0)
+        elif r["p_lo"] >= r["n_hi"] or r["p_hi"] <= r["n_lo"]:
+            done[key] = ("separated", None, None, 0)
+        else:
+            share = r["k"] / r["n"]
+            at[key] = [math.log(share / (1 - share)), 0.0, r["mean"], r["n"]]
+    kinds = "".join(f"`{c}` {g.schema[c].dataType.simpleString()}, " for c in by)
+    for step in range(1, max_steps + 1):
+        if not at:
+            break
+        now = df_rows(g, f"{kinds}a double, b double, c double", [(*k, *v[:3]) for k, v in at.items()])
+        j = g.join(F.broadcast(now), by) if by else g.crossJoin(F.broadcast(now))  # one row per open group
+        x = F.col("z") - F.col("c")
+        p = expit(F.col("a") + F.col("b") * x)
+        left, w = F.col("k") - F.col("n") * p, F.col("n") * p * (1 - p)
+        sums = {"g0": left, "g1": left * x, "h00": w, "h01": w * x, "h11": w * x * x}
+        for t in j.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in sums.items()]).collect():
+            key = tuple(t[c] for c in by)
+            state = at[key]
+            det = t["h00"] * t["h11"] - t["h01"] ** 2
+            if det <= 0:
+                done[key] = ("singular", None, None, step)
+                del at[key]
+                continue
+            da, db = (t["h11"] * t["g0"] - t["h01"] * t["g1"]) / det, (t["h00"] * t["g1"] - t["h01"] * t["g0"]) / det
+            state[0], state[1] = state[0] + da, state[1] + db
+            if max(abs(da), abs(db)) < tol and max(abs(t["g0"]), abs(t["g1"])) < 1e-6 * state[3]:
+                done[key] = ("converged", state[0] - state[1] * state[2], state[1], step)
+                del at[key]
+    done |= {k: ("not_converged", None, None, max_steps) for k in at}
+    return _fits(by, g, [(*k, *v) for k, v in done.items()])
+
+
+def calibration_intercept(
+    df: DataFrame, by: Sequence[str] = (), *, score: str = "probability", y: str = "y", max_steps: int = 60, tol: float = 1e-11
+) -> DataFrame:
+    """Shift a with mean(expit(a + logit p)) = mean(y) per group: (by, status, intercept). Bracketed Newton steps, one job for all groups."""
+    by = list(by)
+    g = _score_table(df, by, score, y)
+    done: dict[tuple, tuple] = {}
+    at: dict[tuple, list] = {}
+    for r in g.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect():
+        key = tuple(r[c] for c in by)
+        if r["k"] in (0, r["n"]):
+            done[key] = ("single_class", None, None, 0)
+        else:
+            at[key] = [0.0, -50.0, 50.0, r["k"]]
+    kinds = "".join(f"`{c}` {g.schema[c].dataType.simpleString()}, " for c in by)
     for step in range(1, max_steps + 1):
-        p = expit(F.lit(a) + F.lit(b) * c)
-        r, w = F.col("k") - F.col("n") * p, F.col("n") * p * (1 - p)
-        t = g.agg(F.sum(r).alias("g0"), F.sum(r * c).alias("g1"), F.sum(w).alias("h00"), F.sum(w * c).alias("h01"), F.sum(w * c * c).alias("h11")).first()
-        det = t["h00"] * t["h11"] - t["h01"] ** 2
-        if det <= 0:
-            return fail("singular")
-        da = (t["h11"] * t["g0"] - t["h01"] * t["g1"]) / det
-        db = (t["h00"] * t["g1"] - t["h01"] * t["g0"]) / det
-        a, b = a + da, b + db
-        if max(abs(da), abs(db)) < tol and max(abs(t["g0"]), abs(t["g1"])) < 1e-6 * s["n"]:
-            return {"status": "converged", "intercept": a - b * center, "slope": b, "steps": step}
-    return fail("not_converged")
-
-
-def calibration_intercept(df: DataFrame, *, score: str = "probability", y: str = "y", max_steps: int = 60, tol: float = 1e-11) -> dict:
-    """Shift a with mean(expit(a + logit p)) = mean(y): bracketed Newton steps, one aggregation each."""
-    from tidemark.session import materialize
-
-    g = materialize(df.groupBy(logit(score).alias("z")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("k")))
-    s = g.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    if not s["n"] or s["k"] in (0, s["n"]):
-        return {"status": "single_class", "intercept": None}
-    a, lo, hi = 0.0, -50.0, 50.0
-    for _ in range(max_steps):
-        p = expit(F.lit(a) + F.col("z"))
-        t = g.agg(F.sum(F.col("n") * p).alias("f"), F.sum(F.col("n") * p * (1 - p)).alias("d")).first()
-        f = t["f"] - s["k"]
-        lo, hi = (lo, a) if f > 0 else (a, hi)
-        nxt = a - f / t["d"] if t["d"] > 0 else (lo + hi) / 2
-        nxt = nxt if lo < nxt < hi else (lo + hi) / 2
-        if abs(nxt - a) < tol:
-            return {"status": "converged", "intercept": nxt}
-        a = nxt
-    return {"status": "not_converged", "intercept": None}
+        if not at:
+            break
+        now = df_rows(g, f"{kinds}a double", [(*k, v[0]) for k, v in at.items()])
+        j = g.join(F.broadcast(now), by) if by else g.crossJoin(F.broadcast(now))  # one row per open group
+        p = expit(F.col("a") + F.col("z"))
+        for t in j.groupBy(*by).agg(F.sum(F.col("n") * p).alias("f"), F.sum(F.col("n") * p * (1 - p)).alias("d")).collect():
+            key = tuple(t[c] for c in by)
+            a, lo, hi, k = at[key]
+            f = t["f"] - k
+            lo, hi = (lo, a) if f > 0 else (a, hi)
+            nxt = a - f / t["d"] if t["d"] > 0 else (lo + hi) / 2
+            nxt = nxt if lo < nxt < hi else (lo + hi) / 2
+            at[key] = [nxt, lo, hi, k]
+            if abs(nxt - a) < tol:
+                done[key] = ("converged", nxt, None, step)
+                del at[key]
+    done |= {k: ("not_converged", None, None, max_steps) for k in at}
+    return _fits(by, g, [(*k, *v) for k, v in done.items()]).drop("slope")
 
 
 # --- ledger ---

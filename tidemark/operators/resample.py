@@ -1,8 +1,9 @@
-"""Rank metrics under many shared entity weights: sort once, reweight every draw.
+"""Rank metrics and sums under many shared entity weights: sort once, reweight every draw.
 
-Each row carries its entity's multiplicities as two short arrays instead of being copied once per
-draw. Rows are partitioned by (group, score block); NumPy works on one block at a time over Arrow buffers and SQL
-adds the blocks up. Statistics are exact for any number of blocks.
+Each row carries its entity's multiplicities as one byte per draw instead of being copied once per draw. Rows are
+partitioned by (group, score block); blocks are cut from counted rows, so a task holds ``BLOCK_ROWS`` rows at most, and the
+rows of one score that is larger than that are summed in salted parts first. NumPy works on a block and a slab of draws at a time. Statistics are
+exact for any number of blocks.
 """
 
 from __future__ import annotations
@@ -11,175 +12,166 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.ordered import value_block
+from tidemark.session import materialize
 
 SCOPES = ("total", "post", "pre", "cross")
-_CHANNELS = ("p0", "p1", "n0", "n1")  # positives / negatives before and after the index
+BLOCK_ROWS = 4096
 _SLAB = 128
-_HOT = 64  # rows of one score in an Arrow batch from which merging pays off
 
 
-def _triplets(t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, draw, weight) triplets of the sparse weights, read from the flat list buffers."""
-    lens = pc.list_value_length(t.column("d")).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else pc.list_value_length(t.column("d")).to_numpy()
-    flat = [pc.list_flatten(t.column(c)) for c in ("d", "w")]
-    d, w = (f.to_numpy(zero_copy_only=False) if isinstance(f, pa.Array) else f.to_numpy() for f in flat)
-    return np.repeat(np.arange(len(lens)), lens), d.astype(np.int64), w.astype(np.float64)
+def _weights(table: pa.Table | pa.RecordBatch, draws: int) -> np.ndarray:
+    """(rows, draws + 1) weights, draw 0 first; missing weights are zeros beyond draw 0."""
+    out = np.zeros((table.num_rows, draws + 1), np.int64)
+    counts = table.column("c").to_numpy()
+    packed, summed = table.column("w").to_pylist(), table.column("sums").to_pylist()
+    out[:, 0] = counts
+    some = [i for i, w in enumerate(packed) if w is not None]
+    if some:
+        bytes_ = np.frombuffer(b"".join(packed[i][:draws] for i in some), np.uint8).reshape(len(some), draws)
+        out[some, 1:] = bytes_ * counts[some, None]
+    for i, s in enumerate(summed):
+        if s is not None:
+            out[i] = np.frombuffer(s, np.int64)
+    return out
 
 
-def _codes(t: pa.RecordBatch, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each distinct key, key code per row)."""
-    code = np.zeros(t.num_rows, dtype=np.int64)
-    for c in columns:
-        enc = pc.dictionary_encode(t.column(c), null_encoding="encode")
-        code = code * max(len(enc.dictionary), 1) + enc.indices.to_numpy(zero_copy_only=False)
-        code = np.unique(code, return_inverse=True)[1]
-    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-    return first, inverse
+def _channel(table: pa.Table) -> np.ndarray:
+    """0, 1: positives before and after the index; 2, 3: negatives."""
+    return 2 * (1 - table.column("y").to_numpy().astype(np.int64)) + table.column("post").to_numpy().astype(np.int64)
 
 
-def _floats(t: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
-    c = t.column(column)
-    return (c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy()).astype(np.float64)
-
-
-def _channel(t: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return (2 * (1 - _floats(t, "y")) + _floats(t, "post")).astype(np.int64)
-
-
-def _per_draw(t: pa.RecordBatch, keys: Sequence[str], first: np.ndarray, draws: int, values: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    """One output row per (distinct key, draw)."""
-    head = t.select(list(keys)).take(pa.array(np.repeat(first, draws + 1)))
-    cols = [head.column(k) for k in keys] + [pa.array(np.tile(np.arange(draws + 1, dtype=np.int32), len(first)))]
-    cols += [pa.array(v) for v in values.values()]
-    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
+def _keys(key: tuple, names: Sequence[str], schema: pa.Schema, rows: int) -> list[pa.Array]:
+    return [pa.array([k.as_py()] * rows, schema.field(n).type) for k, n in zip(key, names, strict=True)]
 
 
 def resampled_metrics(
-    df: DataFrame, mult: DataFrame, group: Sequence[str], *, draws: int, entity: str = "stay", score: str = "probability",
-    y: str = "y", scopes: Sequence[str] = SCOPES, resolution: int = 16,
+    df: DataFrame, weights: DataFrame, group: Sequence[str], *, draws: int, entity: str = "stay", score: str = "probability",
+    y: str = "y", scopes: Sequence[str] = SCOPES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(draw, group, scope, n_pos, n_neg, auc, ap, brier) for draws 1..``draws`` and draw 0 with unit weights.
 
-    ``mult`` is (draw, entity, m) without zero rows. ``resolution`` sets the score blocks per power
-    of two; raise it with the data so that a block's rows fit a task. Rows of one score, however
-    many, are merged per Arrow batch before the shuffle.
+    ``weights`` is (entity, w): one byte per draw (``splits.bootstrap_weights``); entities without a row count in draw 0 only.
     """
     group = list(group)
     post = (F.col("pod") >= 0).cast("int") if "pod" in df.columns else F.lit(0)
-    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg(
-        F.count("*").cast("int").alias("c"))
-    m = mult.groupBy(entity).agg(F.collect_list(F.struct(F.col("draw").cast("short").alias("d"), F.col("m").cast("int").alias("m"))).alias("z"))
-    j = rows.join(m, entity, "left")
-    none = F.array().cast("array<int>")
-    weights = F.concat(F.array(F.lit(1)), F.coalesce(F.col("z.m"), none))
-    keyed = j.select(
-        *group, value_block("s", resolution).alias("block"), "s", "y", "post",
-        F.concat(F.array(F.lit(0).cast("short")), F.coalesce(F.col("z.d"), F.array().cast("array<smallint>"))).alias("d"),
-        F.transform(weights, lambda v: v * F.col("c")).alias("w"),
-    )
+    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg(F.count("*").cast("int").alias("c"))
+    rows = rows.withColumn("fine", value_block("s"))
+    counts = rows.groupBy(*group, "fine").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*group).orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)  # one row per fine block
+    counts = counts.select(*group, "fine", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"), F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / block_rows).alias("block"))
+    placed = rows.join(materialize(counts), [*group, "fine"]).drop("fine")
+    placed = placed.join(weights.select(entity, "w"), entity, "left").select(*group, "block", "s", "y", "post", "c", "w", F.lit(None).cast("binary").alias("sums"), "parts", entity)
     keys = [*group, "block"]
-    schema = keyed.schema
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merge rows of a score that fills much of a batch; all other rows pass unchanged."""
-        cols = [*keys, "s", "y", "post"]
-        for b in batches:
-            _, inverse, counts = np.unique(_floats(b, "s"), return_inverse=True, return_counts=True)
-            hot = counts[inverse] > _HOT
-            if not hot.any():
-                yield b
-                continue
-            if not hot.all():
-                yield b.filter(pa.array(~hot))
-            part = b.filter(pa.array(hot))
-            first, code = _codes(part, cols)
-            r, d, w = _triplets(part)
-            total = np.bincount(code[r] * (draws + 1) + d, weights=w, minlength=len(first) * (draws + 1)).reshape(len(first), draws + 1)
-            row, draw = np.nonzero(total)
-            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(first)))].astype(np.int32))
-            out = part.take(pa.array(first))
-            lists = {"d": pa.array(draw.astype(np.int16)), "w": pa.array(total[row, draw].astype(np.int32))}
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(offsets, lists[n]).cast(out.schema.field(n).type) if n in lists else out.column(n) for n in out.schema.names],
-                schema=out.schema)
-
-    merged = keyed.mapInArrow(merge, schema).repartition(*keys)
+    # a block is a run of small fine blocks; a fine block over the limit is summed per score first, in salted parts
+    small = placed.where("parts = 1").drop("parts", entity)
+    merge = [*keys, "s", "y", "post"]
+    schema = small.schema
+    arrow = to_arrow_schema(schema)
+
+    def total(key: tuple, table: pa.Table) -> pa.Table:
+        sums = _weights(table, draws).sum(axis=0)
+        head = _keys(key[: len(merge)], merge, arrow, 1)
+        return pa.Table.from_arrays([*head, pa.array([1], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], schema=arrow)
+
+    salt = F.pmod(F.xxhash64(entity), F.col("parts")).alias("salt")
+    large = placed.where("parts > 1").select(*merge, "c", "w", "sums", salt).groupBy(*merge, "salt").applyInArrow(total, schema)
+    merged = small.unionByName(large).repartition(*keys)
 
+    slab_starts = list(range(0, draws + 1, _SLAB))
     key_fields = [schema[k] for k in keys]
-    totals_schema = T.StructType([*key_fields, T.StructField("draw", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in _CHANNELS]])
-
-    totals_arrow = to_arrow_schema(totals_schema)
-
-    def block_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            first, code = _codes(b, keys)
-            r, d, w = _triplets(b)
-            flat = (code[r] * (draws + 1) + d) * 4 + _channel(b)[r]
-            t = np.bincount(flat, weights=w, minlength=len(first) * (draws + 1) * 4).reshape(-1, 4)
-            yield _per_draw(b, keys, first, draws, {c: t[:, i] for i, c in enumerate(("p0", "p1", "n0", "n1"))}, totals_arrow)
-
-    per_block = merged.mapInArrow(block_totals, totals_schema).groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in _CHANNELS])
-    before = Window.partitionBy(*group, "draw").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group, "draw")
-    offs = per_block.select(
-        *keys, "draw", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b_{c}") for c in _CHANNELS],
-        *[F.sum(c).over(whole).alias(f"t_{c}") for c in _CHANNELS])
-    packed = [f"{x}_{c}" for x in "bt" for c in _CHANNELS]
-    arrays = offs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("draw", *packed))).alias("z")).select(
-        *keys, *[F.col(f"z.{c}").alias(c) for c in packed])
+    totals_schema = T.StructType([*key_fields, T.StructField("slab", T.IntegerType()), T.StructField("t", T.BinaryType())])
+
+    def block_totals(key: tuple, table: pa.Table) -> pa.Table:
+        w, channel = _weights(table, draws), _channel(table)
+        sums = np.stack([w[channel == c].sum(axis=0) for c in range(4)]).astype(np.float64)
+        out = to_arrow_schema(totals_schema)
+        cells = [pa.array(slab_starts, pa.int32()), pa.array([sums[:, lo : lo + _SLAB].tobytes() for lo in slab_starts], pa.binary())]
+        return pa.Table.from_arrays([*_keys(key, keys, out, len(slab_starts)), *cells], schema=out)
+
+    prefix_schema = T.StructType([*totals_schema.fields[:-1], T.StructField("before", T.BinaryType()), T.StructField("last", T.BooleanType())])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Running totals over the blocks of a (group, slab); its last row holds the whole."""
+        out_schema, last, run, shape = to_arrow_schema(prefix_schema), None, None, None
+
+        def row(head: tuple, value: np.ndarray, end: bool) -> list:
+            return [*head[: len(group)], head[len(group)], head[len(group) + 1], value.tobytes(), end]
+
+        for batch in batches:
+            found = []
+            for *head, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mark = (*head[: len(group)], head[-1])
+                value = np.frombuffer(t, np.float64)
+                if mark != last:
+                    if last is not None:
+                        found.append(row(shape, run, True))
+                    last, run = mark, np.zeros(len(value))
+                found.append(row(tuple(head), run, False))
+                run, shape = run + value, tuple(head)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out_schema, strict=True)], schema=out_schema)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(shape, run, True), out_schema, strict=True)], schema=out_schema)
+
+    per_block = merged.groupBy(*keys).applyInArrow(block_totals, totals_schema)
+    ordered = per_block.repartition(*group, "slab").sortWithinPartitions(*group, "slab", "block")
+    sums = materialize(ordered.mapInArrow(prefix, prefix_schema))
+    whole = sums.where("last").select(*group, "slab", F.col("before").alias("whole"))
+    offsets = sums.where("not last").drop("last").join(whole, [*group, "slab"]).select(*keys, "slab", "before", "whole")
 
     out_schema = T.StructType([
         *[schema[k] for k in group], T.StructField("draw", T.IntegerType()), T.StructField("scope", T.StringType()),
         *[T.StructField(c, T.DoubleType()) for c in ("p", "n", "u", "a", "b")]])
     wanted = tuple(scopes)
-
-    out_arrow = to_arrow_schema(out_schema)
-
-    def local(left: pa.Table, right: pa.Table) -> pa.Table:
-        s_raw = _floats(left, "s")
-        value, sid = np.unique(s_raw, return_inverse=True)
-        n_s, value = len(value), value[:, None]
-        r, d, w = _triplets(left)
-        chan, sid = _channel(left)[r], sid[r]
-        off = {c: right.column(c).chunk(0)[0].values.to_numpy(zero_copy_only=False).astype(np.float64) for c in packed}
+    sides = {"total": ((0, 1), (2, 3)), "post": ((1,), (3,)), "pre": ((0,), (2,)), "cross": ((0, 1), (2,))}
+
+    def local(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out_arrow = to_arrow_schema(out_schema)
+        value, sid = np.unique(left.column("s").to_numpy(), return_inverse=True)
+        channel, w = _channel(left), _weights(left, draws)
+        n_s, score_ = len(value), value[:, None]
+        rows_of = []
+        for c in range(4):
+            mine = np.flatnonzero(channel == c)
+            mine = mine[np.argsort(sid[mine], kind="stable")]
+            starts = np.flatnonzero(np.append(True, np.diff(sid[mine]) > 0)) if len(mine) else mine
+            rows_of.append((mine, starts, sid[mine][starts] if len(mine) else mine))
+        at = {s: (np.frombuffer(b, np.float64).reshape(4, -1), np.frombuffer(t, np.float64).reshape(4, -1))
+              for s, b, t in zip(right.column("slab").to_pylist(), right.column("before").to_pylist(), right.column("whole").to_pylist(), strict=True)}
         parts: dict[str, list] = {c: [] for c in ("draw", "scope", "p", "n", "u", "a", "b")}
-        for lo in range(0, draws + 1, _SLAB):
-            hi = min(lo + _SLAB, draws + 1)
-            k = (d >= lo) & (d < hi)
-            width = hi - lo
-            flat = (chan[k] * n_s + sid[k]) * width + (d[k] - lo)
-            ch = np.bincount(flat, weights=w[k], minlength=4 * n_s * width).reshape(4, n_s, width)
-            ch = {"p0": ch[0], "p1": ch[1], "n0": ch[2], "n1": ch[3]}
-            o = {c: v[lo:hi] for c, v in off.items()}
+        for lo in slab_starts:
+            before, whole_ = at[lo]
+            width = before.shape[1]
+            cells = np.zeros((4, n_s, width))
+            for c, (mine, starts, ids) in enumerate(rows_of):
+                if len(mine):
+                    cells[c, ids] = np.add.reduceat(w[mine, lo : lo + width], starts, axis=0)
+            upto_ = cells.cumsum(axis=1)
+            square = [cells[c] * ((score_ - 1) ** 2 if c < 2 else score_**2) for c in range(4)]
+            square = [x.sum(axis=0) for x in square]
             for scope in wanted:
-                pos = {"total": ("p0", "p1"), "post": ("p1",), "pre": ("p0",), "cross": ("p0", "p1")}[scope]
-                neg = {"total": ("n0", "n1"), "post": ("n1",), "pre": ("n0",), "cross": ("n0",)}[scope]
-                p, n = sum(ch[c] for c in pos), sum(ch[c] for c in neg)
-                bp, bn = sum(o[f"b_{c}"] for c in pos), sum(o[f"b_{c}"] for c in neg)
-                tp, tn = sum(o[f"t_{c}"] for c in pos), sum(o[f"t_{c}"] for c in neg)
-                cn = bn + np.cumsum(n, axis=0)
-                above_p = tp - bp - np.cumsum(p, axis=0) + p
-                above = above_p + tn - cn + n
+                pos, neg = sides[scope]
+                add = lambda x, which: sum(x[c] for c in which)
+                here = np.unique(np.concatenate([rows_of[c][2] for c in pos]))  # ranks are summed over the positives' scores only
+                p, n = add(cells[:, here], pos), add(cells[:, here], neg)
+                above_p = add(whole_, pos) - add(before, pos) - add(upto_[:, here], pos) + p
+                below_n = add(before, neg) + add(upto_[:, here], neg)
+                above = above_p + add(whole_, neg) - below_n + n
                 prec = np.divide(above_p, above, out=np.zeros_like(p), where=above > 0)
-                found = {"draw": np.arange(lo, hi, dtype=np.int32), "scope": np.full(width, scope, dtype=object), "p": p.sum(axis=0), "n": n.sum(axis=0),
-                         "u": (p * (cn - n / 2)).sum(axis=0), "a": (p * prec).sum(axis=0), "b": (p * (value - 1) ** 2 + n * value**2).sum(axis=0)}
+                found = {"draw": np.arange(lo, lo + width, dtype=np.int32), "scope": np.full(width, scope, dtype=object), "p": p.sum(axis=0), "n": add(upto_[:, -1], neg),
+                         "u": (p * (below_n - n / 2)).sum(axis=0), "a": (p * prec).sum(axis=0), "b": add(square, (*pos, *neg))}
                 for c, v in found.items():
                     parts[c].append(v)
-        stats = {c: pa.array(np.concatenate(v)) for c, v in parts.items()}
-        rows = len(stats["draw"])
-        cols = [left.column(g).take(pa.array(np.zeros(rows, dtype=np.int64))).combine_chunks() for g in group] + list(stats.values())
-        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
+        stats = [pa.array(np.concatenate(v)) for v in parts.values()]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip([*_keys(key[: len(group)], group, out_arrow, len(stats[0])), *stats], out_arrow, strict=True)], schema=out_arrow)
 
-    blocks = merged.groupBy(*keys).cogroup(arrays.groupBy(*keys)).applyInArrow(local, out_schema)
+    blocks = merged.groupBy(*keys).cogroup(offsets.groupBy(*keys)).applyInArrow(local, out_schema)
     t = blocks.groupBy("draw", *group, "scope").agg(*[F.sum(c).alias(c) for c in ("p", "n", "u", "a", "b")])
     p, n = F.col("p"), F.col("n")
     return t.select(
@@ -188,34 +180,38 @@ def resampled_metrics(
         F.when(p + n > 0, F.col("b") / (p + n)).alias("brier"))
 
 
+SUM_ROWS = 20_000
+
+
 def resampled_sums(
-    df: DataFrame, mult: DataFrame, group: Sequence[str], values: Sequence[str], *, draws: int, entity: str = "stay"
+    df: DataFrame, weights: DataFrame, group: Sequence[str], values: Sequence[str], *, draws: int, entity: str = "stay"
 ) -> DataFrame:
-    """(draw, group, sums): multiplicity-weighted sums of linear statistics; draw 0 has unit weights.
+    """(draw, group, sums, weight): multiplicity-weighted sums of linear statistics; draw 0 has unit weights.
 
-    ``df`` holds per-entity cells. Each Arrow batch is reduced to one row per (group, draw) in the
-    task, so the copies per draw never reach a shuffle. NULL values count as 0.
+    ``df`` holds per-entity cells. Cells are dealt to (group, part), a part holding ``SUM_ROWS`` cells at most by the group's own count, and
+    each part becomes one row per draw, so a task holds one part and the copies per draw never reach a shuffle. NULL values count as 0.
     """
     group, values = list(group), list(values)
-    m = mult.groupBy(entity).agg(F.collect_list(F.struct(F.col("draw").cast("short").alias("d"), F.col("m").cast("int").alias("m"))).alias("z"))
-    j = df.join(m, entity, "left")
-    rows = j.select(
-        *group, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values],
-        F.concat(F.array(F.lit(0).cast("short")), F.coalesce(F.col("z.d"), F.array().cast("array<smallint>"))).alias("d"),
-        F.concat(F.array(F.lit(1)), F.coalesce(F.col("z.m"), F.array().cast("array<int>"))).alias("w"))
-    schema = T.StructType([*[rows.schema[g] for g in group], T.StructField("draw", T.IntegerType()),
+    cells = df.select(entity, *group, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    sizes = materialize(cells.groupBy(*group).agg(F.ceil(F.count("*") / SUM_ROWS).cast("int").alias("parts")))
+    placed = cells.join(sizes, group).withColumn("__part", F.pmod(F.xxhash64(entity), F.col("parts")))
+    placed = placed.join(weights.select(entity, "w"), entity, "left").select(*group, "__part", *values, "w")
+    schema = T.StructType([*[placed.schema[g] for g in group], T.StructField("draw", T.IntegerType()),
                            *[T.StructField(v, T.DoubleType()) for v in values], T.StructField("weight", T.DoubleType())])
 
-    arrow = to_arrow_schema(schema)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            first, code = _codes(b, group)
-            r, d, w = _triplets(b)
-            flat, size = code[r] * (draws + 1) + d, len(first) * (draws + 1)
-            sums = {v: np.bincount(flat, weights=w * _floats(b, v)[r], minlength=size) for v in values}
-            yield _per_draw(b, group, first, draws, {**sums, "weight": np.bincount(flat, weights=w, minlength=size)}, arrow)
-
-    return rows.mapInArrow(reduce, schema).groupBy("draw", *group).agg(*[F.sum(v).alias(v) for v in [*values, "weight"]])
+    def reduce(key: tuple, table: pa.Table) -> pa.Table:
+        arrow = to_arrow_schema(schema)
+        x = np.column_stack([*[table.column(v).to_numpy() for v in values], np.ones(table.num_rows)])
+        sums = np.zeros((draws + 1, x.shape[1]))
+        sums[0] = x.sum(axis=0)
+        held = table.column("w").to_pylist()
+        for lo in range(0, len(held), 1000):  # a slab of entities at a time
+            some = [i for i in range(lo, min(lo + 1000, len(held))) if held[i] is not None]
+            if some:
+                m = np.frombuffer(b"".join(held[i][:draws] for i in some), np.uint8).reshape(len(some), draws)
+                sums[1:] += m.T.astype(np.float64) @ x[some]
+        out = [*_keys(key[: len(group)], group, arrow, draws + 1), pa.array(np.arange(draws + 1, dtype=np.int32)), *[pa.array(c) for c in sums.T]]
+        return pa.Table.from_arrays(out, schema=arrow)
+
+    parts = placed.groupBy(*group, "__part").applyInArrow(reduce, schema)
+    return parts.groupBy("draw", *group).agg(*[F.sum(v).alias(v) for v in [*values, "weight"]])

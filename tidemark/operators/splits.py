@@ -6,8 +6,11 @@ partitioning, the row order or the engine.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +93,59 @@ def stratified_bootstrap(
     return picks.join(ranked.select(stratum, "rank", entity), [stratum, "rank"]).select("draw", stratum, entity, "m")
 
 
+PICK_BLOCK = 4096  # entities whose draws are counted together in one task
+
+
+def bootstrap_weights(
+    entities: DataFrame, *, draws: int, entity: str = "stay", stratum: str = "case", salt: str = "boot"
+) -> DataFrame:
+    """(entity, w): the multiplicities of ``stratified_bootstrap`` as one byte per draw, for the resampling operators.
+
+    Same picks. They leave the hashing tasks as two bytes each, sorted by block of ``PICK_BLOCK`` ranks, and are counted
+    per block; no row per draw and entity is made. A multiplicity over 255 has no byte (and no practical probability): it fails.
+    """
+    ranked = strata_ranks(entities.select(entity, stratum), [stratum], ["rank"], entity)
+    slots = ranked.select(F.col(stratum).cast("string").alias("s"), "rank", "rank_total")
+
+    def pick(batches):
+        for batch in batches:
+            strata, ranks, totals = (c.to_pylist() for c in batch.columns)
+            for s in sorted(set(strata)):
+                own = [str(r).encode() for r, v in zip(ranks, strata, strict=True) if v == s]
+                n = next(t for t, v in zip(totals, strata, strict=True) if v == s)
+                out = {"s": [], "block": [], "draw": [], "picks": []}
+                for d in range(1, draws + 1):
+                    head = hashlib.md5(f"{salt}|{d}|{s}|".encode())
+                    found = np.empty(len(own), np.int64)
+                    for i, r in enumerate(own):
+                        h = head.copy()
+                        h.update(r)
+                        found[i] = int.from_bytes(h.digest()[:4], "big")
+                    found = np.sort(found % n)
+                    blocks = found // PICK_BLOCK
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(found)]])
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        for name, value in (("s", s), ("block", int(blocks[x])), ("draw", d), ("picks", (found[x:y] % PICK_BLOCK).astype(np.uint16).tobytes())):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("s", pa.string()), ("block", pa.int64()), ("draw", pa.int32()), ("picks", pa.binary())]))
+
+    def count(key, table):
+        matrix = np.zeros((PICK_BLOCK, draws), np.int64)
+        for d, picks in zip(table.column("draw").to_pylist(), table.column("picks").to_pylist(), strict=True):
+            matrix[:, d - 1] += np.bincount(np.frombuffer(picks, np.uint16), minlength=PICK_BLOCK)
+        if matrix.max() > 255:
+            raise ValueError("a multiplicity is over 255")
+        used = np.flatnonzero(matrix.any(axis=1))
+        rows = matrix[used].astype(np.uint8)
+        return pa.Table.from_pydict({
+            "s": pa.array([key[0].as_py()] * len(used), pa.string()), "rank": pa.array(used + key[1].as_py() * PICK_BLOCK + 1, pa.int64()),
+            "w": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+    picks = slots.mapInArrow(pick, "s string, block long, draw int, picks binary")
+    counted = picks.groupBy("s", "block").applyInArrow(count, "s string, rank long, w binary")
+    return counted.join(ranked.select(F.col(stratum).cast("string").alias("s"), "rank", entity), ["s", "rank"]).select(entity, "w")
+
+
 def plain_bootstrap(entities: DataFrame, *, draws: int, entity: str = "stay", salt: str = "plain") -> DataFrame:
     one = entities.select(entity).withColumn("__one", F.lit(0))
     return stratified_bootstrap(one, draws=draws, entity=entity, stratum="__one", salt=salt).drop("__one")

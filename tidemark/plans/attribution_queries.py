@@ -68,9 +68,9 @@ _CELLS = f"""cl AS (SELECT stratum, repeat, stay, feature, count(*) AS n, sum(ab
  dk AS (SELECT *, row_number() OVER (PARTITION BY draw, stratum ORDER BY v DESC, feature) AS r FROM dr),
  ci AS (SELECT stratum, feature, count(v) AS valid_draws, quantile_cont(v, 0.025) AS ci_lo, quantile_cont(v, 0.975) AS ci_hi, quantile_cont(CAST(r AS DOUBLE), 0.025) AS rank_lo, quantile_cont(CAST(r AS DOUBLE), 0.975) AS rank_hi FROM dk GROUP BY ALL)
 SELECT stratum, feature, {', '.join(sr6(s, s) for s in _S4)}, {sr6('equal_entity', 'equal_entity')}, {sr6('abs_sum / sum(abs_sum) OVER (PARTITION BY stratum)', 'share')}, valid_draws, rank_min, rank_max, top10,
- {', '.join(sr6(s, s) for s in ('ci_lo', 'ci_hi', 'rank_lo', 'rank_hi'))} FROM pt JOIN ci USING (stratum, feature)""")
+ {', '.join(sr6(s, s) for s in ('ci_lo', 'ci_hi', 'rank_lo', 'rank_hi'))} FROM pt JOIN ci USING (stratum, feature)""", drawn=True)
 def int_05(x):
-    out = attribution.importance(grouped(x), x.mult, attribution.strata("overall"), draws=D)
+    out = attribution.importance(grouped(x), x.weights, attribution.strata("overall"), draws=D)
     return r6(out, *_S4, "equal_entity", "share", "ci_lo", "ci_hi", "rank_lo", "rank_hi")
 
 
@@ -79,19 +79,19 @@ def int_05(x):
  dr AS (SELECT draw, feature, avg(v) AS v FROM (SELECT draw, repeat, feature, sum(m * diff) / sum(m) AS v FROM d JOIN f_mult m ON m.stay = d.stay GROUP BY ALL) GROUP BY ALL)
 SELECT '0-2' AS earlier, '3-7' AS later, p.feature, {sr6('p.v', 'change')}, c.valid_draws, {sr6('c.lo', 'ci_lo')}, {sr6('c.hi', 'ci_hi')} FROM
  (SELECT feature, avg(v) AS v FROM (SELECT repeat, feature, avg(diff) AS v FROM d GROUP BY ALL) GROUP BY feature) p JOIN
- (SELECT feature, count(v) AS valid_draws, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dr GROUP BY feature) c USING (feature)""")
+ (SELECT feature, count(v) AS valid_draws, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dr GROUP BY feature) c USING (feature)""", drawn=True)
 def int_06(x):
-    return r6(attribution.paired_changes(grouped(x), x.mult, draws=D), "change", "ci_lo", "ci_hi")
+    return r6(attribution.paired_changes(grouped(x), x.weights, draws=D), "change", "ci_lo", "ci_hi")
 
 
 @query("int_07", f"""WITH r AS (SELECT feature, avg(abs_sum) AS a FROM {_GROUPED} GROUP BY feature)
-SELECT 'feature:' || feature AS "group", feature FROM (SELECT * FROM r ORDER BY a DESC, feature LIMIT 2) UNION ALL SELECT 'semantic:rates', 'rate' UNION ALL SELECT 'semantic:money', feature FROM f_layout WHERE feature = 'price'""")
+SELECT 'feature:' || feature AS "group", feature FROM (SELECT * FROM r ORDER BY a DESC, feature LIMIT 20) UNION ALL SELECT 'semantic:rates', 'rate' UNION ALL SELECT 'semantic:money', feature FROM f_layout WHERE feature = 'price'""")
 def int_07(x):
     ranking = grouped(x).groupBy("feature").agg(F.avg("abs_sum").alias("abs_sum"))
-    return attribution.permutation_groups(x.layout, ranking, top=2, fixed={"rates": ["rate"], "money": ["price"]})
+    return attribution.permutation_groups(x.layout, ranking, fixed={"rates": ["rate"], "money": ["price"]})
 
 
-_LIN = "1e0 / (1e0 + exp(-(0.0213e0 * ({q} - 25) + 3.7e0 * ({d} - 0.05e0) + 0.3e0 * y)))"
+_LIN = "1e0 / (1e0 + exp(-(0.0213e0 * ({q} - 25) + 3.7e0 * ({d} - 0.05e0))))"
 _TRIALS = 2
 
 
@@ -120,14 +120,14 @@ _INT08 = (
 )
 
 
-@query("int_08", _INT08)
+@query("int_08", _INT08, drawn=True)
 def int_08(x):
     rows = x.targets.select("repeat", "row_key", "stay", "y", "pod", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.04, "11").otherwise("01").alias("pat"))
 
     def predict(df):
-        return expit(F.lit(0.0213) * (df["l_quantity"] - 25) + F.lit(3.7) * (df["l_discount"] - F.lit(0.05)) + F.lit(0.3) * df["y"])
+        return expit(F.lit(0.0213) * (df["l_quantity"] - 25) + F.lit(3.7) * (df["l_discount"] - F.lit(0.05)))
 
-    out = attribution.grouped_reliance(rows, x.mult, {"quantity": ["l_quantity"], "both": ["l_quantity", "l_discount"]}, predict,
+    out = attribution.grouped_reliance(rows, x.weights, {"quantity": ["l_quantity"], "both": ["l_quantity", "l_discount"]}, predict,
                                        match=["pod", "pat"], trials=_TRIALS, draws=D)
     return r6(out, "auc_loss", "ci_lo", "ci_hi", "coverage")
 
@@ -189,6 +189,9 @@ def trajectory_rows(x):
         F.when(km > 90, 9).when(km > 60, 1).when(km.isNotNull(), 0).alias("flag"), (F.col("rel") >= -3).alias("gate"))
 
 
+_TRAJECTORY_DRAWS = 6  # still rows x draws x event times (README, "Open")
+
+
 @query("int_10_draws")
 def int_10_draws(x):
     """Resampled trajectories: intervals of the estimate over shared entity draws."""
@@ -196,9 +199,9 @@ def int_10_draws(x):
 
     rows = trajectory_rows(x)
     ent = rows.groupBy("entity").agg(F.max("case").alias("case"))
-    w = splits.stratified_bootstrap(ent, draws=D, entity="entity")
+    w = splits.stratified_bootstrap(ent, draws=_TRAJECTORY_DRAWS, entity="entity")
     t = attribution.trajectories(rows, _TR_FEATURES, weights=w)
-    return metrics.interval_summary(t, ["alignment", "t", "cohort", "feature"], value="estimate", draws=D, minimum=D - 1)
+    return metrics.interval_summary(t, ["alignment", "t", "cohort", "feature"], value="estimate", draws=_TRAJECTORY_DRAWS)
 
 
 @query("int_11", f"""SELECT unnest(['unexplained', 'explained_twice', 'outside_targets', 'mixed_models']) AS "check", unnest([count(*) FILTER (d = 1), count(*) FILTER (d = 2), count(*) FILTER (d = 3),

@@ -167,6 +167,10 @@ class Inputs:
             self.targets.select("stay", "case").distinct(), draws=QUERY_DRAWS, salt="boot"
         )
 
+    @cached_property
+    def weights(self) -> DataFrame:
+        return splits.bootstrap_weights(self.targets.select("stay", "case").distinct(), draws=QUERY_DRAWS)
+
     @cached_property
     def risk_scores(self) -> DataFrame:
         ev, d = F.col("event"), F.col("day")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.contract import valid_floor
+from tidemark.functions.scalars import hash32
 from tidemark.operators import aggregates, encode, metrics, splits
+from tidemark.operators.resample import resampled_sums
 from tidemark.plans.catalog import query
 from tidemark.plans.common import config_rows, r6, sr6
 from tidemark.plans.metric_sql import metrics_sql, phase_sql, repeat_mean_sql
@@ -72,9 +74,10 @@ def contrasts(x):
     "met_04",
     f"""SELECT arm, metric, count(value) AS valid_draws, {D} - count(value) AS undefined_draws,
   {sr6('quantile_cont(value, 0.025)', 'ci_lo')}, {sr6('quantile_cont(value, 0.975)', 'ci_hi')} FROM ({_DRAWN}) GROUP BY arm, metric""",
+    drawn=True,
 )
 def met_04(x):
-    out = metrics.interval_summary(metrics.drawn_arm_metrics(x.scores, x.mult, draws=D), ["arm", "metric"], value="value", draws=D)
+    out = metrics.interval_summary(metrics.drawn_arm_metrics(x.scores, x.weights, draws=D), ["arm", "metric"], value="value", draws=D)
     return r6(out.drop("estimate"), "ci_lo", "ci_hi")
 
 
@@ -82,9 +85,10 @@ def met_04(x):
     "met_05",
     f"""WITH {_EVAL.strip()} SELECT arm, reference, metric, {sr6('delta', 'delta')}, n AS common_valid_draws, {sr6('q', 'q')},
  {sr6('delta - q', 'sim_lo')}, {sr6('delta + q', 'sim_hi')} FROM est, band""",
+    drawn=True,
 )
 def met_05(x):
-    deltas = metrics.contrast(metrics.drawn_arm_metrics(x.scores, x.mult, draws=D), contrasts(x), ["draw"])
+    deltas = metrics.contrast(metrics.drawn_arm_metrics(x.scores, x.weights, draws=D), contrasts(x), ["draw"])
     out = metrics.simultaneous_summary(deltas, ["arm", "reference", "metric"], draws=D)
     names = ["delta", "q", "sim_lo", "sim_hi"]
     return r6(out.select("arm", "reference", "metric", "common_valid_draws", *names), *names)
@@ -96,10 +100,10 @@ _MET06 = f"""WITH {_EVAL.strip()} SELECT arm, reference, metric, {sr6('delta', '
 
 
 def _paired(x):
-    return metrics.paired_evaluation(x.scores, x.mult, contrasts(x), draws=D)
+    return metrics.paired_evaluation(x.scores, x.weights, contrasts(x), draws=D)
 
 
-@query("met_06", _MET06)
+@query("met_06", _MET06, drawn=True)
 def met_06(x):
     return r6(_paired(x), "delta", "q", "sim_lo", "sim_hi", "ci_lo", "ci_hi")
 
@@ -110,6 +114,7 @@ def met_06(x):
   CASE WHEN least((SELECT count(DISTINCT repeat) FROM f_scores f WHERE f.arm = c.arm), (SELECT count(DISTINCT repeat) FROM f_scores f WHERE f.arm = c.reference)) < 5 THEN 'R' ELSE '' END,
   CASE WHEN (SELECT count(*) FROM ({_MET06}) WHERE delta IS NOT NULL) < {len(_CONTRASTS)} OR common_valid_draws < {valid_floor(D)} THEN 'F' ELSE '' END,
   CASE WHEN delta >= 0.01 THEN '' ELSE 'E' END, CASE WHEN sim_lo > 0 THEN '' ELSE 'L' END) AS h FROM ({_MET06}) c)""",
+    drawn=True,
 )
 def met_07(x):
     out = metrics.promotion(_paired(x), x.scores, contrasts(x), stage="confirm", repeats=5, draws=D)
@@ -137,9 +142,10 @@ SELECT arm, bin, metric, valid_draws, CASE WHEN metric <> 'auc' OR supported = 1
  CASE WHEN metric <> 'auc' OR supported = 1 THEN {sr6('lo', 'x').rsplit(' AS ', 1)[0]} END AS ci_lo,
  CASE WHEN metric <> 'auc' OR supported = 1 THEN {sr6('hi', 'x').rsplit(' AS ', 1)[0]} END AS ci_hi, supported
 FROM pt JOIN ci USING (arm, bin, metric) JOIN sup USING (arm, bin)""",
+    drawn=True,
 )
 def met_08(x):
-    return r6(metrics.binned_metrics(x.scores, x.mult, draws=D), "estimate", "ci_lo", "ci_hi")
+    return r6(metrics.binned_metrics(x.scores, x.weights, draws=D), "estimate", "ci_lo", "ci_hi")
 
 
 @query(
@@ -147,9 +153,10 @@ def met_08(x):
     f"""SELECT p.arm, p.metric, {sr6('p.value', 'estimate')}, valid_draws, undefined_draws, {sr6('lo', 'ci_lo')}, {sr6('hi', 'ci_hi')} FROM
  (SELECT * FROM ({_POINT})) p JOIN (SELECT arm, metric, count(value) AS valid_draws, {D} - count(value) AS undefined_draws,
   quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM ({_DRAWN}) GROUP BY arm, metric) d ON d.arm = p.arm AND d.metric = p.metric""",
+    drawn=True,
 )
 def met_09(x):
-    return r6(metrics.arm_intervals(x.scores, x.mult, draws=D), "estimate", "ci_lo", "ci_hi")
+    return r6(metrics.arm_intervals(x.scores, x.weights, draws=D), "estimate", "ci_lo", "ci_hi")
 
 
 _MASKS = {"all": "TRUE", "pre": "rel < 0", "pod0_3": "rel BETWEEN 0 AND 3", "pod4plus": "rel >= 4", "lead3": "y3 = 0 OR event - day = 3"}
@@ -262,22 +269,28 @@ def met_15(x):
         lmd.select("repeat", "arm", F.lit("logit_mean_difference").alias("metric"), F.col("logit_mean_difference").alias("value"))]), "value")
 
 
-@query("met_16")
+def _newton_sql(shift_only: bool, steps: int) -> str:
+    """The fits by a fixed number of Newton steps over (repeat, arm, z) counts."""
+    out = ["""g AS (SELECT repeat, arm, z, count(*) AS n, sum(y) AS k FROM (SELECT repeat, arm, y, ln(c / (1 - c)) AS z FROM (
+ SELECT repeat, arm, y, least(greatest(probability, 1e-6), 1 - 1e-6) AS c FROM f_scores)) GROUP BY ALL)""",
+           "s0 AS (SELECT repeat, arm, " + ("0e0 AS a, 1e0 AS b" if shift_only else "ln(sum(k) / (sum(n) - sum(k))) AS a, 0e0 AS b") + " FROM g GROUP BY repeat, arm)"]
+    for i in range(steps):
+        p = f"(SELECT g.*, a, b, 1 / (1 + exp(-(a + b * z))) AS p FROM g JOIN s{i} USING (repeat, arm))"
+        m = f"(SELECT repeat, arm, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) AS g0, sum((k - n * p) * z) AS g1, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * z) AS h1, sum(n * p * (1 - p) * z * z) AS h2 FROM {p} GROUP BY repeat, arm)"
+        new = "a + g0 / h0 AS a, b" if shift_only else "a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b"
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT repeat, arm, {new} FROM {m})")
+    slope = "" if shift_only else f", {sr6('b', 'slope')}"
+    return "WITH " + ", ".join(out) + f" SELECT repeat, arm, 'converged' AS status, {sr6('a', 'intercept')}{slope} FROM s{steps}"
+
+
+@query("met_16", _newton_sql(False, 12))
 def met_16(x):
-    rows = []
-    for arm in ("ties", "fine", "noise"):
-        fit = metrics.calibration_slope(x.scores.where(F.col("arm") == arm).where("repeat = 1"))
-        rows.append((arm, fit["status"], float(fit["intercept"] or 0.0), float(fit["slope"] or 0.0)))
-    return config_rows(x.spark, ["arm", "status", "intercept", "slope"], rows)
+    return r6(metrics.calibration_slope(x.scores, ["repeat", "arm"]).drop("steps"), "intercept", "slope")
 
 
-@query("met_17")
+@query("met_17", _newton_sql(True, 12))
 def met_17(x):
-    rows = []
-    for arm in ("ties", "fine", "noise"):
-        fit = metrics.calibration_intercept(x.scores.where(F.col("arm") == arm).where("repeat = 1"))
-        rows.append((arm, fit["status"], float(fit["intercept"] or 0.0)))
-    return config_rows(x.spark, ["arm", "status", "intercept"], rows)
+    return r6(metrics.calibration_intercept(x.scores, ["repeat", "arm"]).drop("steps"), "intercept")
 
 
 @query(
@@ -297,10 +310,11 @@ def met_18(x):
 SELECT a.arm, b.arm AS reference, a.bin, {sr6('a.value - b.value', 'delta')}, valid_draws, undefined_draws, {sr6('lo', 'ci_lo')}, {sr6('hi', 'ci_hi')}
 FROM pt a JOIN pt b ON a.bin = b.bin AND a.arm = 'fine' AND b.arm = 'noise'
 JOIN (SELECT bin, count(delta) AS valid_draws, {D} - count(delta) AS undefined_draws, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM sm GROUP BY bin) c ON c.bin = a.bin""",
+    drawn=True,
 )
 def met_19(x):
     c = config_rows(x.spark, ["arm", "reference"], [("fine", "noise")])
-    return r6(metrics.binned_gains(x.scores, x.mult, c, draws=D), "delta", "ci_lo", "ci_hi")
+    return r6(metrics.binned_gains(x.scores, x.weights, c, draws=D), "delta", "ci_lo", "ci_hi")
 
 
 _FRACS = (0.25, 0.5, 0.75, 1.0)
@@ -426,9 +440,21 @@ def spl_06(x):
     return splits.nested_subsets(x.targets.select("stay", "case").distinct(), entity="stay", strata="case", fractions=_FRACS)
 
 
-@query("spl_07", 'SELECT draw, "case", stay, m FROM f_mult')
+_MARK = f"{h32("concat_ws('|', 'mark', stay)")} % 1000003"
+
+
+def _digest(x, weights, by):
+    """Per draw: picks, and the sum over picks of a number that names the entity."""
+    ent = x.targets.select("stay", *by).distinct().withColumn("mark", (hash32(F.lit("mark"), "stay") % 1000003).cast("double"))
+    if not by:
+        ent, by = ent.withColumn("part", F.lit("all")), ["part"]
+    s = resampled_sums(ent, weights, by, ["mark"], draws=D).where("draw > 0")
+    return s.select("draw", *by, F.col("weight").cast("long").alias("picks"), F.col("mark").cast("long").alias("marks"))
+
+
+@query("spl_07", f'SELECT draw, "case", CAST(sum(m) AS BIGINT) AS picks, CAST(sum(m * ({_MARK})) AS BIGINT) AS marks FROM f_mult GROUP BY draw, "case"')
 def spl_07(x):
-    return x.mult
+    return _digest(x, x.weights, ["case"])
 
 
 def _plain() -> str:
@@ -437,9 +463,10 @@ def _plain() -> str:
     return mult_sql(D, '(SELECT DISTINCT stay, 0 AS "case" FROM f_targets)', "plain")
 
 
-@query("spl_08", f"SELECT draw, stay, m FROM ({_plain()})")
+@query("spl_08", f"SELECT draw, 'all' AS part, CAST(sum(m) AS BIGINT) AS picks, CAST(sum(m * ({_MARK})) AS BIGINT) AS marks FROM ({_plain()}) GROUP BY draw")
 def spl_08(x):
-    return splits.plain_bootstrap(x.targets.select("stay").distinct(), draws=D)
+    one = x.targets.select("stay").distinct().withColumn("one", F.lit(0))
+    return _digest(x, splits.bootstrap_weights(one, draws=D, stratum="one", salt="plain"), [])
 
 
 @query(

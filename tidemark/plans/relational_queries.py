@@ -429,12 +429,12 @@ _PS = """(SELECT rel_day, grace, arm_a AS a, entity, 0.1e0 + 0.8e0 * ((entity *
 
 
 @query("cau_13", f"""WITH {_GRID}, z AS (SELECT *, CASE WHEN a = 1 THEN q / p ELSE (1 - q) / (1 - p) END AS w FROM (SELECT *, avg(a) OVER (PARTITION BY rel_day, grace) AS q FROM {_PS}))
-SELECT rel_day, grace, CASE WHEN ok THEN 'fitted' ELSE 'too_small' END AS status, n, n_a, n_b, p_low, p_high, {", ".join(f"CASE WHEN ok THEN round({c}, 6) + 0e0 END AS {c}" for c in ('ess', 'ess_a', 'ess_b', 'weight_max'))} FROM (
+SELECT rel_day, grace, CASE WHEN ok THEN 'fitted' ELSE 'too_small' END AS status, n, n_a, n_b, p_low, p_high, {", ".join(f"CASE WHEN ok THEN round({c}, 6) + 0e0 END AS {c}" for c in ('ess', 'ess_a', 'ess_b', 'weight_max', 'p_q05', 'p_q25', 'p_q50', 'p_q75', 'p_q95'))} FROM (
  SELECT rel_day, grace, count(*) AS n, count(*) FILTER (a = 1) AS n_a, count(*) FILTER (a = 0) AS n_b, count(*) FILTER (p < 0.05) AS p_low, count(*) FILTER (p > 0.95) AS p_high, sum(w) ** 2 / sum(w * w) AS ess,
-  sum(w) FILTER (a = 1) ** 2 / sum(w * w) FILTER (a = 1) AS ess_a, sum(w) FILTER (a = 0) ** 2 / sum(w * w) FILTER (a = 0) AS ess_b, max(w) AS weight_max, count(*) >= 30 AND least(count(*) FILTER (a = 1), count(*) FILTER (a = 0)) >= 5 AS ok FROM z GROUP BY rel_day, grace)""")
+  sum(w) FILTER (a = 1) ** 2 / sum(w * w) FILTER (a = 1) AS ess_a, sum(w) FILTER (a = 0) ** 2 / sum(w * w) FILTER (a = 0) AS ess_b, max(w) AS weight_max, {', '.join(f'quantile_cont(p, {q}) AS p_q{n}' for q, n in ((0.05, '05'), (0.25, '25'), (0.5, '50'), (0.75, '75'), (0.95, '95')))}, count(*) >= 30 AND least(count(*) FILTER (a = 1), count(*) FILTER (a = 0)) >= 5 AS ok FROM z GROUP BY rel_day, grace)""")
 def cau_13(x):
     g = cohort_grid(x).where("arm_a is not null").withColumn("p", F.lit(0.1) + F.lit(0.8) * ((F.col("entity") * 7 + F.col("rel_day")) % 10) / 10)
-    return r6(cohort.overlap_summary(g, by=["rel_day", "grace"], arm="arm_a", propensity="p"), "ess", "ess_a", "ess_b", "weight_max")
+    return r6(cohort.overlap_summary(g, by=["rel_day", "grace"], arm="arm_a", propensity="p"), "ess", "ess_a", "ess_b", "weight_max", "p_q05", "p_q25", "p_q50", "p_q75", "p_q95")
 
 
 _SITE = f"""SELECT rel_day, grace, site, entries, a, b, entries - a - b AS unclassified, CAST(a >= 5 AND b >= 5 AS INTEGER) AS both_large, CAST((a > 0) <> (b > 0) AS INTEGER) AS single_arm FROM (

@@ -1,5 +1,7 @@
 """The shared views in DuckDB SQL. Their Spark form is in ``fixtures.py``."""
 
+from tidemark import contract
+
 H32 = "CAST(concat('0x', substr(md5({}), 1, 8)) AS BIGINT)"
 
 
@@ -109,6 +111,5 @@ JOIN (SELECT stay, "case" AS case2, row_number() OVER (PARTITION BY "case" ORDER
   ON e.case2 = c."case" AND e.rank = c.pick"""
 
 
-#: Draw count of the registered resampling queries (a parameter; the contract default is 2,000).
-QUERY_DRAWS = 6
+QUERY_DRAWS = contract.QUERY_DRAWS
 SQL_VIEWS["f_mult"] = mult_sql(QUERY_DRAWS)
