@@ -173,6 +173,9 @@ def near_copies(rng, n):
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
 def test_ngram_join(spark, monkeypatch, size, num, den):
     monkeypatch.setattr(ngram_join, "FREQUENT", 20)
+    if size == 3:  # all rounds, and long masks for most pairs
+        for name, value in (("DENSE", -1), ("SAMPLE", 2), ("ROUNDS", 2), ("LONG_SET", 40)):
+            monkeypatch.setattr(ngram_join, name, value)
     texts = near_copies(random.Random(size), 480)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = join({i: shingle_set(t, size) for i, t in enumerate(texts)}, num, den)

@@ -26,6 +26,7 @@ from tidemark.llm._text import mix, shingles, slices, string_column
 
 BITS = 512  # of a class's mask; bit = parity of the shingles that fall on it
 WORDS = BITS // 64
+LONG_SET, LONG_BITS = 500, 16_384  # larger sets are first compared by masks of so many bits
 FREQUENT, MOST_FREQUENT = 64, 100_000  # shingles of so many documents go last in the order; the order's table is bounded, not the work
 ROUNDS, HUBS = 6, 4  # further star rounds at most, and the hubs of a list in each
 DENSE, SAMPLE = 4, 32  # a further round is run while the pairs left, estimated from one class in SAMPLE, are over DENSE a class
@@ -99,6 +100,22 @@ def _whole(size: int):
     return work
 
 
+def _long_masks(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for first, end, grams, bounds in _sets(batch, size):
+                n = np.diff(bounds)
+                sums = np.add.reduceat(np.append(mix(grams + np.uint64(1)), np.uint64(0)), np.minimum(bounds[:-1], len(grams)))
+                bits = (mix(grams ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(LONG_BITS - 1)).astype(np.int64)
+                masks = [np.packbits((np.bincount(bits[a:b], minlength=LONG_BITS) & 1).astype(np.uint8)).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(masks)), LONG_BITS // 64).cast(pa.list_(pa.int64()))
+                h1 = pa.array(np.where(n > 0, sums, np.uint64(0)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), h1, pa.array(n.astype(np.int64)), lists], names=["id", "h1", "n", "mask"])
+
+    return work
+
+
 def _needed(a: Column, b: Column, num: int, den: int) -> Column:
     """Least intersection of sets of sizes a and b that reach num / den."""
     return F.floor(((a + b) * num + (num + den - 1)) / (num + den)).cast("long")
@@ -128,14 +145,31 @@ def within(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= SMALL_IDS else keys, F.col(column) == F.col("__key"), "left_semi")
 
 
+def _long_near(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs of large sets that masks of ``LONG_BITS`` bits allow: 2 KB a set in place of the whole set for those that don't."""
+    def masks(side: str, mark: str, name: str) -> DataFrame:
+        ids = written(pairs.select(F.col(side).alias("id")).distinct(), "ngram")
+        made = within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_long_masks(size), "id long, h1 long, n long, mask array<long>")
+        return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.struct("n", "mask").alias(name)).dropDuplicates([side, mark])
+
+    both = pairs.join(masks("a", "ha", "x"), ["a", "ha"]).join(masks("b", "hb", "y"), ["b", "hb"])
+    apart = F.aggregate(F.zip_with("x.mask", "y.mask", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+    n = F.col("x.n") + F.col("y.n")
+    return both.where(apart <= n - 2 * _needed(F.col("x.n"), F.col("y.n"), num, den)).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets reach the threshold, written; sets are made anew from the texts of these classes only.
 
     Hubs are few: their sets come last, so what is shuffled by hub is wide and a hot hub's share is split.
     """
-    marks = classes.select("id", "h1")
-    keyed = pairs.join(marks.withColumnsRenamed({"id": "a", "h1": "ha"}), "a").join(marks.withColumnsRenamed({"id": "b", "h1": "hb"}), "b")
-    keyed = written(keyed.select("a", "ha", "b", "hb"), "ngram")
+    marks = classes.select("id", "h1", "n")
+    keyed = pairs.join(marks.withColumnsRenamed({"id": "a", "h1": "ha", "n": "na"}), "a").join(marks.select(F.col("id").alias("b"), F.col("h1").alias("hb")), "b")
+    keyed = keyed.select("a", "ha", "b", "hb", (F.coalesce("na", F.lit(0)) > LONG_SET).alias("long"))
+    keyed = written(keyed, "ngram")
+    large = keyed.where("long")
+    if not large.isEmpty():
+        keyed = written(keyed.where("not long").unionByName(_long_near(large, docs, size, num, den)), "ngram")
 
     def sets(side: str, mark: str, name: str) -> DataFrame:
         ids = written(keyed.select(F.col(side).alias("id")).distinct(), "ngram")
@@ -166,8 +200,8 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     rows = written(docs.mapInArrow(_features(size, num, den, frequent), schema), "ngram")
     classes, groups, wide = _classes(rows)
 
-    # lists of two groups or more; only group ids are posted, places are looked up for the few groups of the last round
-    posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.explode("prefix").alias("gram"))
+    # lists of two groups or more
+    posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
     lists = written(posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram"), "ngram")
     posted = written(within(posted, "gram", lists), "ngram")
     of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "members")
@@ -176,21 +210,24 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     # first round: a class against its group's first class, a group's first class against the first group of its lists
     hub = posted.groupBy("gram").agg(F.min("g").alias("hub"))
     own = of.where("members > 1 and id <> g").select("id", F.col("g").alias("hub"))
-    stars = own.unionByName(posted.join(hub, "gram").where("hub <> g").groupBy(F.col("g").alias("id")).agg(F.min("hub").alias("hub")))
+    stars = own.unionByName(posted.drop("place").join(hub, "gram").where("hub <> g").groupBy(F.col("g").alias("id")).agg(F.min("hub").alias("hub")))
     links = _verified(_nearest(stars, of, masks, num, den), docs, classes, size, num, den)
     joined = components(links)
 
     live, at = _live(posted, of, joined)
     for turn in range(ROUNDS):
-        n, sampled = at.count(), _remaining(live, at, wide, masks, num, den, one_in=SAMPLE).count()
-        if sampled * SAMPLE <= DENSE * n:
+        parts = _parts(live, at, masks)
+        sampled = _group_pairs(parts, masks, num, den, one_in=SAMPLE).count()
+        if sampled * SAMPLE <= DENSE * at.count():
             break
         new = _verified(_nearest(_hubs(live, at, turn), at, masks, num, den, apart=True), docs, classes, size, num, den)
         links = written(links.unionByName(new), "ngram")
         joined = components(links)
         live, at = _live(live, at.drop("c"), joined)
+    else:
+        parts = _parts(live, at, masks)
 
-    pairs = written(_remaining(live, at, wide, masks, num, den), "ngram")
+    pairs = written(_remaining(_group_pairs(parts, masks, num, den), at, masks, num, den), "ngram")
     more = _verified(pairs, docs, classes, size, num, den)
     joined = components(written(links.unionByName(more), "ngram"))
     known = classes.select("n", "h1", "h2", "id").join(joined, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component"))
@@ -247,26 +284,32 @@ def _hubs(live: DataFrame, at: DataFrame, turn: int) -> DataFrame:
     return per_group.join(at.select("g", "id"), "g").where("id <> hub").select("id", "hub")
 
 
-def _remaining(live: DataFrame, at: DataFrame, wide: DataFrame, masks: list[str], num: int, den: int, *, one_in: int = 1) -> DataFrame:
-    """(a, b): all pairs of classes of different components that sizes, places and masks allow: group pairs first, then their classes.
+def _parts(live: DataFrame, at: DataFrame, masks: list[str]) -> DataFrame:
+    """Live postings per (group, component): gram, place, g, c, n and the AND and OR of the masks of the classes in it."""
+    held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
+    return written(live.join(at.groupBy("g", "c", "n").agg(*held), "g"), "ngram")
+
+
+def _group_pairs(parts: DataFrame, masks: list[str], num: int, den: int, *, one_in: int = 1) -> DataFrame:
+    """(ga, ca, gb, cb): pairs of parts of different components that share a list and whose sizes, places and masks allow the threshold.
 
     ``one_in``: for an estimate, only the pairs of one group in so many.
     """
-    held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
-    parts = written(at.groupBy("g", "n").agg(F.min("c").alias("low"), F.max("c").alias("high"), *held), "ngram")
-    places = within(wide, "doc_id", parts.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
-    live = written(places.join(live, ["g", "gram"], "left_semi").join(parts, "g"), "ngram")
     n_a, n_b = F.col("x.n"), F.col("y.n")
     need = _needed(n_a, n_b, num, den)
     reach = F.least(n_a - F.col("x.place"), n_b - F.col("y.place"))  # common shingles from the first one on
-    meet = (
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.g") < F.col("y.g")) & _sizes_fit(n_a, n_b, num, den) & (reach >= need)
-        & ((F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))) & (_group_apart("x", "y") <= n_a + n_b - 2 * need)
-    )
-    first = live if one_in == 1 else live.where(F.pmod(F.xxhash64("g"), F.lit(one_in)) == 0)
-    pairs = first.alias("x").join(live.alias("y"), meet).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    inner = parts.where("low <> high").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-    pairs = pairs.unionByName(inner if one_in == 1 else inner.where(F.pmod(F.xxhash64("ga"), F.lit(one_in)) == 0))
-    differ = (F.col("x.c") != F.col("y.c")) & ((F.col("p.ga") != F.col("p.gb")) | (F.col("x.id") < F.col("y.id")))
-    members = pairs.alias("p").join(at.alias("x"), F.col("p.ga") == F.col("x.g")).join(at.alias("y"), (F.col("p.gb") == F.col("y.g")) & differ & _near(num, den))
+    once = (F.col("x.g") < F.col("y.g")) | ((F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")))
+    fits = _sizes_fit(n_a, n_b, num, den) & (reach >= need) & (_group_apart("x", "y") <= n_a + n_b - 2 * need)
+    first = parts
+    if one_in > 1:
+        first = parts.where(F.pmod(F.xxhash64("g"), F.lit(one_in)) == 0)
+        first = F.broadcast(first) if first.count() <= SMALL_IDS // 16 else first
+    pairs = first.alias("x").join(parts.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & once & fits)
+    return pairs.select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb")).distinct()
+
+
+def _remaining(pairs: DataFrame, at: DataFrame, masks: list[str], num: int, den: int) -> DataFrame:
+    """(a, b): the classes of the group pairs that their own masks allow."""
+    members = pairs.alias("p").join(at.alias("x"), (F.col("p.ga") == F.col("x.g")) & (F.col("p.ca") == F.col("x.c")))
+    members = members.join(at.alias("y"), (F.col("p.gb") == F.col("y.g")) & (F.col("p.cb") == F.col("y.c")) & _near(num, den))
     return members.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
