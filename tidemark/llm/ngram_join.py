@@ -30,7 +30,7 @@ LONG_SET, LONG_BITS = 500, 16_384  # larger sets are first compared by masks of
 FREQUENT, MOST_FREQUENT = 64, 100_000  # shingles of so many documents go last in the order; the order's table is bounded, not the work
 ROUNDS, HUBS = 6, 4  # further star rounds at most, and the hubs of a list in each
 DENSE, SAMPLE = 4, 32  # a further round is run while the pairs left, estimated from one class in SAMPLE, are over DENSE a class
-SMALL_IDS = 2_000_000  # up to so many ids or shingles (some 50 MB) are sent to all executors to pick rows; beyond, Spark joins
+SMALL_IDS = 500_000  # up to so many ids or shingles (some 20 MB) are sent to all executors to pick rows; beyond, Spark joins
 
 
 def prefix_length(n, num: int, den: int):
