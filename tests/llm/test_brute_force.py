@@ -338,3 +338,23 @@ def test_archive_faults():
     for broken in (raw[0].replace(b"page 0", b"page 1"), raw[0].replace(b"WARC/1.1", b"WARC/9"), raw[0].replace(b"WARC-Date", b"X-Date"), raw[0][:-2]):
         with pytest.raises(warc.ArchiveError):
             warc.parse(broken)
+
+
+def test_links_inside_isolated_groups(spark):
+    """Triples of equal size and prefix that share no word with other triples: A-B is no link, B-C is one, A-C in every second triple."""
+    rng, texts = random.Random(11), []
+    for number in range(30):
+        names = [f"x{number}w{i}" for i in range(60)]
+        text = " ".join(names).encode()
+        code = {w: _text.shingles(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 1)[0][0] for w in names}
+        assert set(code.values()) == set(_text.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)[0])
+        ordered = sorted(names, key=code.get)
+        for shift in (0, 8, 4 if number % 2 else 9):  # sets of 50 words, 11 of them the prefix; links have 45 in common
+            chosen = ordered[:11] + ordered[11 + shift : 50 + shift]
+            rng.shuffle(chosen)
+            texts.append(" ".join(chosen))
+    want = join({i: shingle_set(t, 1) for i, t in enumerate(texts)}, 4, 5)
+    assert [want[i] for i in range(6)] == [0, 1, 1, 3, 3, 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.ngram_jaccard(df, size=1, num=4, den=5).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want

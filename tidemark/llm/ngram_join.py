@@ -200,9 +200,12 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     rows = written(docs.mapInArrow(_features(size, num, den, frequent), schema), "ngram")
     classes, groups, wide = _classes(rows)
 
-    # lists of two groups or more
+    # lists of two groups or more; the first shingle of a group of several classes stays in any case, so that its own pairs meet there
     posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
-    lists = written(posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram"), "ngram")
+    several = groups.where("members > 1").select("g")
+    firsts = within(posted.where("place = 0"), "g", several).select("gram")
+    shared = posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram")
+    lists = written(shared.unionByName(firsts).distinct(), "ngram")
     posted = written(within(posted, "gram", lists), "ngram")
     of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "members")
     of = written(of.join(wide.select(F.col("doc_id").alias("id"), "n", *masks), "id"), "ngram")
