@@ -358,3 +358,18 @@ def test_links_inside_isolated_groups(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = ngram_join.ngram_jaccard(df, size=1, num=4, den=5).collect()
     assert {r.doc_id: r.component_id for r in rows} == want
+
+
+def test_embedding_hot_cluster(spark):
+    """A third of the vectors in one cluster of different near copies: nearly all pairs are found, each counted once."""
+    rng = np.random.default_rng(4)
+    n, hot, size = 3000, 1000, 64
+    rows = rng.normal(size=(n, size))
+    rows[:hot] = rows[0] + 0.18 * rng.normal(size=(hot, size))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.embedding_duplicates(df, block=400).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert links[:hot].sum() > 0.9 * hot * (hot - 1)
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
