@@ -13,16 +13,16 @@ from tidemark.llm.bpe import encode_decode
 from tidemark.llm.chunk_dedup import substring_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_jaccard, within
-from tidemark.llm.toxicity import THRESHOLD, score, train
+from tidemark.llm.toxicity import rejected, score, train
 
 ORACLE_SQL = None  # classifier, content-defined chunks and merges are outside SQL; tests/llm compares with brute force
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject; null and empty texts score by the intercept and stay."""
+    """Documents that the classifier chain does not reject; null and empty texts score by the intercept and stay, and so do all if the labels teach nothing."""
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, chain, prefix="__p_")
-    return scored.where(F.col("__p_toxic") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where(~rejected(F.col("__p_toxic"), chain)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, token_counts, toxicity, warc
+import corpus_pipeline
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, queries, token_counts, toxicity, warc
 from tidemark.llm._common import components, shared_folder
 
 LONG = "monotone " * 30_000 + "x" * 50_000 + " " + " ".join(f"w{i}" for i in range(20_000))
@@ -167,3 +168,12 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("labels", [[], [(99, 1, 1)], [(1, None, None), (7, None, None)], [(7, 1, 0)], [(1, 0, 1), (7, 0, 1)]])
+def test_labels_that_teach_nothing_reject_nothing(spark, tmp_path, labels):
+    df = spark.createDataFrame(DOCS, SCHEMA)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(corpus_pipeline.STAGES)["toxicity"](spark, df, str(tmp_path)).count() == len(DOCS)
+    assert {r.rejected for r in queries.op1_toxicity(spark, str(tmp_path)).collect()} == {False}

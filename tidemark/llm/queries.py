@@ -142,4 +142,4 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).select("doc_id", "p_junk", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("rejected"))
+    return toxicity.score(docs, chain).select("doc_id", "p_junk", "p_toxic", toxicity.rejected(F.col("p_toxic"), chain).alias("rejected"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import written
@@ -157,6 +157,17 @@ def predict(chain: list[Link], word: np.ndarray, row: np.ndarray, n: int) -> np.
     return np.column_stack(out) if out else np.zeros((n, 0))
 
 
+def learned(chain: list[Link], name: str) -> bool:
+    """Whether the model of ``name`` tells texts apart: by words, or by an earlier model that does."""
+    link = next(link for link in chain if link.name == name)
+    return len(link.words) > 0 or any(w != 0 and learned(chain, before.name) for w, before in zip(link.earlier, chain, strict=False))
+
+
+def rejected(probability: Column, chain: list[Link], name: str = "toxic") -> Column:
+    """Whether a text is rejected; a model that gives every text the same probability rejects none."""
+    return probability >= THRESHOLD if learned(chain, name) else F.lit(False)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = [c for c in batch.schema.names if c != "text"]
@@ -171,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] =
     """Fit the chain on at most ``rows`` labelled documents and ``max_bytes`` of their text: those of least hash of doc_id.
 
     Rows without doc_id or without any label are not used; repeated ids are taken once. Without labelled documents every
-    probability is the smoothed share of nothing, 0.5, and nothing is rejected at thresholds above it.
+    probability is the smoothed share of nothing, 0.5; ``rejected`` then rejects nothing.
     """
     named = [F.max(F.when(F.col(c.column).isNotNull(), (F.col(c.column) == c.value).cast("double"))).alias(f"y{i}") for i, c in enumerate(categories)]
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*named).where(F.coalesce(*[f"y{i}" for i in range(len(categories))]).isNotNull())
