@@ -177,3 +177,14 @@ def test_labels_that_teach_nothing_reject_nothing(spark, tmp_path, labels):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert dict(corpus_pipeline.STAGES)["toxicity"](spark, df, str(tmp_path)).count() == len(DOCS)
     assert {r.rejected for r in queries.op1_toxicity(spark, str(tmp_path)).collect()} == {False}
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Ids with several texts are one node: no text is left out, whichever set the id's classes are known by."""
+    one, two, three = ("alpha beta gamma delta", "one two three four", "red green blue black")
+    rows = [(5, one), (5, two), (6, two), (7, two), (8, one), (9, three), (9, ""), (10, three), (3, "lone words stay here"), (11, None), (12, "a b c d"), (13, "a b c d"), (13, "e f g h"), (14, "e f g h"), (None, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_jaccard(df, size=3, num=9, den=10).collect()}
+    assert got == {(i, 5) for i in (5, 6, 7, 8, None)} | {(9, 9), (10, 9), (3, 3), (11, 11), (12, 12), (13, 12), (14, 12)}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df.where("doc_id < 9"), "").collect()}
+    assert kept == {3, 5}

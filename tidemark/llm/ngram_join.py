@@ -152,7 +152,7 @@ def _long_near(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
         made = within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_long_masks(size), "id long, h1 long, n long, mask array<long>")
         return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.struct("n", "mask").alias(name)).dropDuplicates([side, mark])
 
-    both = pairs.join(masks("a", "ha", "x"), ["a", "ha"]).join(masks("b", "hb", "y"), ["b", "hb"])
+    both = pairs.join(masks("da", "ha", "x"), ["da", "ha"]).join(masks("db", "hb", "y"), ["db", "hb"])
     apart = F.aggregate(F.zip_with("x.mask", "y.mask", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
     n = F.col("x.n") + F.col("y.n")
     return both.where(apart <= n - 2 * _needed(F.col("x.n"), F.col("y.n"), num, den)).select(*pairs.columns)
@@ -163,9 +163,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
     Hubs are few: their sets come last, so what is shuffled by hub is wide and a hot hub's share is split.
     """
-    marks = classes.select("id", "h1", "n")
-    keyed = pairs.join(marks.withColumnsRenamed({"id": "a", "h1": "ha", "n": "na"}), "a").join(marks.select(F.col("id").alias("b"), F.col("h1").alias("hb")), "b")
-    keyed = keyed.select("a", "ha", "b", "hb", (F.coalesce("na", F.lit(0)) > LONG_SET).alias("long"))
+    marks = classes.select("id", "doc", "h1", "n")
+    keyed = pairs.join(marks.withColumnsRenamed({"id": "a", "doc": "da", "h1": "ha", "n": "na"}), "a").join(marks.select(F.col("id").alias("b"), F.col("doc").alias("db"), F.col("h1").alias("hb")), "b")
+    keyed = keyed.select("a", "da", "ha", "b", "db", "hb", (F.coalesce("na", F.lit(0)) > LONG_SET).alias("long"))
     keyed = written(keyed, "ngram")
     large = keyed.where("long")
     if not large.isEmpty():
@@ -176,7 +176,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
         made = within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
         return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.col("grams").alias(name))  # rows may repeat an id with another text: h1 picks
 
-    both = keyed.join(sets("a", "ha", "x"), ["a", "ha"]).join(sets("b", "hb", "y"), ["b", "hb"])
+    both = keyed.join(sets("da", "ha", "x"), ["da", "ha"]).join(sets("db", "hb", "y"), ["db", "hb"])
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return written(both.where(same * den >= num * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "ngram")
 
@@ -187,7 +187,7 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     Words: runs of other than ASCII white space, A-Z lower-cased. A set: the distinct shingles of ``size`` words; fewer words
     make one shingle, no words an empty set, which links with nothing. component_id: smallest doc_id reachable. Null text
     is empty. Rows with null doc_id join their equal set's class but are no links of their own (component_id null if no
-    named row has this set). Rows with equal doc_id and different sets are compared by the smallest of these sets. Whole
+    named row has this set). Rows with equal doc_id are one node: each of their sets links, and they share a component. Whole
     texts; extra columns are left out.
     """
     spark = df.sparkSession
@@ -198,7 +198,7 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     masks = [f"m{i}" for i in range(WORDS)]
     schema = "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in masks)
     rows = written(docs.mapInArrow(_features(size, num, den, frequent), schema), "ngram")
-    classes, groups, wide = _classes(rows)
+    classes, groups, wide, repeated = _classes(rows)
 
     # lists of two groups or more; the first shingle of a group of several classes stays in any case, so that its own pairs meet there
     posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
@@ -215,6 +215,8 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     own = of.where("members > 1 and id <> g").select("id", F.col("g").alias("hub"))
     stars = own.unionByName(posted.drop("place").join(hub, "gram").where("hub <> g").groupBy(F.col("g").alias("id")).agg(F.min("hub").alias("hub")))
     links = _verified(_nearest(stars, of, masks, num, den), docs, classes, size, num, den)
+    if repeated is not None:  # the classes of an id are linked
+        links = written(links.unionByName(repeated.select(F.col("least").alias("a"), F.col("id").alias("b")).where("a <> b")), "ngram")
     joined = components(links)
 
     live, at = _live(posted, of, joined)
@@ -233,25 +235,44 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     pairs = written(_remaining(_group_pairs(parts, masks, num, den), at, masks, num, den), "ngram")
     more = _verified(pairs, docs, classes, size, num, den)
     joined = components(written(links.unionByName(more), "ngram"))
-    known = classes.select("n", "h1", "h2", "id").join(joined, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    known = classes.select("n", "h1", "h2", "id", "doc").join(joined, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", "id", "doc", F.coalesce("component", "id").alias("component"))
+    out = rows.select("doc_id", "n", "h1", "h2")
+    if repeated is not None:  # ids of classes are numbers here; rows without words go with the other rows of their id
+        known = known.join(known.groupBy("component").agg(F.min("doc").alias("low")), "component").select("n", "h1", "h2", "id", F.col("low").alias("component"))
+        other = repeated.where("id = least").join(known.select("id", F.col("component").alias("other")), "id").select("doc_id", "other")
+        out = out.join(other, "doc_id", "left")
+    else:
+        out = out.withColumn("other", F.lit(None).cast("long"))
+    out = out.join(known.select("n", "h1", "h2", "component"), ["n", "h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "other", "doc_id").alias("component_id"))
+
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(classes: id, doc, n, h1, h2, p1, p2 of each distinct set; groups: n, p1, p2, g, members; the one row of ``rows`` for each class, its id in doc_id;
+    doc_id, id, least for the classes of ids with several sets).
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes: id, n, h1, h2, p1, p2 of each distinct set; groups: n, p1, p2, g, members; the one row of ``rows`` for each class)."""
+    doc: smallest doc_id of the set, and the class's id. If an id has several sets, classes are numbered instead, so none shares its id; otherwise the last table is None.
+    """
     key = ["n", "h1", "h2"]
     named = rows.where("n > 0 and doc_id is not null").withColumns({"p1": F.xxhash64("prefix"), "p2": F.xxhash64(F.lit(3), "prefix")})
-    classes = written(named.groupBy(*key, "p1", "p2").agg(F.min("doc_id").alias("id")), "ngram")
-    twice = written(classes.groupBy("id").agg(F.count("*").alias("c"), F.min(F.struct(*key)).alias("k")).where("c > 1").select("id", "k.*"), "ngram")
-    if not twice.isEmpty():  # ids with several sets keep the smallest
-        rest = classes.join(twice.select("id"), "id", "left_anti")
-        classes = written(rest.unionByName(classes.join(twice, ["id", *key], "left_semi")), "ngram")
-    wide = within(named, "doc_id", classes.select("id"))
-    if wide.count() != classes.count():  # repeated rows, or other texts with such an id
-        wide = written(wide.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]), "ngram")
+    classes = written(named.groupBy(*key, "p1", "p2").agg(F.min("doc_id").alias("doc")), "ngram")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high")
+    several = written(several.select("doc_id"), "ngram")
+    repeated = None
+    if several.isEmpty():
+        classes = classes.select("*", F.col("doc").alias("id"))
+        wide = within(named, "doc_id", classes.select("id"))
+        if wide.count() != classes.count():  # repeated rows
+            wide = written(wide.dropDuplicates(["doc_id"]), "ngram")
+    else:
+        classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "ngram")
+        sets = named.select("doc_id", *key).join(several, "doc_id", "left_semi").distinct().join(classes.select("id", *key), key).select("doc_id", "id")
+        sets = written(sets, "ngram")
+        repeated = written(sets.join(sets.groupBy("doc_id").agg(F.min("id").alias("least")), "doc_id"), "ngram")
+        wide = named.join(classes.select(F.col("doc").alias("doc_id"), *key, "id"), ["doc_id", *key]).dropDuplicates(["id"]).drop("doc_id").withColumnRenamed("id", "doc_id")
+        wide = written(wide, "ngram")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"), F.count("*").alias("members"))
-    return classes, written(groups, "ngram"), wide
+    return classes, written(groups, "ngram"), wide, repeated
 
 
 def _near(num: int, den: int) -> Column:
