@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, token_counts, toxicity, warc
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, suffix_dedup, token_counts, toxicity, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -143,3 +143,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).select("doc_id", "p_junk", "p_toxic", toxicity.rejected(F.col("p_toxic"), chain).alias("rejected"))
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS s FROM d),
+w AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY substr(x, 2 * s + 1, 200)) AS first FROM p),
+r AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w WHERE first <> {'d': doc_id, 's': s}),
+q AS (SELECT doc_id, s, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
+k AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM q GROUP BY 1, 2),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM k),
+t AS (SELECT d.doc_id, any_value(d.x) AS x, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans, coalesce(max(b), 0) AS e,
+  coalesce(string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a), '') AS kept FROM d LEFT JOIN g USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(x) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(kept || substr(x, 2 * e + 1))) AS kept_sha256 FROM t
+"""
