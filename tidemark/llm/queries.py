@@ -154,8 +154,11 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op11_suffix_dedup"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS s FROM d),
-w AS (SELECT doc_id, s, min({'d': doc_id, 's': s}) OVER (PARTITION BY substr(x, 2 * s + 1, 200)) AS first FROM p),
+c AS (SELECT doc_id, 100 * j AS o, substr(x, 200 * j + 1, 398) AS y FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 - 99) // 100 + 1)) AS j FROM d)),
+p AS (SELECT doc_id, o, y, unnest(range(0, least(100, len(y) // 2 - 99))) AS i FROM c),
+h AS MATERIALIZED (SELECT doc_id, o + i AS s, md5_number(substr(y, 2 * i + 1, 200)) AS h FROM p),
+f AS (SELECT h, min({'d': doc_id, 's': s}) AS first FROM h GROUP BY h HAVING count(*) > 1),
+w AS (SELECT doc_id, s, first FROM h JOIN f USING (h)),
 r AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w WHERE first <> {'d': doc_id, 's': s}),
 q AS (SELECT doc_id, s, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
 k AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM q GROUP BY 1, 2),
