@@ -41,6 +41,24 @@ def slices(column: pa.LargeStringArray, limit: int = SLICE_BYTES) -> Iterator[tu
         row = end
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of the maximal runs of true places; runs never reach across texts."""
+    begin, stop = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(inside))]
+    begin[edges], stop[edges - 1] = inside[edges], inside[edges - 1]
+    first = np.flatnonzero(begin)
+    return first, np.flatnonzero(stop) - first + 1
+
+
+def cut_out(data: np.ndarray, first: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The pieces data[first : first + size] as one large string or binary column; pieces may overlap."""
+    ends = np.append(0, np.cumsum(size)).astype(np.int64)
+    body = data[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+    return pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(ends), pa.py_buffer(body.tobytes())])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (xor-shift and multiply)."""
     with np.errstate(over="ignore"):

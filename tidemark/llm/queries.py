@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, suffix_dedup, token_counts, toxicity, warc
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, spelling, suffix_dedup, token_counts, toxicity, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -167,3 +167,26 @@ t AS (SELECT d.doc_id, any_value(d.x) AS x, coalesce(sum(b - a), 0)::BIGINT AS n
   coalesce(string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a), '') AS kept FROM d LEFT JOIN g USING (doc_id) GROUP BY 1)
 SELECT doc_id, len(x) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(kept || substr(x, 2 * e + 1))) AS kept_sha256 FROM t
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), least_length=6, least_count=5, typo_every=199)
+    return spelling.spelling_variants(counts, factor=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op12_spelling_variants"] = f"""
+WITH RECURSIVE a AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+b AS (SELECT run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM a WHERE length(run) >= 6 GROUP BY doc_id, run),
+c AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: concat('0x', substr(x, i, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, {spelling.crc_table().tolist()}[(xor(c, b) & 255) + 1]))) AS h FROM b),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM c
+  GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+s AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT x.word AS p, y.word AS q FROM s x JOIN s y ON x.v = y.v AND x.i = y.i AND x.word <> y.word
+  UNION SELECT s.word, w.word FROM s JOIN w ON s.v = w.word UNION SELECT w.word, s.word FROM s JOIN w ON s.v = w.word),
+r AS (SELECT p, q, w.n AS m, count(*) OVER (PARTITION BY p) AS n_near, row_number() OVER (PARTITION BY p ORDER BY w.n DESC, q) AS k FROM e JOIN w ON w.word = q),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN q END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN r ON r.p = w.word AND k = 1),
+t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM f JOIN t ON f.form = t.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
+"""

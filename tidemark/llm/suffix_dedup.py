@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import written
-from tidemark.llm._text import BASE, mix, slices, string_column
+from tidemark.llm._text import BASE, cut_out, mix, runs, slices, string_column
 
 GRAM = 24  # bytes of an anchor
 BUCKET_BYTES = 32 << 20  # of text whose suffixes make a bucket of step 1
@@ -145,12 +145,6 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    ends = np.cumsum(size)
-    body = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
-    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(body.tobytes())]).cast(pa.binary())
-
-
 def _stretches(length: int):
     """The bytes of the stretches named by ``ats``, with the anchor's gram as three words."""
 
@@ -162,7 +156,7 @@ def _stretches(length: int):
                 start, size = offsets[of] + (at >> 14), ((at >> 7) & 127) + length - 1
                 word, lead = _words(data), start + (at & 127)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(word[lead + 8 * i].astype(np.uint64).view(np.int64)) for i in range(GRAM // 8)), pa.array(ids[row + of]), pa.array(ties[row + of]), pa.array(at), _pieces(data, start, size)],
+                    [*(pa.array(word[lead + 8 * i].astype(np.uint64).view(np.int64)) for i in range(GRAM // 8)), pa.array(ids[row + of]), pa.array(ties[row + of]), pa.array(at), cut_out(data, start, size, pa.large_binary()).cast(pa.binary())],
                     names=["t0", "t1", "t2", "d", "tie", "at", "bytes"],
                 )
 
@@ -231,20 +225,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(change, first, 1)
             np.add.at(change, last, -1)
             gone = np.cumsum(change)[:-1] > 0
-            starts, ends = gone.copy(), gone.copy()
-            inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # a run ends with its text
-            starts[1:] &= ~gone[:-1]
-            ends[:-1] &= ~gone[1:]
-            starts[inner] = gone[inner]
-            ends[inner - 1] = gone[inner - 1]
-            begin, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+            begin, size = runs(gone, offsets)
             owner = np.searchsorted(offsets, begin, side="right") - 1
-            runs = pa.StructArray.from_arrays([pa.array(begin - offsets[owner]), pa.array(stop - offsets[owner])], names=["start", "end"])
+            parts = pa.StructArray.from_arrays([pa.array(begin - offsets[owner]), pa.array(begin + size - offsets[owner])], names=["start", "end"])
             bounds = np.append(0, np.cumsum(np.bincount(owner, minlength=end - row))).astype(np.int32)
             left = np.append(0, np.cumsum(~gone))
             kept = pa.Array.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer(left[offsets].astype(np.int64)), pa.py_buffer(data[~gone].tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(row, end - row), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(bounds), runs).cast(kind), kept.cast(pa.binary())],
+                [ids.slice(row, end - row), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(bounds), parts).cast(kind), kept.cast(pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
