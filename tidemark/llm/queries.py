@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, spelling, suffix_dedup, token_counts, toxicity, warc
+from tidemark.llm import bpe, chat, chunk_dedup, embed_dedup, fingerprints, mixing, ngram_join, phrases, spelling, suffix_dedup, token_counts, toxicity, warc
 from tidemark.llm._common import shared_folder
 
 QUERIES = {}
@@ -190,3 +190,26 @@ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n
 t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM f JOIN t ON f.form = t.word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN t USING (word)
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), least_count=30, top=2000, share=80)
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + k] AS v FROM s, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE i + k <= len(w)),
+f AS (SELECT lang, array_to_string(v, ' ') AS phrase, any_value(v) AS v, count(*) AS f FROM g GROUP BY 1, 2),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(v) = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE len(v) > 1 AND f >= 30),
+i AS (SELECT lang, array_to_string(v[a:b], ' ') AS phrase, max(f) AS outer_f FROM c, (SELECT a, b FROM range(1, 5) x(a), range(1, 5) y(b)) WHERE a < b AND b <= len(v) AND b - a + 1 < len(v) GROUP BY 1, 2),
+k AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE outer_f IS NULL OR 100::HUGEINT * outer_f < 80::HUGEINT * f),
+t AS (SELECT lang, phrase, f AS a, k, array_to_string(v[1:k], ' ') AS head, array_to_string(v[k + 1:], ' ') AS tail FROM k, range(1, 4) x(k) WHERE k < len(v)),
+q AS (SELECT t.lang, t.phrase, a, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score, k FROM t JOIN f x ON x.lang = t.lang AND x.phrase = head JOIN f y ON y.lang = t.lang AND y.phrase = tail),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
