@@ -37,24 +37,28 @@ _GAPS = np.zeros(256, bool)
 _GAPS[[BLANK, END]] = True
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(length: int):
     """Chunks of the texts: language, number of own words, bytes from the first word to the last one of the overlap."""
-    for batch in batches:
-        langs = batch.column(batch.schema.get_field_index("lang")).cast(pa.string()).fill_null("und")
-        for row, _, raw, offsets in slices(string_column(batch, "text"), 4 << 20):
-            data = _NORMAL[raw]
-            first, size = runs(~_GAPS[data], offsets)
-            if not len(first):
-                continue
-            value, owner = words(data, offsets, _GAPS)
-            with np.errstate(over="ignore"):
-                cut = mix(value[1:] + BASE * value[:-1]) % np.uint64(CHUNK) == 0
-            start = np.flatnonzero(np.append(True, cut | (owner[1:] != owner[:-1])))
-            stop = np.append(start[1:], len(first))
-            last = np.searchsorted(owner, owner[start], side="right") - 1  # of the text
-            last = np.minimum(stop + MOST - 2, last)
-            chunk = cut_out(data, first[start], first[last] + size[last] - first[start], pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(row + owner[start])), pa.array((stop - start).astype(np.int32)), chunk], names=["lang", "own", "chunk"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(batch.schema.get_field_index("lang")).cast(pa.string()).fill_null("und")
+            for row, _, raw, offsets in slices(string_column(batch, "text"), 4 << 20):
+                data = _NORMAL[raw]
+                first, size = runs(~_GAPS[data], offsets)
+                if not len(first):
+                    continue
+                value, owner = words(data, offsets, _GAPS)
+                with np.errstate(over="ignore"):
+                    cut = mix(value[1:] + BASE * value[:-1]) % np.uint64(length) == 0
+                start = np.flatnonzero(np.append(True, cut | (owner[1:] != owner[:-1])))
+                stop = np.append(start[1:], len(first))
+                last = np.searchsorted(owner, owner[start], side="right") - 1  # of the text
+                last = np.minimum(stop + MOST - 2, last)
+                chunk = cut_out(data, first[start], first[last] + size[last] - first[start], pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(row + owner[start])), pa.array((stop - start).astype(np.int32)), chunk], names=["lang", "own", "chunk"])
+
+    return work
 
 
 class _Entries:
@@ -175,10 +179,10 @@ def _sieve(hashes: DataFrame) -> np.ndarray:
     return sieve
 
 
-def phrase_counts(df: DataFrame, least_count: int = 30) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(df: DataFrame, least_count: int = 30, *, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of phrases of 1 to ``MOST`` words with f of at least ``least_count``, and (lang, n) of all words."""
     context = df.sparkSession.sparkContext
-    chunks = df.select("lang", "text").mapInArrow(_parse, "lang string, own int, chunk string")
+    chunks = df.select("lang", "text").mapInArrow(_parse(chunk), "lang string, own int, chunk string")
     entries = written(chunks.groupBy("lang", "own", "chunk").agg(F.count("*").alias("freq")), "phrases")
     counted = entries.mapInArrow(_count_words, "lang string, phrase string, hash long, n long").groupBy("lang", "phrase").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"))
     single = written(counted.where(F.col("phrase").isNull() | (F.col("n") >= least_count)), "phrases")
