@@ -51,6 +51,7 @@ def small_buckets(monkeypatch):
     """Many buckets, so that passages cross their boundaries."""
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_STRETCHES", 40)
+    monkeypatch.setattr(suffix_dedup, "WHOLE_GRAM", 10)
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -9,7 +9,8 @@ tokens are the anchor's gram and the stretch of text that its windows cover.
    but the first are repeats; firsts that share a gram with another stretch, or lie at a bucket's edge, go on.
 2. Their stretches are range-partitioned by the gram's bytes. A bucket sorts the windows by multikey quicksort, words of
    eight bytes at a time; of equal windows all but the first are repeats.
-3. Windows of the first and last gram of a bucket may go on in the next bucket: the first of each kind is compared across buckets.
+3. A gram with more than ``WHOLE_GRAM`` stretches is dealt to several buckets. Where it lies at a bucket's edge, the first
+   window of each kind is compared across buckets.
 
 Only tokens and places of all suffixes are shuffled, and bytes only for step 2, so most text moves once, for the result.
 """
@@ -29,6 +30,7 @@ from tidemark.llm._text import BASE, cut_out, mix, runs, slices, string_column
 GRAM = 24  # bytes of an anchor
 BUCKET_BYTES = 32 << 20  # of text whose suffixes make a bucket of step 1
 BUCKET_STRETCHES = 100_000  # of a bucket of step 2
+WHOLE_GRAM = 50_000  # stretches of a gram that stay in one bucket
 NULL_ID = -(2**63)  # a null doc_id goes first
 _INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _CODES = np.random.default_rng(20251101).integers(1, 2**63, 256, dtype=np.uint64)
@@ -130,7 +132,7 @@ def _token_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     open_ = np.bincount(group, weights=fresh) > 1
     open_[[0, -1]] = True
     take = ~fresh | open_[group]
-    yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (d, tie, at, fresh)], names=["d", "tie", "at", "fresh"])
+    yield pa.RecordBatch.from_arrays([*(pa.array(c[take]) for c in (d, tie, at)), pa.array(gram[take], mask=~fresh[take])], names=["d", "tie", "at", "gram"])
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -146,39 +148,40 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stretches(length: int):
-    """The bytes of the stretches named by ``ats``, with the anchor's gram as three words."""
+    """The bytes of the stretches named by ``ats``, with the anchor's gram as three words; ``wide`` tells whose gram is dealt to several buckets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("d", "tie"))
             for row, end, data, offsets in slices(string_column(batch, "text")):
                 of, at = _flat(batch.column(batch.schema.get_field_index("ats")).slice(row, end - row))
+                wide, at = at < 0, np.abs(at)
                 start, size = offsets[of] + (at >> 14), ((at >> 7) & 127) + length - 1
                 word, lead = _words(data), start + (at & 127)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(word[lead + 8 * i].astype(np.uint64).view(np.int64)) for i in range(GRAM // 8)), pa.array(ids[row + of]), pa.array(ties[row + of]), pa.array(at), cut_out(data, start, size, pa.large_binary()).cast(pa.binary())],
-                    names=["t0", "t1", "t2", "d", "tie", "at", "bytes"],
+                    [*(pa.array(word[lead + 8 * i].astype(np.uint64).view(np.int64)) for i in range(GRAM // 8)), pa.array(ids[row + of]), pa.array(ties[row + of]), pa.array(at), pa.array(wide), cut_out(data, start, size, pa.large_binary()).cast(pa.binary())],
+                    names=["t0", "t1", "t2", "d", "tie", "at", "wide", "bytes"],
                 )
 
     return work
 
 
 def _byte_bucket(length: int):
-    """One span (start, end) of the repeated windows of each stretch; and, for the grams at the bucket's edges, each first window with a 128-bit mark."""
+    """One span (start, end) of the repeated windows of each stretch; and, for wide grams at the bucket's edges, each first window with a 128-bit mark."""
     places = sorted({*range(0, length - 7, 8), length - 8}, key=lambda p: (p != length - 8, p))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
-        columns = _columns(iter(held), ["t0", "t1", "t2", "d", "tie", "at"])
+        columns = _columns(iter(held), ["t0", "t1", "t2", "d", "tie", "at", "wide"])
         if not columns:
             return
         order, same = multikey_order(columns[:3], 3, len(columns[0]))
-        d, tie, at = (c[order] for c in columns[3:])
+        d, tie, at, wide = (c[order] for c in columns[3:])
         text = pa.concat_arrays([b.column(b.schema.get_field_index("bytes")).cast(pa.large_binary()) for b in held])
         base = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text)][order]
         word = _words(np.frombuffer(text.buffers()[2], np.uint8))
         group = np.cumsum(np.append(True, ~same)) - 1
-        edge = (group == 0) | (group == group[-1])
+        edge = wide & ((group == 0) | (group == group[-1]))
         start, windows, lead = at >> 14, (at >> 7) & 127, at & 127
         low, high = np.full(len(at), length, np.int64), np.full(len(at), -1, np.int64)
         for before in range(int(lead.max()) + 1):  # windows whose anchor is so many bytes behind their start
@@ -256,12 +259,15 @@ def suffix_dedup(df: DataFrame, *, length: int = 100) -> DataFrame:
     buckets = max(1, -(-(size or 0) // BUCKET_BYTES))
     suffixes = base.select("d", "tie", "text").mapInArrow(_suffixes(length), "gram long, stretch long, d long, tie long, at long")
     dealt = suffixes.repartitionByRange(buckets, "gram", "stretch", "d", "tie", "at")
-    sorted_ = written(dealt.mapInArrow(_token_bucket, "d long, tie long, at long, fresh boolean"), "suffix")
-
-    fresh = sorted_.where("fresh")
-    wanted = fresh.groupBy("d", "tie").agg(F.collect_list("at").alias("ats"))  # at most one for each byte of a document
-    stretches = base.join(wanted, ["d", "tie"]).mapInArrow(_stretches(length), "t0 long, t1 long, t2 long, d long, tie long, at long, bytes binary")
-    dealt = stretches.repartitionByRange(fresh.count() // BUCKET_STRETCHES + 1, "t0", "t1", "t2", "d", "tie", "at")
+    sorted_ = written(dealt.mapInArrow(_token_bucket, "d long, tie long, at long, gram long"), "suffix")
+
+    fresh = sorted_.where("gram is not null")
+    wide = fresh.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE_GRAM).select("gram", F.lit(-1).alias("sign"))
+    marked = fresh.join(wide, "gram", "left").select("d", "tie", (F.col("at") * F.coalesce("sign", F.lit(1))).alias("at"))  # at is over 0
+    wanted = marked.groupBy("d", "tie").agg(F.collect_list("at").alias("ats"))  # at most one for each byte of a document
+    stretches = base.join(wanted, ["d", "tie"]).mapInArrow(_stretches(length), "t0 long, t1 long, t2 long, d long, tie long, at long, wide boolean, bytes binary")
+    deal = F.when(F.col("wide"), F.xxhash64("d", "tie", "at")).otherwise(F.lit(0))
+    dealt = stretches.withColumn("deal", deal).repartitionByRange(fresh.count() // BUCKET_STRETCHES + 1, "t0", "t1", "t2", "deal")
     found = written(dealt.mapInArrow(_byte_bucket(length), "d long, tie long, start long, end long, m1 long, m2 long"), "suffix")
 
     place = F.struct("d", "tie", "start")
@@ -269,7 +275,7 @@ def suffix_dedup(df: DataFrame, *, length: int = 100) -> DataFrame:
     firsts = edges.groupBy("m1", "m2").agg(F.min(place).alias("first"))
     across = edges.join(firsts, ["m1", "m2"]).where(place > F.col("first"))
     start = F.shiftright("at", 14)
-    whole = sorted_.where("not fresh").select("d", "tie", start.alias("start"), (start + F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long")) + (length - 1)).alias("end"))
+    whole = sorted_.where("gram is null").select("d", "tie", start.alias("start"), (start + F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long")) + (length - 1)).alias("end"))
     spans = whole.unionByName(found.where("m1 is null").drop("m1", "m2")).unionByName(across.select("d", "tie", "start", "end"))
     per_text = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = docs.join(per_text, ["d", "tie"], "left").select("doc_id", "text", "spans")
