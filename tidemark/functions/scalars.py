@@ -198,3 +198,16 @@ def any_true(bits: Column) -> Column:
 
 def all_true(bits: Column) -> Column:
     return F.forall(bits, lambda b: F.coalesce(b, F.lit(False)))
+
+
+# Constants of the 32-bit integer mixer and of the draw and rank counters.
+MIX32 = (0x7FEB352D, 0x31848BAB)
+DRAW_STEP, RANK_STEP = 0x5851F42D, 0x2C1B3C6D
+WORD32 = 0xFFFFFFFF
+
+
+def mix32(x: Column) -> Column:
+    """A bijective mixer of whole numbers below 2**32. Products stay below 2**63, so every engine can state it."""
+    for shift, factor in zip((16, 15), MIX32, strict=True):
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor).cast("long")).bitwiseAND(F.lit(WORD32).cast("long"))
+    return x.bitwiseXOR(F.shiftright(x, 16))

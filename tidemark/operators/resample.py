@@ -25,20 +25,31 @@ BLOCK_ROWS = 4096
 _SLAB = 128
 
 
-def _weights(table: pa.Table | pa.RecordBatch, draws: int) -> np.ndarray:
-    """(rows, draws + 1) weights, draw 0 first; missing weights are zeros beyond draw 0."""
-    out = np.zeros((table.num_rows, draws + 1), np.int64)
-    counts = table.column("c").to_numpy()
-    packed, summed = table.column("w").to_pylist(), table.column("sums").to_pylist()
-    out[:, 0] = counts
-    some = [i for i, w in enumerate(packed) if w is not None]
-    if some:
-        bytes_ = np.frombuffer(b"".join(packed[i][:draws] for i in some), np.uint8).reshape(len(some), draws)
-        out[some, 1:] = bytes_ * counts[some, None]
-    for i, s in enumerate(summed):
-        if s is not None:
-            out[i] = np.frombuffer(s, np.int64)
-    return out
+class _Draws:
+    """Weights of a block's rows for draws 0 (unit weights) to ``draws``, one byte each; widened a slab at a time."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, draws: int, rows: np.ndarray | None = None):
+        rows = np.arange(table.num_rows) if rows is None else rows
+        table = table.take(pa.array(rows))
+        self.counts = table.column("c").to_numpy().astype(np.float64)[:, None]
+        self.bytes = np.zeros((len(rows), draws + 1), np.uint8)
+        self.bytes[:, 0] = 1
+        packed = table.column("w").to_pylist()
+        some = [i for i, w in enumerate(packed) if w is not None]
+        if some:
+            self.bytes[some, 1:] = np.frombuffer(b"".join(packed[i][:draws] for i in some), np.uint8).reshape(len(some), draws)
+        self.summed = {i: np.frombuffer(x, np.int64) for i, x in enumerate(table.column("sums").to_pylist()) if x is not None}
+
+    def slab(self, lo: int, hi: int) -> np.ndarray:
+        """(rows, hi - lo)"""
+        out = self.bytes[:, lo:hi] * self.counts
+        for i, x in self.summed.items():
+            out[i] = x[lo:hi]
+        return out
+
+    def total(self) -> np.ndarray:
+        """Sums over the rows, all draws."""
+        return np.concatenate([self.slab(lo, lo + _SLAB).sum(axis=0) for lo in range(0, self.bytes.shape[1], _SLAB)])
 
 
 def _channel(table: pa.Table) -> np.ndarray:
@@ -75,7 +86,7 @@ def resampled_metrics(
     arrow = to_arrow_schema(schema)
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        sums = _weights(table, draws).sum(axis=0)
+        sums = _Draws(table, draws).total().astype(np.int64)
         head = _keys(key[: len(merge)], merge, arrow, 1)
         return pa.Table.from_arrays([*head, pa.array([1], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], schema=arrow)
 
@@ -88,8 +99,8 @@ def resampled_metrics(
     totals_schema = T.StructType([*key_fields, T.StructField("slab", T.IntegerType()), T.StructField("t", T.BinaryType())])
 
     def block_totals(key: tuple, table: pa.Table) -> pa.Table:
-        w, channel = _weights(table, draws), _channel(table)
-        sums = np.stack([w[channel == c].sum(axis=0) for c in range(4)]).astype(np.float64)
+        channel = _channel(table)
+        sums = np.stack([_Draws(table, draws, np.flatnonzero(channel == c)).total() for c in range(4)])
         out = to_arrow_schema(totals_schema)
         cells = [pa.array(slab_starts, pa.int32()), pa.array([sums[:, lo : lo + _SLAB].tobytes() for lo in slab_starts], pa.binary())]
         return pa.Table.from_arrays([*_keys(key, keys, out, len(slab_starts)), *cells], schema=out)
@@ -121,7 +132,7 @@ def resampled_metrics(
 
     per_block = merged.groupBy(*keys).applyInArrow(block_totals, totals_schema)
     ordered = per_block.repartition(*group, "slab").sortWithinPartitions(*group, "slab", "block")
-    sums = materialize(ordered.mapInArrow(prefix, prefix_schema))
+    sums = ordered.mapInArrow(prefix, prefix_schema)
     whole = sums.where("last").select(*group, "slab", F.col("before").alias("whole"))
     offsets = sums.where("not last").drop("last").join(whole, [*group, "slab"]).select(*keys, "slab", "before", "whole")
 
@@ -134,37 +145,42 @@ def resampled_metrics(
     def local(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out_arrow = to_arrow_schema(out_schema)
         value, sid = np.unique(left.column("s").to_numpy(), return_inverse=True)
-        channel, w = _channel(left), _weights(left, draws)
-        n_s, score_ = len(value), value[:, None]
-        rows_of = []
+        channel = _channel(left)
+        at = np.unique(sid[channel < 2])  # ranks are summed over the scores of positives
+        sides_ = []
         for c in range(4):
             mine = np.flatnonzero(channel == c)
             mine = mine[np.argsort(sid[mine], kind="stable")]
-            starts = np.flatnonzero(np.append(True, np.diff(sid[mine]) > 0)) if len(mine) else mine
-            rows_of.append((mine, starts, sid[mine][starts] if len(mine) else mine))
-        at = {s: (np.frombuffer(b, np.float64).reshape(4, -1), np.frombuffer(t, np.float64).reshape(4, -1))
-              for s, b, t in zip(right.column("slab").to_pylist(), right.column("before").to_pylist(), right.column("whole").to_pylist(), strict=True)}
+            # rows up to a positive's score, and those below it
+            upto, below = np.searchsorted(sid[mine], at, side="right"), np.searchsorted(sid[mine], at, side="left")
+            cuts = np.unique(np.concatenate([[0, len(mine)], upto, below]))
+            distance = (value[sid[mine]] - (c < 2)) ** 2
+            sides_.append((_Draws(left, draws, mine), cuts, np.searchsorted(cuts, upto), np.searchsorted(cuts, below), distance))
+        held = {n: (np.frombuffer(b, np.float64).reshape(4, -1), np.frombuffer(t, np.float64).reshape(4, -1))
+                for n, b, t in zip(right.column("slab").to_pylist(), right.column("before").to_pylist(), right.column("whole").to_pylist(), strict=True)}
         parts: dict[str, list] = {c: [] for c in ("draw", "scope", "p", "n", "u", "a", "b")}
         for lo in slab_starts:
-            before, whole_ = at[lo]
+            before, whole_ = held[lo]
             width = before.shape[1]
-            cells = np.zeros((4, n_s, width))
-            for c, (mine, starts, ids) in enumerate(rows_of):
-                if len(mine):
-                    cells[c, ids] = np.add.reduceat(w[mine, lo : lo + width], starts, axis=0)
-            upto_ = cells.cumsum(axis=1)
-            square = [cells[c] * ((score_ - 1) ** 2 if c < 2 else score_**2) for c in range(4)]
-            square = [x.sum(axis=0) for x in square]
+            here, upto_, all_, square = [], [], [], []
+            for w, cuts, last, first, distance in sides_:
+                cells = w.slab(lo, lo + width)
+                run = np.zeros((len(cuts), width))  # sums of the rows before each cut
+                if len(cuts) > 1:
+                    np.cumsum(np.add.reduceat(cells, cuts[:-1], axis=0), axis=0, out=run[1:])
+                all_.append(run[-1])
+                square.append(distance @ cells)
+                upto_.append(run[last])
+                here.append(run[last] - run[first])
             for scope in wanted:
                 pos, neg = sides[scope]
                 add = lambda x, which: sum(x[c] for c in which)
-                here = np.unique(np.concatenate([rows_of[c][2] for c in pos]))  # ranks are summed over the positives' scores only
-                p, n = add(cells[:, here], pos), add(cells[:, here], neg)
-                above_p = add(whole_, pos) - add(before, pos) - add(upto_[:, here], pos) + p
-                below_n = add(before, neg) + add(upto_[:, here], neg)
+                p, n = add(here, pos), add(here, neg)
+                below_n = add(before, neg) + add(upto_, neg)
+                above_p = add(whole_, pos) - add(before, pos) - add(upto_, pos) + p
                 above = above_p + add(whole_, neg) - below_n + n
                 prec = np.divide(above_p, above, out=np.zeros_like(p), where=above > 0)
-                found = {"draw": np.arange(lo, lo + width, dtype=np.int32), "scope": np.full(width, scope, dtype=object), "p": p.sum(axis=0), "n": add(upto_[:, -1], neg),
+                found = {"draw": np.arange(lo, lo + width, dtype=np.int32), "scope": np.full(width, scope, dtype=object), "p": add(all_, pos), "n": add(all_, neg),
                          "u": (p * (below_n - n / 2)).sum(axis=0), "a": (p * prec).sum(axis=0), "b": add(square, (*pos, *neg))}
                 for c, v in found.items():
                     parts[c].append(v)

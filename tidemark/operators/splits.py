@@ -6,7 +6,6 @@ partitioning, the row order or the engine.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import hash_rank
-from tidemark.functions.scalars import hash32
+from tidemark.functions.scalars import DRAW_STEP, MIX32, RANK_STEP, WORD32, hash32, mix32
+from tidemark.session import materialize
 
 
 def strata_ranks(entities: DataFrame, strata: Sequence[str], salt: Sequence[Column | str], entity: str) -> DataFrame:
@@ -80,13 +80,16 @@ def stratified_bootstrap(
     """(draw, stratum, entity, m): n draws with replacement inside each stratum of n entities.
 
     One multiplicity per entity and draw, shared by all repeats, arms and phases; entities that
-    were not drawn have no row. Slot r of a draw picks the entity ranked hash(draw, r) mod n.
+    were not drawn have no row. Slot r of a draw picks the entity ranked hash(draw, r) mod n: a counter-based integer hash,
+    seeded by salt and stratum.
     """
     ranked = strata_ranks(entities.select(entity, stratum), [stratum], ["rank"], entity)
     slots = ranked.select(stratum, "rank", "rank_total").withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))
     )
-    pick = F.pmod(hash32(F.lit(salt), "draw", stratum, "rank"), F.col("rank_total")) + 1
+    word = F.lit(WORD32).cast("long")
+    of_draw = mix32((hash32(F.lit(salt), stratum) + F.col("draw").cast("long") * DRAW_STEP).bitwiseAND(word))
+    pick = mix32((of_draw + F.col("rank").bitwiseAND(word) * RANK_STEP).bitwiseAND(word)) % F.col("rank_total") + 1
     picks = slots.select("draw", stratum, pick.alias("rank")).groupBy("draw", stratum, "rank").agg(
         F.count("*").cast("int").alias("m")
     )
@@ -96,43 +99,48 @@ def stratified_bootstrap(
 PICK_BLOCK = 4096  # entities whose draws are counted together in one task
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``scalars.mix32`` of a whole array."""
+    for shift, factor in zip((16, 15), MIX32, strict=True):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(WORD32)
+    return x ^ (x >> np.uint64(16))
+
+
 def bootstrap_weights(
     entities: DataFrame, *, draws: int, entity: str = "stay", stratum: str = "case", salt: str = "boot"
 ) -> DataFrame:
     """(entity, w): the multiplicities of ``stratified_bootstrap`` as one byte per draw, for the resampling operators.
 
-    Same picks. They leave the hashing tasks as two bytes each, sorted by block of ``PICK_BLOCK`` ranks, and are counted
-    per block; no row per draw and entity is made. A multiplicity over 255 has no byte (and no practical probability): it fails.
+    Same picks, hashed in whole arrays. They leave the hashing tasks as two bytes each, sorted by block of ``PICK_BLOCK``
+    ranks, and are counted per block; no row per draw and entity is made. The result is written once, whatever reads it
+    later. A multiplicity over 255 has no byte (and no practical probability): it fails.
     """
-    ranked = strata_ranks(entities.select(entity, stratum), [stratum], ["rank"], entity)
-    slots = ranked.select(F.col(stratum).cast("string").alias("s"), "rank", "rank_total")
+    ranked = materialize(strata_ranks(entities.select(entity, stratum), [stratum], ["rank"], entity))
+    slots = ranked.select(F.col(stratum).cast("string").alias("s"), "rank", "rank_total", hash32(F.lit(salt), stratum).alias("seed"))
 
     def pick(batches):
         for batch in batches:
-            strata, ranks, totals = (c.to_pylist() for c in batch.columns)
-            for s in sorted(set(strata)):
-                own = [str(r).encode() for r, v in zip(ranks, strata, strict=True) if v == s]
-                n = next(t for t, v in zip(totals, strata, strict=True) if v == s)
+            strata = np.array(batch.column(0).to_pylist(), object)
+            ranks, totals, seeds = (c.to_numpy() for c in batch.columns[1:])
+            for s in dict.fromkeys(strata):
+                own = np.flatnonzero(strata == s)
+                n = totals[own[0]]
+                of_draw = _mixed((seeds[own[0]].astype(np.uint64) + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(DRAW_STEP)) & np.uint64(WORD32))
+                counted = (ranks[own].astype(np.uint64) & np.uint64(WORD32)) * np.uint64(RANK_STEP)
                 out = {"s": [], "block": [], "draw": [], "picks": []}
-                for d in range(1, draws + 1):
-                    head = hashlib.md5(f"{salt}|{d}|{s}|".encode())
-                    found = np.empty(len(own), np.int64)
-                    for i, r in enumerate(own):
-                        h = head.copy()
-                        h.update(r)
-                        found[i] = int.from_bytes(h.digest()[:4], "big")
-                    found = np.sort(found % n)
+                for d in range(draws):
+                    found = np.sort((_mixed((of_draw[d] + counted) & np.uint64(WORD32)) % np.uint64(n)).astype(np.int64))
                     blocks = found // PICK_BLOCK
                     cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(found)]])
                     for x, y in zip(cuts, cuts[1:], strict=False):
-                        for name, value in (("s", s), ("block", int(blocks[x])), ("draw", d), ("picks", (found[x:y] % PICK_BLOCK).astype(np.uint16).tobytes())):
+                        for name, value in (("s", s), ("block", int(blocks[x])), ("draw", d + 1), ("picks", (found[x:y] % PICK_BLOCK).astype(np.uint16).tobytes())):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("s", pa.string()), ("block", pa.int64()), ("draw", pa.int32()), ("picks", pa.binary())]))
 
     def count(key, table):
-        matrix = np.zeros((PICK_BLOCK, draws), np.int64)
+        matrix = np.zeros((PICK_BLOCK, draws), np.int32)
         for d, picks in zip(table.column("draw").to_pylist(), table.column("picks").to_pylist(), strict=True):
-            matrix[:, d - 1] += np.bincount(np.frombuffer(picks, np.uint16), minlength=PICK_BLOCK)
+            matrix[:, d - 1] += np.bincount(np.frombuffer(picks, np.uint16), minlength=PICK_BLOCK).astype(np.int32)
         if matrix.max() > 255:
             raise ValueError("a multiplicity is over 255")
         used = np.flatnonzero(matrix.any(axis=1))
@@ -141,9 +149,9 @@ def bootstrap_weights(
             "s": pa.array([key[0].as_py()] * len(used), pa.string()), "rank": pa.array(used + key[1].as_py() * PICK_BLOCK + 1, pa.int64()),
             "w": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    picks = slots.mapInArrow(pick, "s string, block long, draw int, picks binary")
+    picks = slots.repartition("rank").mapInArrow(pick, "s string, block long, draw int, picks binary")
     counted = picks.groupBy("s", "block").applyInArrow(count, "s string, rank long, w binary")
-    return counted.join(ranked.select(F.col(stratum).cast("string").alias("s"), "rank", entity), ["s", "rank"]).select(entity, "w")
+    return materialize(counted.join(ranked.select(F.col(stratum).cast("string").alias("s"), "rank", entity), ["s", "rank"]).select(entity, "w"))
 
 
 def plain_bootstrap(entities: DataFrame, *, draws: int, entity: str = "stay", salt: str = "plain") -> DataFrame:

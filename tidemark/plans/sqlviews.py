@@ -1,6 +1,7 @@
 """The shared views in DuckDB SQL. Their Spark form is in ``fixtures.py``."""
 
 from tidemark import contract
+from tidemark.functions.scalars import DRAW_STEP, MIX32, RANK_STEP, WORD32
 
 H32 = "CAST(concat('0x', substr(md5({}), 1, 8)) AS BIGINT)"
 
@@ -93,19 +94,25 @@ FROM f_risk k, (SELECT unnest(range(1, 6)) AS r) r""",
 }
 
 
-def mult_sql(draws: int, source: str = "f_targets", salt: str = "boot") -> str:
-    """Stratified bootstrap multiplicities: slot r of draw d picks the entity ranked hash(d, r) mod n."""
+def mix32_sql(source: str, name: str) -> str:
+    """``source`` with its column ``name`` sent through ``scalars.mix32``."""
+    for shift, factor in zip((16, 15), MIX32, strict=True):
+        source = f"SELECT * REPLACE ((xor({name}, {name} >> {shift}) * {factor}) & {WORD32} AS {name}) FROM ({source})"
+    return f"SELECT * REPLACE (xor({name}, {name} >> 16) AS {name}) FROM ({source})"
+
+
+def mult_sql(draws: int, source: str = "f_targets", salt: str = "boot", every: int = 1) -> str:
+    """Stratified bootstrap multiplicities: slot r of draw d picks the entity ranked hash(d, r) mod n. ``every``: only the draws that it divides."""
     hs = h32("concat_ws('|', 'rank', stay)")
-    pick = h32(f"concat_ws('|', '{salt}', d.d, u.\"case\", u.rank)")
+    seed = h32(f"concat_ws('|', '{salt}', c.\"case\")")
+    of_draw = mix32_sql(f"""SELECT d.d, c."case", ({seed} + d.d * {DRAW_STEP}) & {WORD32} AS h FROM (SELECT DISTINCT "case" FROM {source}) c,
+         (SELECT CAST(unnest(range({every}, {draws} + 1, {every})) AS BIGINT) AS d) d""", "h")
+    slots = mix32_sql(f"""SELECT h.d, h."case", u.n, (h.h + (u.rank & {WORD32}) * {RANK_STEP}) & {WORD32} AS pick FROM ({of_draw}) h JOIN (
+      SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY {hs}, stay) AS rank, count(*) OVER (PARTITION BY "case") AS n
+      FROM (SELECT DISTINCT stay, "case" FROM {source})) u ON u."case" = h."case\"""", "pick")
     return f"""
-SELECT d AS draw, "case", stay, m FROM (
-  SELECT p.d, p."case", p.pick, CAST(count(*) AS INTEGER) AS m FROM (
-    SELECT d.d, u."case", {pick} % u.n + 1 AS pick
-    FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY {hs}, stay) AS rank,
-                 count(*) OVER (PARTITION BY "case") AS n
-          FROM (SELECT DISTINCT stay, "case" FROM {source})) u,
-         (SELECT CAST(unnest(range(1, {draws} + 1)) AS INTEGER) AS d) d) p
-  GROUP BY p.d, p."case", p.pick) c
+SELECT CAST(d AS INTEGER) AS draw, "case", stay, m FROM (
+  SELECT d, "case", pick % n + 1 AS pick, CAST(count(*) AS INTEGER) AS m FROM ({slots}) GROUP BY ALL) c
 JOIN (SELECT stay, "case" AS case2, row_number() OVER (PARTITION BY "case" ORDER BY {hs}, stay) AS rank
       FROM (SELECT DISTINCT stay, "case" FROM {source})) e
   ON e.case2 = c."case" AND e.rank = c.pick"""
