@@ -278,6 +278,11 @@ def _binned(scores: DataFrame) -> DataFrame:
     return scores.withColumn("bin", rel_bin_label(F.col("pod"))).where("bin is not null")
 
 
+def binned_draws(scores: DataFrame, weights: DataFrame, *, draws: int, entity: str = "stay") -> DataFrame:
+    """``resampled_metrics`` per rel-day bin, repeat and arm."""
+    return resampled_metrics(_binned(scores), weights, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+
+
 def binned_metrics(
     scores: DataFrame, weights: DataFrame, *, draws: int, minimum: int | None = None, support: int = 10, entity: str = "stay"
 ) -> DataFrame:
@@ -288,7 +293,7 @@ def binned_metrics(
         F.sum("p").alias("positive_entities"), F.count_if(F.col("q") == 0).alias("negative_entities"))
     ok = sup.groupBy("arm", "bin").agg(
         F.min((F.col("positive_entities") >= support) & (F.col("negative_entities") >= support)).alias("supported"))
-    m = resampled_metrics(b, weights, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    m = binned_draws(scores, weights, draws=draws, entity=entity)
     rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in METRIC_COLUMNS])
     key = ["arm", "bin", "metric"]
     values = equal_repeat(m.select("draw", "arm", "bin", F.explode(rows).alias("r")).select("draw", "arm", "bin", "r.*"), ["draw", *key])
@@ -302,7 +307,7 @@ def binned_gains(
     scores: DataFrame, weights: DataFrame, contrasts: DataFrame, *, draws: int, minimum: int | None = None, entity: str = "stay"
 ) -> DataFrame:
     """Paired AUC gains per rel-day bin on the shared draws. ``contrasts`` has (arm, reference)."""
-    m = resampled_metrics(_binned(scores), weights, ["repeat", "arm", "bin"], draws=draws, entity=entity, scopes=("total",))
+    m = binned_draws(scores, weights, draws=draws, entity=entity)
     values = equal_repeat(m.select("draw", "arm", F.col("bin").alias("metric"), F.col("auc").alias("value")), ["draw", "arm", "metric"])
     bins = F.array(F.lit("pre"), *[F.lit(bin_label(lo, hi)) for lo, hi in REL_DAY_BINS])
     deltas = contrast(values, contrasts.select("arm", "reference", F.explode(bins).alias("metric")), ["draw"])
@@ -310,6 +315,26 @@ def binned_gains(
     return out.withColumnsRenamed({"metric": "bin", "estimate": "delta"})
 
 
+def auc_report(
+    scores: DataFrame, weights: DataFrame, group: Sequence[str] = (), *, draws: int, entity: str = "stay", model: str = "model", reference: str = "reference"
+) -> DataFrame:
+    """(group, auc, valid_draws, ci_lo, ci_hi, delta, delta_lo, delta_hi): AUC of one model, and less that of a reference, on shared entity draws.
+
+    ``scores``: repeat, arm (``model`` and, if there is one, ``reference``), group, y, probability. Each is the mean over the repeats in
+    which it is defined. Intervals are percentiles over the draws in which they are defined; without a reference the delta is NULL.
+    """
+    m = resampled_metrics(scores, weights, ["repeat", "arm", *group], draws=draws, entity=entity, scopes=("total",))
+    side = lambda a: F.avg(F.when(F.col("arm") == a, F.col("auc")))
+    v = m.groupBy("draw", *group).agg(side(model).alias("auc"), side(reference).alias("__ref"))
+    v = v.withColumn("delta", F.col("auc") - F.col("__ref"))
+    point, later = F.col("draw") == 0, F.col("draw") > 0
+    levels = F.array(F.lit(0.025), F.lit(0.975))
+    aggs = [e for c in ("auc", "delta") for e in (F.max(F.when(point, F.col(c))).alias(c), F.percentile(F.when(later, F.col(c)), levels).alias(f"__{c}"))]
+    out = v.groupBy(*group).agg(*aggs, F.count(F.when(later, F.col("auc"))).alias("valid_draws"))
+    return out.select(*group, "auc", "valid_draws", F.col("__auc")[0].alias("ci_lo"), F.col("__auc")[1].alias("ci_hi"),
+                      "delta", F.col("__delta")[0].alias("delta_lo"), F.col("__delta")[1].alias("delta_hi"))
+
+
 def learning_slope(points: DataFrame, group: Sequence[str], *, value: str = "auc", cases: str = "cases") -> DataFrame:
     """Slope of the value on log2(training cases) per group; NULL with an undefined point."""
     ok = F.count(value) == F.count(F.lit(1))

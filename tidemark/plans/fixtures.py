@@ -181,6 +181,18 @@ class Inputs:
         return rows.select("*", ev.isNotNull().cast("int").alias("case"), grp.alias("grp"),
                            (F.lit(0.7) * noise + F.lit(0.3) * near).alias("probability"))
 
+    @cached_property
+    def report_scores(self) -> DataFrame:
+        """``risk_scores`` as arm ``model``, and noise on the same rows as arm ``reference``."""
+        noise = hash32(F.lit("ref"), "repeat", "entity", "day") / F.lit(4294967296.0)
+        arms = F.map_from_arrays(F.array(F.lit("model"), F.lit("reference")), F.array(F.col("probability"), noise))
+        meta = [c for c in self.risk_scores.columns if c != "probability"]
+        return self.risk_scores.select(*meta, F.explode(arms).alias("arm", "probability"))
+
+    def report_weights(self, draws: int) -> DataFrame:
+        one = self.risk_scores.select("entity", F.lit(0).alias("one")).distinct()
+        return splits.bootstrap_weights(one, draws=draws, entity="entity", stratum="one", salt="plain")
+
     @cached_property
     def phi(self) -> DataFrame:
         r = F.col("repeat")

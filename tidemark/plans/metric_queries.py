@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.contract import valid_floor
+from tidemark.contract import LOCKED_DRAWS, REPORT_DRAWS, valid_floor
 from tidemark.functions.scalars import hash32
 from tidemark.operators import aggregates, encode, metrics, splits
 from tidemark.operators.resample import resampled_sums
 from tidemark.plans.catalog import query
 from tidemark.plans.common import config_rows, r6, sr6
 from tidemark.plans.metric_sql import metrics_sql, phase_sql, repeat_mean_sql
-from tidemark.plans.sqlviews import QUERY_DRAWS, h32
+from tidemark.plans.sqlviews import EVERY, QUERY_DRAWS, h32
 
 D = QUERY_DRAWS
 
@@ -81,6 +81,15 @@ def met_04(x):
     return r6(out.drop("estimate"), "ci_lo", "ci_hi")
 
 
+@query("met_04_draws", f"""WITH w AS (SELECT 0 AS draw, repeat, arm, pod, y, probability, 1 AS w FROM f_scores UNION ALL
+  SELECT m.draw, s.repeat, s.arm, s.pod, s.y, s.probability, m.m FROM f_scores s JOIN f_mult_some m ON m.stay = s.stay)
+ SELECT draw, arm, metric, {sr6('value', 'value')} FROM ({repeat_mean_sql(phase_sql('w', 'draw, repeat, arm', 'w'), 'draw, arm, metric')})""")
+def met_04_draws(x):
+    """Every ``EVERY``-th draw of the run that met_04 to met_07 and met_09 summarise."""
+    drawn = metrics.drawn_arm_metrics(x.scores, x.weights, draws=D)
+    return r6(drawn.where(F.col("draw") % EVERY == 0), "value")
+
+
 @query(
     "met_05",
     f"""WITH {_EVAL.strip()} SELECT arm, reference, metric, {sr6('delta', 'delta')}, n AS common_valid_draws, {sr6('q', 'q')},
@@ -159,6 +168,14 @@ def met_09(x):
     return r6(metrics.arm_intervals(x.scores, x.weights, draws=D), "estimate", "ci_lo", "ci_hi")
 
 
+@query("met_08_draws", f"""WITH w AS (SELECT *, 0 AS draw, 1 AS w FROM {_BS} UNION ALL SELECT s.*, m.draw, m.m FROM {_BS} s JOIN f_mult_some m ON m.stay = s.stay)
+ SELECT draw, repeat, arm, bin, {sr6('auc', 'auc')}, {sr6('ap', 'ap')}, {sr6('brier', 'brier')} FROM ({metrics_sql('w', 'draw, repeat, arm, bin', w='w')})""")
+def met_08_draws(x):
+    """Every ``EVERY``-th draw of the run that met_08 and met_19 summarise."""
+    drawn = metrics.binned_draws(x.scores, x.weights, draws=D).where(F.col("draw") % EVERY == 0)
+    return r6(drawn.select("draw", "repeat", "arm", "bin", "auc", "ap", "brier"), "auc", "ap", "brier")
+
+
 _MASKS = {"all": "TRUE", "pre": "rel < 0", "pod0_3": "rel BETWEEN 0 AND 3", "pod4plus": "rel >= 4", "lead3": "y3 = 0 OR event - day = 3"}
 
 
@@ -170,14 +187,41 @@ def _mean_sd(inner: str, value: str) -> str:
     return f"SELECT subset, {sr6(f'avg({value})', 'mean')}, {sr6(f'stddev_samp({value})', 'sd')} FROM ({inner}) GROUP BY subset"
 
 
+def _newton_sql(shift_only: bool, steps: int, source: str = "f_scores", keys: str = "repeat, arm", y: str = "y") -> str:
+    """(keys, a, b): the fits by a fixed number of Newton steps over (keys, z) counts, as nested selects."""
+    g = f"""(SELECT {keys}, z, count(*) AS n, sum({y}) AS k FROM (SELECT {keys}, {y}, ln(c / (1 - c)) AS z FROM (
+ SELECT {keys}, {y}, least(greatest(probability, 1e-6), 1 - 1e-6) AS c FROM {source})) GROUP BY ALL)"""
+    out = [f"g AS MATERIALIZED {g}", f"s0 AS (SELECT {keys}, " + ("0e0 AS a, 1e0 AS b" if shift_only else "ln(sum(k) / (sum(n) - sum(k))) AS a, 0e0 AS b") + f" FROM g GROUP BY {keys})"]
+    for i in range(steps):
+        p = f"(SELECT g.*, a, b, 1 / (1 + exp(-(a + b * z))) AS p FROM g JOIN s{i} USING ({keys}))"
+        m = f"(SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) AS g0, sum((k - n * p) * z) AS g1, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * z) AS h1, sum(n * p * (1 - p) * z * z) AS h2 FROM {p} GROUP BY {keys})"
+        new = "a + g0 / h0 AS a, b" if shift_only else "a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b"
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT {keys}, {new} FROM {m})")
+    return "(WITH " + ", ".join(out) + f" SELECT {keys}, a, b FROM s{steps})"
+
+
+def _auc_report_sql(source: str, mult: str, group: str = "") -> str:
+    """``metrics.auc_report`` of ``source`` (repeat, arm, stay, group, y, probability)."""
+    keys, by = f"draw, repeat, arm{group}", f"draw{group}"
+    drawn = f"(SELECT s.*, 0 AS draw, 1 AS w FROM {source} s UNION ALL SELECT s.*, m.draw, m.m FROM {source} s JOIN {mult} m ON m.stay = s.stay)"
+    v = f"""(SELECT {by}, avg(auc) FILTER (arm = 'model') AS auc, avg(auc) FILTER (arm = 'model') - avg(auc) FILTER (arm = 'reference') AS delta FROM ({metrics_sql(drawn, keys, w='w')}) GROUP BY {by})"""
+    out = ", ".join(f"max({c}) FILTER (draw = 0) AS {c}, quantile_cont({c}, 0.025) FILTER (draw > 0) AS {lo}, quantile_cont({c}, 0.975) FILTER (draw > 0) AS {hi}" for c, lo, hi in (("auc", "ci_lo", "ci_hi"), ("delta", "delta_lo", "delta_hi")))
+    head = group.lstrip(", ") + ", " if group else ""
+    return f"SELECT {head}count(auc) FILTER (draw > 0) AS valid_draws, {out} FROM {v}" + (f" GROUP BY {group.lstrip(', ')}" if group else "")
+
+
 @query(
     "met_10",
     f"""WITH thr AS (SELECT repeat, quantile_cont(probability, 0.95) AS t FROM f_risk_scores WHERE y3 = 0 GROUP BY repeat),
  det AS (SELECT repeat, entity, min(grp) AS g, max(CAST(probability >= t AS INTEGER)) AS hit FROM f_risk_scores JOIN thr USING (repeat) WHERE y3 = 1 GROUP BY ALL),
- m AS ({metrics_sql(_masked_src(_MASKS, 'y3'), 'repeat, subset')})
-SELECT 'auc_' || subset AS metric, mean, sd FROM ({_mean_sd('SELECT * FROM m', 'auc')}) UNION ALL
+ m AS ({metrics_sql(_masked_src(_MASKS, 'y3'), 'repeat, subset')}),
+ ci AS ({_auc_report_sql('(SELECT *, y3 AS y FROM f_report)', 'f_report_mult')}),
+ t AS (SELECT 'auc_' || subset AS metric, mean, sd FROM ({_mean_sd('SELECT * FROM m', 'auc')}) UNION ALL
 SELECT 'ap_all', mean, sd FROM ({_mean_sd("SELECT * FROM m WHERE subset = 'all'", 'ap')}) UNION ALL
-SELECT 'detect_' || subset, mean, sd FROM ({_mean_sd("SELECT repeat, 'all' AS subset, avg(hit) AS h FROM det GROUP BY repeat UNION ALL SELECT repeat, g, avg(hit) FROM det GROUP BY repeat, g", 'h')})""",
+SELECT 'calibration_slope', mean, sd FROM ({_mean_sd("SELECT 'all' AS subset, b FROM " + _newton_sql(False, 12, 'f_risk_scores', 'repeat', 'y3'), 'b')}) UNION ALL
+SELECT 'detect_' || subset, mean, sd FROM ({_mean_sd("SELECT repeat, 'all' AS subset, avg(hit) AS h FROM det GROUP BY repeat UNION ALL SELECT repeat, g, avg(hit) FROM det GROUP BY repeat, g", 'h')}))
+SELECT t.*, CASE WHEN metric = 'auc_all' THEN round(ci_lo, 6) + 0e0 END AS ci_lo, CASE WHEN metric = 'auc_all' THEN round(ci_hi, 6) + 0e0 END AS ci_hi, CASE WHEN metric = 'auc_all' THEN valid_draws END AS valid_draws FROM t, ci
+UNION ALL SELECT 'delta_auc', {sr6('delta', 'mean')}, NULL, {sr6('delta_lo', 'ci_lo')}, {sr6('delta_hi', 'ci_hi')}, valid_draws FROM ci""",
 )
 def met_10(x):
     from tidemark.functions.ordered import exact_quantiles
@@ -187,32 +231,42 @@ def met_10(x):
     per = metrics.repeat_summary(auc, ["subset"], ["auc", "ap"])
     thr = exact_quantiles(s.where("y = 0"), ["repeat"], "probability", {"threshold": 0.95}).drop("n")
     det = metrics.repeat_summary(metrics.detection(s, thr, ["repeat"], group="grp", entity="entity"), ["segment"], ["detected"])
-    out = aggregates.union_all([
+    slope = metrics.repeat_summary(metrics.calibration_slope(s, ["repeat"]), [], ["slope"])
+    ci = metrics.auc_report(x.report_scores.withColumn("y", F.col("y3")), x.report_weights(REPORT_DRAWS), draws=REPORT_DRAWS, entity="entity")
+    plain = aggregates.union_all([
         per.select(F.concat(F.lit("auc_"), "subset").alias("metric"), F.col("auc_mean").alias("mean"), F.col("auc_sd").alias("sd")),
         per.where("subset = 'all'").select(F.lit("ap_all").alias("metric"), F.col("ap_mean").alias("mean"), F.col("ap_sd").alias("sd")),
+        slope.select(F.lit("calibration_slope").alias("metric"), F.col("slope_mean").alias("mean"), F.col("slope_sd").alias("sd")),
         det.select(F.concat(F.lit("detect_"), "segment").alias("metric"), F.col("detected_mean").alias("mean"), F.col("detected_sd").alias("sd"))])
-    return r6(out, "mean", "sd")
+    plain = plain.join(ci.select(F.lit("auc_all").alias("metric"), "ci_lo", "ci_hi", "valid_draws"), "metric", "left")
+    delta = ci.select(F.lit("delta_auc").alias("metric"), F.col("delta").alias("mean"), F.lit(None).cast("double").alias("sd"), F.col("delta_lo").alias("ci_lo"), F.col("delta_hi").alias("ci_hi"), "valid_draws")
+    return r6(plain.unionByName(delta), "mean", "sd", "ci_lo", "ci_hi")
 
 
 _LM = {"DOA0": "day - adm = 0", "DOA2": "day - adm = 2", "POD0": "rel = 0", "POD1": "rel = 1", "POD3": "rel = 3", "POD7": "rel = 7"}
 _YB = "CASE WHEN event > day AND event - idx <= 31 THEN 1 ELSE 0 END"
 
 
+_LM_ROWS = "(" + " UNION ALL ".join(f"SELECT repeat, arm, stay, {_YB} AS y, probability, '{n}' AS landmark FROM f_report WHERE {c}" for n, c in _LM.items()) + ")"
+
+
 @query(
     "met_11",
-    f"""SELECT subset AS landmark, CAST(max(n_pos + n_neg) AS BIGINT) AS n, CAST(max(n_pos) AS BIGINT) AS n_pos, {sr6('avg(auc)', 'auc')},
-  {sr6('stddev_pop(auc)', 'auc_sd')}, {sr6('avg(ap)', 'ap')} FROM ({metrics_sql(_masked_src(_LM, _YB), 'repeat, subset')}) GROUP BY subset""",
+    f"""SELECT subset AS landmark, n, n_pos, {sr6('p.auc', 'auc')}, {sr6('auc_sd', 'auc_sd')}, {sr6('ap', 'ap')}, valid_draws,
+  {', '.join(sr6(c, c) for c in ('ci_lo', 'ci_hi', 'delta', 'delta_lo', 'delta_hi'))} FROM (SELECT subset, CAST(max(n_pos + n_neg) AS BIGINT) AS n, CAST(max(n_pos) AS BIGINT) AS n_pos, avg(auc) AS auc,
+  stddev_pop(auc) AS auc_sd, avg(ap) AS ap FROM ({metrics_sql(_masked_src(_LM, _YB), 'repeat, subset')}) GROUP BY subset) p JOIN ({_auc_report_sql(_LM_ROWS, 'f_report_mult', ', landmark')}) c ON c.landmark = p.subset""",
 )
 def met_11(x):
     from tidemark.contract import LANDMARKS
     from tidemark.operators.panel import landmark
 
-    frames = [landmark(x.risk_scores, k, o).select("repeat", F.lit(n).alias("landmark"), F.col("yB").alias("y"), "probability")
-              for n, (k, o) in LANDMARKS.items()]
-    m = metrics.rank_metrics(aggregates.union_all(frames), ["repeat", "landmark"])
+    rows = aggregates.union_all([landmark(x.report_scores, k, o).select("repeat", "arm", "entity", F.lit(n).alias("landmark"), F.col("yB").alias("y"), "probability")
+                                 for n, (k, o) in LANDMARKS.items()])
+    m = metrics.rank_metrics(rows.where("arm = 'model'"), ["repeat", "landmark"])
     out = m.groupBy("landmark").agg((F.max(F.col("n_pos") + F.col("n_neg"))).cast("long").alias("n"), F.max("n_pos").cast("long").alias("n_pos"),
                                     F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"), F.avg("ap").alias("ap"))
-    return r6(out, "auc", "auc_sd", "ap")
+    ci = metrics.auc_report(rows, x.report_weights(REPORT_DRAWS), ["landmark"], draws=REPORT_DRAWS, entity="entity").drop("auc")
+    return r6(out.join(ci, "landmark"), "auc", "auc_sd", "ap", "ci_lo", "ci_hi", "delta", "delta_lo", "delta_hi")
 
 
 _M12 = {"all": "TRUE", "pre": "rel < 0", "pod0_3": "rel BETWEEN 0 AND 3", "pod4plus": "rel >= 4", **{f"at_{k}": v for k, v in _LM.items()}}
@@ -226,18 +280,25 @@ def met_12(x):
     return r6(out.select("subset", F.col("auc_mean").alias("mean"), F.col("auc_sd").alias("sd")), "mean", "sd")
 
 
-_SETS = """(SELECT *, CASE WHEN grp IN ('a', 'b', 'none') AND rel <= 8 THEN 'formal' WHEN grp = 'c' THEN 'c_aux' ELSE 'late_aux' END AS set FROM f_risk_scores)"""
-_M13 = {"pre_pooled": "set = 'c_aux' OR (set = 'formal' AND rel < 0)", "late": "set = 'late_aux'", "formal_plus_late": "set IN ('formal', 'late_aux')"}
+# entities with an event after the target window (8 days past the index) are the late group "d"
+_LATE_DAY = 8
+_SETS = f"""(SELECT *, CASE WHEN grp <> 'c' AND NOT late AND rel <= {_LATE_DAY} THEN 'formal' WHEN grp = 'c' AND rel < 0 THEN 'c_aux' WHEN late AND rel <= {_LATE_DAY} THEN 'd_window'
+  WHEN (late OR grp = 'none') AND rel > {_LATE_DAY} THEN 'late_aux' ELSE 'drop' END AS set FROM (SELECT *, coalesce(event - idx > {_LATE_DAY}, FALSE) AS late FROM f_risk_scores))"""
+_M13 = {"pre_pooled": "set = 'c_aux' OR (set = 'formal' AND rel < 0)", "late": "set = 'late_aux'", "formal_plus_d_window": "set IN ('formal', 'd_window')"}
 
 
-@query("met_13", _mean_sd(metrics_sql(_masked_src(_M13, "y3", _SETS), "repeat, subset"), "auc"))
+@query("met_13", f"""SELECT subset, {sr6('avg(auc)', 'mean')}, {sr6('stddev_samp(auc)', 'sd')}, CAST(max(n_pos) AS BIGINT) AS positive_rows, CAST(max(n_pos + n_neg) AS BIGINT) AS n_rows
+ FROM ({metrics_sql(_masked_src(_M13, 'y3', _SETS), 'repeat, subset')}) GROUP BY subset""")
 def met_13(x):
-    grp = F.col("grp")
-    st = F.when(grp.isin("a", "b", "none") & (F.col("rel") <= 8), "formal").when(grp == "c", "c_aux").otherwise("late_aux")
+    grp, rel = F.col("grp"), F.col("rel")
+    late = F.coalesce(F.col("event") - F.col("idx") > _LATE_DAY, F.lit(False))
+    st = (F.when((grp != "c") & ~late & (rel <= _LATE_DAY), "formal").when((grp == "c") & (rel < 0), "c_aux").when(late & (rel <= _LATE_DAY), "d_window")
+          .when((late | (grp == "none")) & (rel > _LATE_DAY), "late_aux").otherwise("drop"))
     s = x.risk_scores.withColumn("y", F.col("y3")).withColumn("set", st)
     m = metrics.masked_auc(s, {n: F.expr(c) for n, c in _M13.items()}, ["repeat"])
-    out = metrics.repeat_summary(m, ["subset"], ["auc"])
-    return r6(out.select("subset", F.col("auc_mean").alias("mean"), F.col("auc_sd").alias("sd")), "mean", "sd")
+    counts = m.groupBy("subset").agg(F.max("n_pos").cast("long").alias("positive_rows"), F.max(F.col("n_pos") + F.col("n_neg")).cast("long").alias("n_rows"))
+    out = metrics.repeat_summary(m, ["subset"], ["auc"]).join(counts, "subset")
+    return r6(out.select("subset", F.col("auc_mean").alias("mean"), F.col("auc_sd").alias("sd"), "positive_rows", "n_rows"), "mean", "sd")
 
 
 _THR = """(SELECT arm, avg(q) AS threshold FROM (SELECT repeat, arm, quantile_cont(probability, 0.95) AS q FROM f_scores WHERE y = 0 GROUP BY ALL) GROUP BY arm)"""
@@ -254,7 +315,9 @@ def met_14(x):
 SELECT repeat, arm, 'alert_rate' AS metric, {sr6('avg(CAST(hit AS INTEGER))', 'value')} FROM s WHERE y = 0 GROUP BY repeat, arm UNION ALL
 SELECT repeat, arm, 'detected_all', {sr6('avg(h)', 'value')} FROM (SELECT repeat, arm, stay, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY repeat, arm UNION ALL
 SELECT repeat, arm, 'detected_' || g, {sr6('avg(h)', 'value')} FROM (SELECT repeat, arm, stay, min(CASE WHEN pod < 0 THEN 'early' ELSE 'late' END) AS g, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY ALL) GROUP BY repeat, arm, g UNION ALL
-SELECT repeat, arm, 'logit_mean_difference', {sr6('ln(avg(y) / (1 - avg(y))) - ln(avg(least(greatest(probability, 1e-6), 1 - 1e-6)) / (1 - avg(least(greatest(probability, 1e-6), 1 - 1e-6))))', 'value')} FROM s GROUP BY repeat, arm""",
+SELECT repeat, arm, 'logit_mean_difference', {sr6('ln(avg(y) / (1 - avg(y))) - ln(avg(least(greatest(probability, 1e-6), 1 - 1e-6)) / (1 - avg(least(greatest(probability, 1e-6), 1 - 1e-6))))', 'value')} FROM s GROUP BY repeat, arm UNION ALL
+SELECT repeat, arm, 'calibration_slope', {sr6('b', 'value')} FROM {_newton_sql(False, 12)} UNION ALL
+SELECT repeat, arm, 'calibration_intercept', {sr6('a', 'value')} FROM {_newton_sql(True, 12)}""",
 )
 def met_15(x):
     thr = metrics.alert_threshold(x.scores)
@@ -263,32 +326,61 @@ def met_15(x):
     det = metrics.detection(s, thr, ["repeat", "arm"], group="phase")
     rate = metrics.negative_alert_rate(s, thr, ["repeat", "arm"])
     lmd = metrics.logit_mean_difference(s, ["repeat", "arm"])
+    slope, intercept = metrics.calibration_slope(x.scores, ["repeat", "arm"]), metrics.calibration_intercept(x.scores, ["repeat", "arm"])
     return r6(aggregates.union_all([
+        slope.select("repeat", "arm", F.lit("calibration_slope").alias("metric"), F.col("slope").alias("value")),
+        intercept.select("repeat", "arm", F.lit("calibration_intercept").alias("metric"), F.col("intercept").alias("value")),
         rate.select("repeat", "arm", F.lit("alert_rate").alias("metric"), F.col("alert_rate").alias("value")),
         det.select("repeat", "arm", F.concat(F.lit("detected_"), "segment").alias("metric"), F.col("detected").alias("value")),
         lmd.select("repeat", "arm", F.lit("logit_mean_difference").alias("metric"), F.col("logit_mean_difference").alias("value"))]), "value")
 
 
-def _newton_sql(shift_only: bool, steps: int) -> str:
-    """The fits by a fixed number of Newton steps over (repeat, arm, z) counts."""
-    out = ["""g AS (SELECT repeat, arm, z, count(*) AS n, sum(y) AS k FROM (SELECT repeat, arm, y, ln(c / (1 - c)) AS z FROM (
- SELECT repeat, arm, y, least(greatest(probability, 1e-6), 1 - 1e-6) AS c FROM f_scores)) GROUP BY ALL)""",
-           "s0 AS (SELECT repeat, arm, " + ("0e0 AS a, 1e0 AS b" if shift_only else "ln(sum(k) / (sum(n) - sum(k))) AS a, 0e0 AS b") + " FROM g GROUP BY repeat, arm)"]
-    for i in range(steps):
-        p = f"(SELECT g.*, a, b, 1 / (1 + exp(-(a + b * z))) AS p FROM g JOIN s{i} USING (repeat, arm))"
-        m = f"(SELECT repeat, arm, any_value(a) AS a, any_value(b) AS b, sum(k - n * p) AS g0, sum((k - n * p) * z) AS g1, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * z) AS h1, sum(n * p * (1 - p) * z * z) AS h2 FROM {p} GROUP BY repeat, arm)"
-        new = "a + g0 / h0 AS a, b" if shift_only else "a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b"
-        out.append(f"s{i + 1} AS MATERIALIZED (SELECT repeat, arm, {new} FROM {m})")
-    slope = "" if shift_only else f", {sr6('b', 'slope')}"
-    return "WITH " + ", ".join(out) + f" SELECT repeat, arm, 'converged' AS status, {sr6('a', 'intercept')}{slope} FROM s{steps}"
+_LOCKED = "(SELECT *, y3 AS y FROM f_report WHERE repeat = 1)"
 
 
-@query("met_16", _newton_sql(False, 12))
+@query(
+    "met_15_locked",
+    f"""WITH thr AS (SELECT avg(q) AS t FROM (SELECT repeat, quantile_cont(probability, 0.95) AS q FROM f_risk_scores WHERE y3 = 0 GROUP BY repeat)),
+ s AS (SELECT *, probability >= t AS hit FROM {_LOCKED}, thr WHERE arm = 'model'), ci AS ({_auc_report_sql(_LOCKED, 'f_locked_mult')}),
+ det AS (SELECT entity, min(grp) AS g, max(CAST(hit AS INTEGER)) AS h FROM s WHERE y = 1 GROUP BY entity)
+SELECT metric, {sr6('value', 'value')}, {sr6('ci_lo', 'ci_lo')}, {sr6('ci_hi', 'ci_hi')}, valid_draws FROM (
+ SELECT 'auc' AS metric, auc AS value, ci_lo, ci_hi, valid_draws FROM ci UNION ALL SELECT 'delta_auc', delta, delta_lo, delta_hi, valid_draws FROM ci UNION ALL
+ SELECT metric, value, NULL, NULL, NULL FROM (SELECT 'threshold' AS metric, t AS value FROM thr UNION ALL SELECT 'alert_rate', avg(CAST(hit AS INTEGER)) FROM s WHERE y = 0 UNION ALL
+  SELECT 'detected_all', avg(h) FROM det UNION ALL SELECT 'detected_' || g, avg(h) FROM det GROUP BY g UNION ALL
+  SELECT 'ap', ap FROM ({metrics_sql("(SELECT *, 1 AS one FROM s)", 'one')}) UNION ALL
+  SELECT 'calibration_slope', b FROM {_newton_sql(False, 12, 's', 'arm')} UNION ALL SELECT 'calibration_intercept', a FROM {_newton_sql(True, 12, 's', 'arm')} UNION ALL
+  SELECT 'logit_mean_difference', ln(avg(y) / (1 - avg(y))) - ln(avg(least(greatest(probability, 1e-6), 1 - 1e-6)) / (1 - avg(least(greatest(probability, 1e-6), 1 - 1e-6)))) FROM s UNION ALL
+  SELECT 'auc_' || subset, auc FROM ({metrics_sql("(SELECT s.*, u.subset FROM s, (SELECT unnest(['pre', 'pod0_3', 'pod4plus']) AS subset) u WHERE CASE subset WHEN 'pre' THEN rel < 0 WHEN 'pod0_3' THEN rel BETWEEN 0 AND 3 ELSE rel >= 4 END)", 'subset')})))""",
+)
+def met_15_locked(x):
+    """The whole report of one final model at a threshold that was fixed before: repeat 1 stands for the locked set."""
+    thr = metrics.alert_threshold(x.risk_scores.withColumns({"y": F.col("y3"), "arm": F.lit("model")}))
+    both = x.report_scores.where("repeat = 1").withColumn("y", F.col("y3"))
+    s = both.where("arm = 'model'")
+    det = metrics.detection(s, thr, ["arm"], group="grp", entity="entity")
+    masks = {n: F.expr(c) for n, c in _MASKS.items() if n in ("pre", "pod0_3", "pod4plus")}
+    ci = metrics.auc_report(both, x.report_weights(LOCKED_DRAWS), draws=LOCKED_DRAWS, entity="entity")
+    one = lambda df, metric, value: df.select(metric.alias("metric"), F.col(value).alias("value"))
+    name = F.lit
+    plain = aggregates.union_all([
+        one(thr, name("threshold"), "threshold"), one(metrics.negative_alert_rate(s, thr, ["arm"]), name("alert_rate"), "alert_rate"),
+        one(det, F.concat(F.lit("detected_"), "segment"), "detected"), one(metrics.rank_metrics(s, ["arm"]), name("ap"), "ap"),
+        one(metrics.calibration_slope(s, ["arm"]), name("calibration_slope"), "slope"), one(metrics.calibration_intercept(s, ["arm"]), name("calibration_intercept"), "intercept"),
+        one(metrics.logit_mean_difference(s, ["arm"]), name("logit_mean_difference"), "logit_mean_difference"),
+        one(metrics.masked_auc(s, masks, ["arm"]), F.concat(F.lit("auc_"), "subset"), "auc")])
+    none = F.lit(None).cast("double")
+    plain = plain.select("*", none.alias("ci_lo"), none.alias("ci_hi"), F.lit(None).cast("long").alias("valid_draws"))
+    auc = ci.select(F.lit("auc").alias("metric"), F.col("auc").alias("value"), "ci_lo", "ci_hi", "valid_draws")
+    delta = ci.select(F.lit("delta_auc").alias("metric"), F.col("delta").alias("value"), F.col("delta_lo").alias("ci_lo"), F.col("delta_hi").alias("ci_hi"), "valid_draws")
+    return r6(aggregates.union_all([plain, auc, delta]), "value", "ci_lo", "ci_hi")
+
+
+@query("met_16", f"SELECT repeat, arm, 'converged' AS status, {sr6('a', 'intercept')}, {sr6('b', 'slope')} FROM {_newton_sql(False, 12)}")
 def met_16(x):
     return r6(metrics.calibration_slope(x.scores, ["repeat", "arm"]).drop("steps"), "intercept", "slope")
 
 
-@query("met_17", _newton_sql(True, 12))
+@query("met_17", f"SELECT repeat, arm, 'converged' AS status, {sr6('a', 'intercept')} FROM {_newton_sql(True, 12)}")
 def met_17(x):
     return r6(metrics.calibration_intercept(x.scores, ["repeat", "arm"]).drop("steps"), "intercept")
 

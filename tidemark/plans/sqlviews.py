@@ -85,6 +85,12 @@ FROM f_targets t, (SELECT unnest(['quantity', 'discount', 'tax', 'price']) AS co
     "f_layout": """
 SELECT * FROM (VALUES ('quantity', 'quantity', 0, 'value'), ('discount', 'rate', 0, 'value'), ('tax', 'rate', 1, 'value'),
   ('price', 'price', 0, 'observation')) v("column", feature, lag, kind)""",
+    "f_report": f"""
+SELECT s.* EXCLUDE (probability), s.entity AS stay, a.arm, CASE a.arm WHEN 'model' THEN probability ELSE {h32("concat_ws('|', 'ref', repeat, entity, day)")} / 4294967296e0 END AS probability
+FROM f_risk_scores s, (SELECT unnest(['model', 'reference']) AS arm) a""",
+    "f_report_mult": "",
+    "f_locked_mult": "",
+    "f_mult_some": "",
     "f_risk_scores": f"""
 SELECT k.*, CAST(r.r AS INTEGER) AS repeat, CASE WHEN event IS NULL THEN 0 ELSE 1 END AS "case",
        CASE WHEN event IS NULL THEN 'none' WHEN event < idx THEN 'c' WHEN event - idx <= 3 THEN 'b' ELSE 'a' END AS grp,
@@ -119,4 +125,9 @@ JOIN (SELECT stay, "case" AS case2, row_number() OVER (PARTITION BY "case" ORDER
 
 
 QUERY_DRAWS = contract.QUERY_DRAWS
+EVERY = max(1, QUERY_DRAWS // 10)  # the draws of full runs that DuckDB repeats
+_RISK_ENTITIES = '(SELECT DISTINCT entity AS stay, 0 AS "case" FROM f_risk_scores)'
 SQL_VIEWS["f_mult"] = mult_sql(QUERY_DRAWS)
+SQL_VIEWS["f_mult_some"] = mult_sql(QUERY_DRAWS, every=EVERY)
+SQL_VIEWS["f_report_mult"] = mult_sql(contract.REPORT_DRAWS, _RISK_ENTITIES, "plain")
+SQL_VIEWS["f_locked_mult"] = mult_sql(contract.LOCKED_DRAWS, _RISK_ENTITIES, "plain")
