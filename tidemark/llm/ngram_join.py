@@ -30,7 +30,7 @@ LONG_SET, LONG_BITS = 500, 16_384  # larger sets are first compared by masks of
 FREQUENT, MOST_FREQUENT = 64, 100_000  # shingles of so many documents go last in the order; the order's table is bounded, not the work
 ROUNDS, HUBS = 6, 4  # further star rounds at most, and the hubs of a list in each
 DENSE, SAMPLE = 4, 32  # a further round is run while the pairs left, estimated from one class in SAMPLE, are over DENSE a class
-SMALL_IDS = 500_000  # up to so many ids or shingles (some 20 MB) are sent to all executors to pick rows; beyond, Spark joins
+SMALL_IDS = 500_000  # up to so many ids (some 20 MB) are sent to all executors to pick texts, which then need no shuffle; beyond, Spark joins
 
 
 def prefix_length(n, num: int, den: int):
@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     def sets(side: str, mark: str, name: str) -> DataFrame:
         ids = written(keyed.select(F.col(side).alias("id")).distinct(), "ngram")
         made = within(docs, "doc_id", ids).select("doc_id", "text").mapInArrow(_whole(size), "id long, h1 long, grams array<long>")
-        return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.col("grams").alias(name))  # rows may repeat an id with another text: h1 picks
+        return made.select(F.col("id").alias(side), F.col("h1").alias(mark), F.col("grams").alias(name))  # an id may have several texts: h1 picks
 
     both = keyed.join(sets("da", "ha", "x"), ["da", "ha"]).join(sets("db", "hb", "y"), ["db", "hb"])
     same = F.size(F.array_intersect("x", "y")).cast("long")
@@ -198,15 +198,18 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     masks = [f"m{i}" for i in range(WORDS)]
     schema = "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in masks)
     rows = written(docs.mapInArrow(_features(size, num, den, frequent), schema), "ngram")
+    named, ids = rows.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if named != ids:  # repeated rows: sets are made from each text of an id once
+        docs = written(docs.where("doc_id is not null").distinct(), "ngram")
     classes, groups, wide, repeated = _classes(rows)
 
     # lists of two groups or more; the first shingle of a group of several classes stays in any case, so that its own pairs meet there
-    posted = within(wide, "doc_id", groups.select("g")).select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "gram"))
+    posted = wide.select(F.col("doc_id").alias("g"), "prefix").join(groups.select("g"), "g", "left_semi").select("g", F.posexplode("prefix").alias("place", "gram"))
     several = groups.where("members > 1").select("g")
-    firsts = within(posted.where("place = 0"), "g", several).select("gram")
+    firsts = posted.where("place = 0").join(several, "g", "left_semi").select("gram")
     shared = posted.groupBy("gram").agg(F.count("*").alias("groups")).where("groups > 1").select("gram")
     lists = written(shared.unionByName(firsts).distinct(), "ngram")
-    posted = written(within(posted, "gram", lists), "ngram")
+    posted = written(posted.join(lists, "gram", "left_semi"), "ngram")
     of = classes.join(groups.select("n", "p1", "p2", "g", "members"), ["n", "p1", "p2"]).select("g", "id", "members")
     of = written(of.join(wide.select(F.col("doc_id").alias("id"), "n", *masks), "id"), "ngram")
 
@@ -327,7 +330,6 @@ def _group_pairs(parts: DataFrame, masks: list[str], num: int, den: int, *, one_
     first = parts
     if one_in > 1:
         first = parts.where(F.pmod(F.xxhash64("g"), F.lit(one_in)) == 0)
-        first = F.broadcast(first) if first.count() <= SMALL_IDS // 16 else first
     pairs = first.alias("x").join(parts.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & once & fits)
     return pairs.select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb")).distinct()
 
