@@ -181,14 +181,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = CATEGORIES, *, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> list[Link]:
     """Fit the chain on at most ``rows`` labelled documents and ``max_bytes`` of their text: those of least hash of doc_id.
 
-    Rows without doc_id or without any label are not used; repeated ids are taken once. Without labelled documents every
+    Rows without doc_id or without any label are not used; of repeated ids the smallest text is taken. Without labelled documents every
     probability is the smoothed share of nothing, 0.5; ``rejected`` then rejects nothing.
     """
     named = [F.max(F.when(F.col(c.column).isNotNull(), (F.col(c.column) == c.value).cast("double"))).alias(f"y{i}") for i, c in enumerate(categories)]
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*named).where(F.coalesce(*[f"y{i}" for i in range(len(categories))]).isNotNull())
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``rows`` rows of a few numbers
-    texts = texts.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    values = [f"y{i}" for i in range(len(categories))]
+    texts = texts.groupBy("doc_id", *values).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))  # repeated ids, before anything is written or sent
+    texts = texts.withColumn("size", F.octet_length("text").cast("long"))
     schema = "doc_id long, " + ", ".join(f"y{i} double" for i in range(len(categories))) + ", size long, words array<long>"
     found = texts.select(F.col("doc_id").cast("long"), *[f"y{i}" for i in range(len(categories))], "size", "text").where(F.col("size") <= max_bytes).mapInArrow(_features, schema)
     found = written(found, "toxicity")
@@ -212,22 +214,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] =
 def score(df: DataFrame, chain: list[Link], *, prefix: str = "p_") -> DataFrame:
     """``df`` with a probability column per category (``p_toxic``); null text is empty, repeated rows score alike.
 
-    Columns with the new names are replaced, others pass through. One narrow Arrow pass over whole texts; the chain, at most
-    ``MOST_WORDS`` words a category, goes to the executors once.
+    Columns with the new names are replaced, others stay in the JVM: one Arrow function takes the whole text and returns the
+    probabilities. The chain, at most ``MOST_WORDS`` words a category, goes to the executors once.
     """
     added = [prefix + link.name for link in chain]
-    kept = [c for c in df.columns if c not in added]
-    plain = df.select(*[F.col(f"`{c}`") for c in kept])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in added]
     sent = df.sparkSession.sparkContext.broadcast(chain)
+    names = [f"p{i}" for i in range(len(added))]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.zeros((0, len(added)))]
-            for first, end, data, offsets in slices(lowered(batch)):
-                word, text = text_words(data, offsets)
-                parts.append(predict(sent.value, word, text, end - first))
-            p = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i]) for i in range(len(added)))], names=[*kept, *added])
+    def work(texts: pa.Array) -> pa.Array:
+        column = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
+        parts = [np.zeros((0, len(names)))]
+        for first, end, data, offsets in slices(column):
+            word, text = text_words(data, offsets)
+            parts.append(predict(sent.value, word, text, end - first))
+        p = np.concatenate(parts)
+        return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(names))], names=names)
 
-    return plain.mapInArrow(work, fields + "".join(f", `{c}` double" for c in added))
+    found = F.arrow_udf(work, "struct<" + ", ".join(f"{n}: double" for n in names) + ">")
+    scored = df.select(*kept, found(F.col("text")).alias("__p"))
+    return scored.select(*kept, *[F.col(f"__p.{n}").alias(a) for n, a in zip(names, added, strict=True)])
