@@ -133,7 +133,9 @@ def substring_dedup(df: DataFrame, *, least_run: int = LEAST_RUN) -> DataFrame:
     Of equal chunks the document of smallest doc_id keeps its first one. Rows with equal doc_id count as one document: none of
     them gives way to another, but chunks that repeat within a row go. Rows with null doc_id are neither compared nor changed. Null text stays
     null (0 chunks). A text that repeats wholly becomes empty; no row is dropped. Other columns pass through; columns with
-    the new names are replaced.
+    the new names are replaced. What an id loses is a set of chunks, so rows that repeat do not lengthen it; rows of one id
+    with different texts each carry the set of all of them. The join meets all 128 bits of a digest; inside a document its first
+    64 are looked up.
 
     Only (digest, doc_id) rows are compared; a passage that many documents share is summed before the shuffle, and its
     join is split where hot. Texts are shuffled once, to meet what goes from them.
@@ -142,7 +144,7 @@ def substring_dedup(df: DataFrame, *, least_run: int = LEAST_RUN) -> DataFrame:
     plain = df.drop(*added)
     chunks = plain.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, "h1 long, h2 long, doc_id long")
     firsts = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h1", "h2", "first")
-    late = chunks.join(firsts, ["h1", "h2"]).where("doc_id <> first").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h1").alias("__gone"))
+    late = chunks.join(firsts, ["h1", "h2"]).where("doc_id <> first").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("h1").alias("__gone"))
     joined = plain.join(late, plain["doc_id"].cast("long") == late["__id"], "left").drop("__id")
     kept = plain.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
