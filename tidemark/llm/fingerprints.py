@@ -130,6 +130,7 @@ def _runs(df: DataFrame, runs: int) -> DataFrame:
     )
 
 
+RANGE_BYTES = 32 << 20  # of text in a range of ids, which one task handles
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -140,10 +141,10 @@ def edited_pairs(df: DataFrame, runs: int | None = None) -> DataFrame:
     document; after the smallest id comes the largest. Rows with equal ids are ordered by text; null ids come last. Null
     text is empty. A single document is followed by itself. Extra columns are left out.
     """
-    spark = df.sparkSession
-    runs = runs or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _runs(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), runs)
-    rows = rows.repartition(runs, "run").sortWithinPartitions("run", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    named = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    runs = runs or (named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES + 1
+    rows = _runs(named, runs)
+    rows = rows.repartitionById(runs + 1, "run").sortWithinPartitions("run", "ghost", F.col("doc_id").desc_nulls_last(), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []  # at most one slice of rows, and the one that waits for its next
