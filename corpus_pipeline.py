@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group (5-word shingles, Jaccard of 0.8 or more); equal rows stay once.
+    """The document of smallest doc_id of each group (5-word shingles, Jaccard of 0.8 or more); rows equal in all columns stay once.
 
     Documents without words, and rows with null doc_id, are no one's duplicates.
     """
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
     named = within(docs, "doc_id", keep)
     if named.count() != keep.count():  # repeated rows
-        named = named.dropDuplicates(["doc_id", "text"])
+        named = named.distinct()
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -47,12 +47,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target mixture, one row per epoch."""
+    """Documents in the target mixture, one row per epoch; null languages and sources are leaves of their own, null and empty texts have no tokens, ties go by the row's hash."""
     return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What trainers read: token ids of each row."""
+    """What trainers read: token ids of each row; null and empty texts have none, repeated rows are encoded alike."""
     encoded = encode_decode(docs.select("doc_id", "lang", "source", "text"), queries.tokenizer("word_bpe_49k.json"))
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
