@@ -47,7 +47,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target mixture, one row per epoch; null languages and sources are leaves of their own, null and empty texts have no tokens, ties go by the row's hash."""
+    """Documents in the target mixture, one row per epoch; nulls, empty texts, repeated ids and ties as ``mix`` states."""
     return mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

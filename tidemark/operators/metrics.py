@@ -82,11 +82,7 @@ def phase_metrics(
     every scope is a combination of them, so rows are neither copied nor sorted per scope.
     """
     group = list(group)
-    w = F.col(weight) if weight else F.lit(1)
-    post, pos = F.col("pod") >= 0, F.col(y) == 1
-    parts = {"p0": pos & ~post, "p1": pos & post, "n0": ~pos & ~post, "n1": ~pos & post}
-    g = df.groupBy(*group, score).agg(*[F.sum(F.when(c, w).otherwise(0)).alias(n) for n, c in parts.items()])
-    cum = running(g, group, [score], block=value_block(score), sums={f"c_{n}": n for n in parts}, totals=True)
+    cum = _phase_sums(df, group, F.col(weight) if weight else F.lit(1), score, y)
     s, zero = F.col(score), F.lit(0)
     members = {
         "total": (("p0", "p1"), ("n0", "n1")), "post": (("p1",), ("n1",)), "pre": (("p0",), ("n0",)), "cross": (("p0", "p1"), ("n0",)),
@@ -114,35 +110,38 @@ def phase_metrics(
     return wide.select(*group, F.explode(rows).alias("r")).select(*group, "r.*")
 
 
-def auc_decomposition(df: DataFrame, group: Sequence[str], *, four_cells: bool, score: str = "probability") -> DataFrame:
+def _phase_sums(df: DataFrame, group: list[str], weight: Column, score: str, y: str) -> DataFrame:
+    """Positives and negatives before (p0, n0) and after (p1, n1) the index per score, with running and total sums of all four."""
+    post, pos = F.col("pod") >= 0, F.col(y) == 1
+    parts = {"p0": pos & ~post, "p1": pos & post, "n0": ~pos & ~post, "n1": ~pos & post}
+    g = df.groupBy(*group, score).agg(*[F.sum(F.when(c, weight).otherwise(0)).alias(n) for n, c in parts.items()])
+    return running(g, group, [score], block=value_block(score), sums={f"c_{n}": n for n in parts}, totals=True)
+
+
+def auc_decomposition(df: DataFrame, group: Sequence[str], *, four_cells: bool, score: str = "probability", y: str = "y") -> DataFrame:
     """Total AUC split into (positive phase x negative phase) cells: weight, auc, contribution, total.
 
-    The two-cell form pools the positives. A cell without mass contributes 0 even when its AUC is undefined.
+    The two-cell form pools the positives. A cell without mass contributes 0 even when its AUC is undefined. All cells come
+    from four running sums over one score order.
     """
     group = list(group)
-    phased = df.withColumn("post", (F.col("pod") >= 0).cast("int"))
-    g = score_groups(phased, [*group, "post"], score=score)
-    post = F.col("post") == 1
-    names = ("pre", "post")
-    cells = [(a, b) for a in (names if four_cells else ("all",)) for b in names]
-    phase = F.when(post, "post").otherwise("pre")
-    rows = F.array(*[
-        F.struct(
-            F.lit(a).alias("positive_phase"), F.lit(b).alias("negative_phase"),
-            (F.col("pos") if a == "all" else F.when(phase == a, F.col("pos")).otherwise(0)).alias("pos"),
-            F.when(phase == b, F.col("neg")).otherwise(0).alias("neg"))
-        for a, b in cells
-    ])
-    flat = g.select(*group, score, F.explode(rows).alias("r")).select(*group, score, "r.*")
-    key = [*group, "positive_phase", "negative_phase"]
-    merged = flat.groupBy(*key, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    m = metrics_from_groups(merged, key, score=score)
-    total = metrics_from_groups(g.groupBy(*group, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), group, score=score)
-    t = total.select(*group, F.col("n_pos").alias("__p"), F.col("n_neg").alias("__n"), F.col("auc").alias("total_auc"))
-    j = m.join(t, group)
-    mass = F.col("n_pos") * F.col("n_neg") / F.when(F.col("__p") * F.col("__n") > 0, F.col("__p") * F.col("__n"))
-    return j.select(*key, mass.alias("weight"), "auc", F.when(mass == 0, F.lit(0.0)).otherwise(mass * F.col("auc")).alias("contribution"),
-                    "total_auc")
+    cum = _phase_sums(df, group, F.lit(1), score, y)
+    wide = cum.groupBy(*group).agg(
+        *[F.max(f"c_{n}_total").alias(n) for n in ("p0", "p1", "n0", "n1")],
+        *[F.sum(F.col(p) * (F.col(f"c_{n}") - F.col(n) / 2)).alias(f"u_{p}{n}") for p in ("p0", "p1") for n in ("n0", "n1")])
+    phases = {"pre": ("p0",), "post": ("p1",)} if four_cells else {"all": ("p0", "p1")}
+    add = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    pairs = lambda ps, ns: add([f"u_{p}{n}" for p in ps for n in ns])
+    both = add(("p0", "p1")) * add(("n0", "n1"))
+    cells = [
+        F.struct(F.lit(a).alias("positive_phase"), F.lit(b).alias("negative_phase"), (add(ps) * F.col(n)).alias("mass"), pairs(ps, (n,)).alias("u"))
+        for a, ps in phases.items() for b, n in (("pre", "n0"), ("post", "n1"))
+    ]
+    flat = wide.select(*group, both.alias("__both"), pairs(("p0", "p1"), ("n0", "n1")).alias("__u"), F.explode(F.array(*cells)).alias("r")).select(*group, "__both", "__u", "r.*")
+    known = F.when(F.col("__both") > 0, F.col("__both"))
+    contribution = F.when(known.isNotNull() & (F.col("mass") == 0), F.lit(0.0)).otherwise(F.col("u") / known)
+    return flat.select(*group, "positive_phase", "negative_phase", (F.col("mass") / known).alias("weight"), F.when(F.col("mass") > 0, F.col("u") / F.col("mass")).alias("auc"),
+                       contribution.alias("contribution"), (F.col("__u") / known).alias("total_auc"))
 
 
 # --- draws and intervals ---

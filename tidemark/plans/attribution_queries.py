@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import expit, hash32
 from tidemark.operators import aggregates, attribution, cohort, encode, models
 from tidemark.plans.catalog import query
-from tidemark.plans.common import r6, sr6
+from tidemark.plans.common import config_rows, r6, sr6
 from tidemark.plans.metric_queries import code_long
 from tidemark.plans.metric_sql import metrics_sql
 from tidemark.plans.sqlviews import QUERY_DRAWS as D
@@ -221,23 +221,28 @@ def int_11(x):
 _COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
+# Bounds of the fits: most rounds, and rounds without a better AUC after which a fit stops.
+_ROUNDS, _PATIENCE = 64, 5
+_POST_DAY = 3  # primary rows: days from here on
+
+
 def model_rows(x):
-    return x.lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), F.col("l_orderkey").alias("stay"), *_COLS,
+    return x.lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), F.col("l_orderkey").alias("stay"), F.col("l_linenumber").cast("int").alias("day"), *_COLS,
                           ((F.col("l_quantity") > 30) != (F.col("l_discount") > 0.07)).cast("int").alias("y"),
                           (hash32(F.lit("inner"), "l_orderkey") % 4).cast("int").alias("fold"))
 
 
 @query("mod_01")
 def mod_01(x):
-    """Validation AUC after every boosting round of one inner fit."""
+    """One inner fit: AUC of the primary validation rows after every round, and the round at which it stops."""
     rows = model_rows(x)
-    model = models.fit_trees(rows.where("fold <> 0 and fold <> 3"), _COLS, rounds=5)
-    return models.best_round(model, rows.where("fold = 0"), _COLS)
+    stop, history, _ = models.stopped_fit(rows.where("fold not in (0, 3)"), rows.where("fold = 0"), _COLS, primary=F.col("day") >= _POST_DAY, patience=_PATIENCE, max_rounds=_ROUNDS)
+    return config_rows(x.spark, ["round", "auc", "chosen"], [(r, a, int(r == stop)) for r, a in history])
 
 
 def _program(x):
     rows = model_rows(x)
-    return rows, *models.tree_program(rows.where("fold < 3"), rows.where("fold = 3"), _COLS, fold="fold", keep=["row_key", "stay", "y"], rounds=3, depth=3)
+    return rows, *models.tree_program(rows.where("fold < 3"), rows.where("fold = 3"), _COLS, fold="fold", keep=["row_key", "stay", "y"], rounds=_ROUNDS, patience=_PATIENCE, primary=F.col("day") >= _POST_DAY)
 
 
 @query("mod_02")
@@ -254,7 +259,7 @@ def mod_02(x):
 
 @query("mod_03")
 def mod_03(x):
-    model = models.fit_trees(model_rows(x).where("fold < 3"), _COLS, rounds=3)
+    model = models.fit_trees(model_rows(x).where("fold < 3"), _COLS, rounds=20)
     return models.gain_ranking(model, _COLS, x.spark)
 
 
@@ -271,21 +276,41 @@ def mod_04(x):
     full = encode.apply_rates(test.select(F.col("stay").alias("entity")).distinct(), codes, rates, labels, entity="entity", single=["type"], multi=["brand"])
     cols = [*_COLS, "type", "brand_mean", "brand_max", "brand_count"]
     join = lambda r, e: r.join(e.withColumnRenamed("entity", "stay"), "stay")
-    p, info = models.tree_program(join(pool, own), join(test, full), cols, fold="fold", keep=["row_key", "y"], rounds=3)
+    p, info = models.tree_program(join(pool, own), join(test, full), cols, fold="fold", keep=["row_key", "y"], rounds=_ROUNDS, patience=_PATIENCE, primary=F.col("day") >= _POST_DAY)
     m = metrics.rank_metrics(p.withColumn("g", F.lit("encoded")), ["g"])
     return m.select(F.col("g").alias("arm"), "n_pos", "n_neg", "auc", F.lit(info["rounds"]).alias("rounds"))
 
 
 @query("mod_05")
 def mod_05(x):
-    """Fixed feature-slice arms over the same rows."""
+    """Fixed feature-slice arms over the same rows: windows of one and of seven days, inner stopping, refit."""
     from tidemark.operators import metrics
 
     rows, out = model_rows(x), []
-    for arm in models.slice_arms(["l_tax"], {"quantity": ["l_quantity"], "price": ["l_discount", "l_extendedprice"]}, windows=(1,)):
-        model = models.fit_trees(rows.where("fold < 3"), arm["columns"], rounds=3)
-        out.append(models.apply_model(model, rows.where("fold = 3"), arm["columns"], ["y"]).withColumn("arm", F.lit(arm["arm"])))
-    return metrics.rank_metrics(aggregates.union_all(out), ["arm"])
+    keys = ["row_key", "day", "y", "fold"]
+    for arm in models.slice_arms(["l_tax"], {"quantity": ["l_quantity"], "price": ["l_discount", "l_extendedprice"]}):
+        framed = models.slice_frame(rows, arm, keys=["stay", *keys], entity="stay", day="day")
+        p, info = models.tree_program(framed.where("fold < 3"), framed.where("fold = 3"), arm["columns"], fold="fold", keep=["y"], rounds=16, patience=4, primary=F.col("day") >= _POST_DAY)
+        out.append(p.select("y", "probability", F.lit(arm["arm"]).alias("arm"), F.lit(len(arm["columns"])).alias("columns"), F.lit(info["rounds"]).alias("rounds")))
+    return metrics.rank_metrics(aggregates.union_all(out), ["arm", "columns", "rounds"])
+
+
+_FITS = """SELECT p_type AS arm, CAST(l_linenumber % 3 AS INTEGER) AS fold, CAST(l_suppkey % 3 AS INTEGER) AS init,
+  CASE WHEN count(*) FILTER (p_size = 50 AND l_quantity = 50) > 40 THEN 'failed' ELSE 'completed' END AS status, CAST(min(l_partkey) % 60 + 1 AS BIGINT) AS best_round,
+  avg(CASE WHEN p_type = 'PROMO' THEN NULL ELSE l_discount END) AS auc FROM f_lines JOIN part ON p_partkey = l_partkey GROUP BY ALL"""
+
+
+@query("mod_06_rounds", f"""WITH fits AS ({_FITS}), pf AS (SELECT arm, fold, avg(auc) AS auc, count(DISTINCT init) = 3 AND count(*) = 3 AND count(*) FILTER (status = 'completed' AND best_round >= 1) = 3 AND count(auc) = 3 AS ok FROM fits GROUP BY ALL),
+ pa AS (SELECT arm, avg(auc) AS auc, bool_and(ok) AND count(*) = 3 AS ok FROM pf GROUP BY arm)
+SELECT arm, CAST(ok AS INTEGER) AS complete, CASE WHEN ok THEN (SELECT CAST(floor(median(best_round)) AS BIGINT) FROM fits f WHERE f.arm = pa.arm) END AS rounds, CASE WHEN ok THEN round(auc, 6) + 0e0 END AS mean_auc FROM pa""")
+def mod_06_rounds(x):
+    """Median of the stopping rounds over folds and initialisations; an arm with a failed or unscored fit has none."""
+    p = x.table("part").select("p_partkey", F.col("p_type").alias("arm"), "p_size")
+    lines = x.lines.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    fits = lines.groupBy("arm", (F.col("l_linenumber") % 3).alias("fold"), (F.col("l_suppkey") % 3).alias("init")).agg(
+        F.when(F.count_if((F.col("p_size") == 50) & (F.col("l_quantity") == 50)) > 40, "failed").otherwise("completed").alias("status"),
+        (F.min("l_partkey") % 60 + 1).cast("long").alias("best_round"), F.avg(F.when(F.col("arm") != "PROMO", F.col("l_discount"))).alias("auc"))
+    return r6(models.stopping_summary(fits), "mean_auc")
 
 
 @query("mod_06", f"SELECT repeat, row_key, CASE WHEN count(p) = count(*) THEN {sr6('avg(p)', 'x').rsplit(' AS ', 1)[0]} END AS probability, count(*) AS members FROM (SELECT repeat, row_key, CASE WHEN arm = 'noise' AND pod = 4 THEN NULL ELSE probability END AS p FROM f_scores) GROUP BY ALL")

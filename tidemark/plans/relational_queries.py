@@ -9,6 +9,7 @@ from tidemark.operators import aggregates, checks, cohort, intervals, metrics, p
 from tidemark.plans.catalog import query
 from tidemark.plans.common import r6, sr6
 from tidemark.plans.metric_sql import metrics_sql
+from tidemark.session import materialize
 
 K = ["entity", "day"]
 
@@ -455,19 +456,21 @@ def cau_15(x):
     return cohort.cohort_summary(cohort_grid(x))
 
 
-@query("cau_16", f"""WITH cards AS (SELECT DISTINCT p_brand AS card, p_type AS feature FROM part WHERE p_size > 48),
+@query("cau_16", f"""WITH cards AS (SELECT DISTINCT p_brand AS card, p_type AS feature FROM part),
  att AS (SELECT p_type AS feature, avg(p_retailprice) AS m FROM part WHERE p_type <> 'SMALL' GROUP BY 1), pm AS (SELECT p_type AS feature, stddev_pop(p_size) AS l FROM part WHERE p_type <> 'LARGE' GROUP BY 1),
  su AS (SELECT p_type AS feature, CAST(l_linenumber AS INTEGER) AS day, count(*) AS eligible_rows, count(*) FILTER (l_discount > 0.05) AS nonmissing FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber IN (1, 3, 7) AND p_type <> 'PROMO' GROUP BY ALL)
-SELECT card, feature, {sr6('m', 'mean_abs')}, {sr6('m / (SELECT sum(m) FROM att)', 'share')}, {sr6('l', 'auc_loss')}, day, eligible_rows, nonmissing FROM cards LEFT JOIN att USING (feature) LEFT JOIN pm USING (feature) LEFT JOIN su USING (feature)""")
+SELECT card, feature, CASE WHEN feature <> 'PROMO' THEN round(m, 6) + 0e0 END AS mean_abs, CASE WHEN feature <> 'PROMO' THEN round(m / (SELECT sum(m) FROM att), 6) + 0e0 END AS share,
+ CASE WHEN m IS NOT NULL THEN CAST(feature <> 'PROMO' AS INTEGER) END AS agrees, {sr6('l', 'auc_loss')}, day, eligible_rows, nonmissing FROM cards LEFT JOIN att USING (feature) LEFT JOIN pm USING (feature) LEFT JOIN su USING (feature)""")
 def cau_16(x):
     p = x.table("part").withColumnRenamed("p_type", "feature")
-    cards = p.where("p_size > 48").select(F.col("p_brand").alias("card"), "feature").distinct()
+    cards = p.select(F.col("p_brand").alias("card"), "feature").distinct()
     at = p.where("feature <> 'SMALL'").groupBy("feature").agg(F.avg("p_retailprice").alias("mean_abs"))
-    at = aggregates.normalised_share(at, [], "mean_abs")
+    at = materialize(aggregates.normalised_share(at, [], "mean_abs"))
+    told = at.withColumn("mean_abs", F.when(F.col("feature") == "PROMO", F.col("mean_abs") + 1).otherwise(F.col("mean_abs")))  # the other file, with one planted difference
     pm = p.where("feature <> 'LARGE'").groupBy("feature").agg(F.stddev_pop("p_size").alias("auc_loss"))
     li = x.table("lineitem").where(F.col("l_linenumber").isin(1, 3, 7)).join(p, F.col("l_partkey") == F.col("p_partkey")).where("feature <> 'PROMO'")
     su = li.groupBy("feature", F.col("l_linenumber").alias("day"), "l_returnflag").agg(F.count("*").alias("eligible_rows"), F.count_if(F.col("l_discount") > 0.05).alias("nonmissing")).drop("l_returnflag")
-    return r6(cohort.evidence_rollup(cards, at, pm, su), "mean_abs", "share", "auc_loss")
+    return r6(cohort.evidence_rollup(cards, at, pm, su, second=told), "mean_abs", "share", "auc_loss")
 
 
 @query("cau_17", f"""WITH {_GRID}, sm AS (SELECT site % 3 AS card, rel_day, grace, count(*) FILTER (exclusion IS NULL) AS entries, count(*) FILTER (arm_a = 1) AS a FROM ch GROUP BY ALL)

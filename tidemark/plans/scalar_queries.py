@@ -326,8 +326,8 @@ def src_07(x):
     return aggregates.union_all(parts)
 
 
-@query("src_08", "SELECT repeat, row_key, arm, probability FROM f_scores WHERE arm <> 'noise'")
+@query("src_08", "SELECT repeat, row_key, arm, probability FROM f_scores")
 def src_08(x):
     path = src.scratch_path(x.spark, "predictions")
-    src.write_predictions(x.scores.where("arm <> 'noise'"), path)
+    src.write_predictions(x.scores, path)
     return src.read_predictions(x.spark, path)
