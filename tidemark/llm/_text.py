@@ -39,6 +39,7 @@ def slices(column: pa.LargeStringArray, limit: int = SLICE_BYTES) -> Iterator[tu
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()  # idle workers keep nothing of the batches before
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -223,11 +223,12 @@ def score(df: DataFrame, chain: list[Link], *, prefix: str = "p_") -> DataFrame:
     names = [f"p{i}" for i in range(len(added))]
 
     def work(texts: pa.Array) -> pa.Array:
-        column = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
+        column = texts.cast(pa.large_string()).fill_null("")
         parts = [np.zeros((0, len(names)))]
-        for first, end, data, offsets in slices(column):
-            word, text = text_words(data, offsets)
-            parts.append(predict(sent.value, word, text, end - first))
+        for first, end, _, _ in slices(column):  # lower-cased a slice at a time
+            for _, n, data, offsets in slices(pc.utf8_lower(column.slice(first, end - first)), 1 << 40):
+                word, text = text_words(data, offsets)
+                parts.append(predict(sent.value, word, text, n))
         p = np.concatenate(parts)
         return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(len(names))], names=names)
 
