@@ -16,6 +16,7 @@ LANDMARKS = {
 # Resampling, inference and selection thresholds.
 BOOTSTRAP_DRAWS = 2000
 MIN_VALID_DRAWS = 1990
+TRAJECTORY_DRAWS, TRAJECTORY_VALID = 1000, 950
 REPORT_DRAWS, LOCKED_DRAWS = 400, 1000  # of the daily and landmark reports, and of the fixed-threshold report
 QUERY_DRAWS = BOOTSTRAP_DRAWS  # of the registered queries; scripts/verify.py --draws lowers it to compare them with DuckDB
 MIN_EFFECT = 0.01

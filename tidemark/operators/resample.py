@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,17 +62,8 @@ def _keys(key: tuple, names: Sequence[str], schema: pa.Schema, rows: int) -> lis
     return [pa.array([k.as_py()] * rows, schema.field(n).type) for k, n in zip(key, names, strict=True)]
 
 
-def resampled_metrics(
-    df: DataFrame, weights: DataFrame, group: Sequence[str], *, draws: int, entity: str = "stay", score: str = "probability",
-    y: str = "y", scopes: Sequence[str] = SCOPES, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(draw, group, scope, n_pos, n_neg, auc, ap, brier) for draws 1..``draws`` and draw 0 with unit weights.
-
-    ``weights`` is (entity, w): one byte per draw (``splits.bootstrap_weights``); entities without a row count in draw 0 only.
-    """
-    group = list(group)
-    post = (F.col("pod") >= 0).cast("int") if "pod" in df.columns else F.lit(0)
-    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg(F.count("*").cast("int").alias("c"))
+def _blocks(rows: DataFrame, weights: DataFrame, group: list[str], *, draws: int, entity: str, block_rows: int) -> DataFrame:
+    """Rows (entity, group, s, y, post, c) with their entity's bytes, dealt to (group, block); a block is a run of scores and holds about ``block_rows`` rows."""
     rows = rows.withColumn("fine", value_block("s"))
     counts = rows.groupBy(*group, "fine").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*group).orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)  # one row per fine block
@@ -92,11 +84,55 @@ def resampled_metrics(
 
     salt = F.pmod(F.xxhash64(entity), F.col("parts")).alias("salt")
     large = placed.where("parts > 1").select(*merge, "c", "w", "sums", salt).groupBy(*merge, "salt").applyInArrow(total, schema)
-    merged = small.unionByName(large).repartition(*keys)
+    return small.unionByName(large).repartition(*keys)
+
+
+def _offsets(per_block: DataFrame, group: list[str]) -> DataFrame:
+    """(group, block, slab, before, whole) from block totals (group, block, slab, t): what lies before a block, and the whole group."""
+    schema = T.StructType([*per_block.schema.fields[:-1], T.StructField("before", T.BinaryType()), T.StructField("last", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Running totals over the blocks of a (group, slab); its last row holds the whole."""
+        mark, run, head = None, None, None
+        for batch in batches:
+            found = []
+            for *here, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                value, now = np.frombuffer(t, np.float64), (*here[: len(group)], here[-1])
+                if now != mark:
+                    if mark is not None:
+                        found.append([*head, run.tobytes(), True])
+                    mark, run = now, np.zeros(len(value))
+                found.append([*here, run.tobytes(), False])
+                run, head = run + value, here
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+        if mark is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip([*head, run.tobytes(), True], arrow, strict=True)], schema=arrow)
+
+    ordered = per_block.repartition(*group, "slab").sortWithinPartitions(*group, "slab", "block")
+    sums = ordered.mapInArrow(prefix, schema)
+    whole = sums.where("last").select(*group, "slab", F.col("before").alias("whole"))
+    return sums.where("not last").drop("last").join(whole, [*group, "slab"]).select(*group, "block", "slab", "before", "whole")
+
+
+def resampled_metrics(
+    df: DataFrame, weights: DataFrame, group: Sequence[str], *, draws: int, entity: str = "stay", score: str = "probability",
+    y: str = "y", scopes: Sequence[str] = SCOPES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(draw, group, scope, n_pos, n_neg, auc, ap, brier) for draws 1..``draws`` and draw 0 with unit weights.
+
+    ``weights`` is (entity, w): one byte per draw (``splits.bootstrap_weights``); entities without a row count in draw 0 only.
+    """
+    group = list(group)
+    post = (F.col("pod") >= 0).cast("int") if "pod" in df.columns else F.lit(0)
+    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg(F.count("*").cast("int").alias("c"))
+    merged = _blocks(rows, weights, group, draws=draws, entity=entity, block_rows=block_rows)
+    keys, schema = [*group, "block"], merged.schema
 
     slab_starts = list(range(0, draws + 1, _SLAB))
     key_fields = [schema[k] for k in keys]
-    totals_schema = T.StructType([*key_fields, T.StructField("slab", T.IntegerType()), T.StructField("t", T.BinaryType())])
+    totals_schema = T.StructType([*key_fields, T.StructField("slab", T.IntegerType()), T.StructField("__t", T.BinaryType())])
 
     def block_totals(key: tuple, table: pa.Table) -> pa.Table:
         channel = _channel(table)
@@ -105,36 +141,8 @@ def resampled_metrics(
         cells = [pa.array(slab_starts, pa.int32()), pa.array([sums[:, lo : lo + _SLAB].tobytes() for lo in slab_starts], pa.binary())]
         return pa.Table.from_arrays([*_keys(key, keys, out, len(slab_starts)), *cells], schema=out)
 
-    prefix_schema = T.StructType([*totals_schema.fields[:-1], T.StructField("before", T.BinaryType()), T.StructField("last", T.BooleanType())])
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Running totals over the blocks of a (group, slab); its last row holds the whole."""
-        out_schema, last, run, shape = to_arrow_schema(prefix_schema), None, None, None
-
-        def row(head: tuple, value: np.ndarray, end: bool) -> list:
-            return [*head[: len(group)], head[len(group)], head[len(group) + 1], value.tobytes(), end]
-
-        for batch in batches:
-            found = []
-            for *head, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mark = (*head[: len(group)], head[-1])
-                value = np.frombuffer(t, np.float64)
-                if mark != last:
-                    if last is not None:
-                        found.append(row(shape, run, True))
-                    last, run = mark, np.zeros(len(value))
-                found.append(row(tuple(head), run, False))
-                run, shape = run + value, tuple(head)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out_schema, strict=True)], schema=out_schema)
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row(shape, run, True), out_schema, strict=True)], schema=out_schema)
-
     per_block = merged.groupBy(*keys).applyInArrow(block_totals, totals_schema)
-    ordered = per_block.repartition(*group, "slab").sortWithinPartitions(*group, "slab", "block")
-    sums = ordered.mapInArrow(prefix, prefix_schema)
-    whole = sums.where("last").select(*group, "slab", F.col("before").alias("whole"))
-    offsets = sums.where("not last").drop("last").join(whole, [*group, "slab"]).select(*keys, "slab", "before", "whole")
+    offsets = _offsets(per_block, group)
 
     out_schema = T.StructType([
         *[schema[k] for k in group], T.StructField("draw", T.IntegerType()), T.StructField("scope", T.StringType()),
@@ -196,6 +204,67 @@ def resampled_metrics(
         F.when(p + n > 0, F.col("b") / (p + n)).alias("brier"))
 
 
+def resampled_quantiles(
+    df: DataFrame, weights: DataFrame, group: Sequence[str], value: str, *, draws: int, level: float = 0.5, entity: str = "stay",
+    part: str | None = None, factors: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(draw, group, quantile): inverse weighted empirical CDF of ``value`` for draws 0 (unit weights) to ``draws``.
+
+    The smallest value whose running weight reaches ``level`` of the total (with a relative slack of 1e-9). A row weighs its
+    entity's multiplicity, times ``factors`` (group, part, f: one double for each draw from 0 on, as bytes) where there is one for
+    its group and ``part``. Sorted once for all draws: a block of values gives its totals, and a draw's quantile is looked up in the
+    block where its running weight reaches the level. Groups and draws without weight have no row; null values are left out.
+    """
+    group = list(group)
+    post = F.col(part).cast("int") if part else F.lit(0)
+    named = df.where(F.col(value).isNotNull()).groupBy(entity, *group, F.col(value).cast("double").alias("s"), F.lit(0).alias("y"), post.alias("post")).agg(F.count("*").cast("int").alias("c"))
+    merged = _blocks(named, weights, group, draws=draws, entity=entity, block_rows=block_rows)
+    keys, schema = [*group, "block"], merged.schema
+    blocks = materialize(merged.select(*keys).distinct()).select(*[F.col(k).alias(k) for k in keys])
+    if factors is None:
+        held = blocks.where("false").select(*keys, F.lit(0).alias("post"), F.lit(None).cast("binary").alias("f"))
+    else:
+        held = blocks.join(factors.select(*group, F.col(part).cast("int").alias("post"), "f"), group).select(*keys, "post", "f")
+
+    def weighed(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(left.column("s").to_numpy(), kind="stable")
+        w, parts = _Draws(left, draws, order).slab(0, draws + 1), left.column("post").to_numpy()[order]
+        for p, f in zip(right.column("post").to_pylist(), right.column("f").to_pylist(), strict=True):
+            w[parts == p] *= np.frombuffer(f, np.float64)
+        return left.column("s").to_numpy()[order], w
+
+    totals_schema = T.StructType([*[schema[k] for k in keys], T.StructField("slab", T.IntegerType()), T.StructField("__t", T.BinaryType())])
+
+    def totals(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        arrow = to_arrow_schema(totals_schema)
+        if not left.num_rows:
+            return arrow.empty_table()
+        return pa.Table.from_arrays([*_keys(key, keys, arrow, 1), pa.array([0], pa.int32()), pa.array([weighed(left, right)[1].sum(axis=0).tobytes()])], schema=arrow)
+
+    per_block = materialize(merged.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(totals, totals_schema))
+    at = _offsets(per_block, group).select(*[F.col(k).alias(k) for k in keys], F.lit(None).cast("int").alias("post"), "before", "whole")
+    both = held.select(*keys, "post", "f", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("whole")).unionByName(
+        at.select(*keys, "post", F.lit(None).cast("binary").alias("f"), "before", "whole"))
+    out_schema = T.StructType([*[schema[k] for k in group], T.StructField("draw", T.IntegerType()), T.StructField("quantile", T.DoubleType())])
+
+    def local(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        arrow = to_arrow_schema(out_schema)
+        if not left.num_rows:
+            return arrow.empty_table()
+        offset = right.filter(pa.compute.is_valid(right.column("before")))
+        before, whole = (np.frombuffer(offset.column(c)[0].as_py(), np.float64) for c in ("before", "whole"))
+        s, w = weighed(left, right.filter(pa.compute.is_valid(right.column("f"))))
+        run = before + w.cumsum(axis=0)
+        run[-1] = before + w.sum(axis=0)  # as the next block begins
+        goal = (level - 1e-9) * whole
+        here = np.flatnonzero((whole > 0) & (run[-1] >= goal) & (before < goal))
+        first = (run[:, here] >= goal[here]).argmax(axis=0)
+        return pa.Table.from_arrays([*_keys(key[: len(group)], group, arrow, len(here)), pa.array(here.astype(np.int32)), pa.array(s[first])], schema=arrow)
+
+    found = merged.groupBy(*keys).cogroup(both.groupBy(*keys)).applyInArrow(local, out_schema)
+    return found.groupBy("draw", *group).agg(F.min("quantile").alias("quantile"))
+
+
 SUM_ROWS = 20_000
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.contract import TRAJECTORY_DRAWS, TRAJECTORY_VALID
 from tidemark.functions.scalars import expit, hash32
 from tidemark.operators import aggregates, attribution, cohort, encode, models
 from tidemark.plans.catalog import query
@@ -11,7 +12,8 @@ from tidemark.plans.common import config_rows, r6, sr6
 from tidemark.plans.metric_queries import code_long
 from tidemark.plans.metric_sql import metrics_sql
 from tidemark.plans.sqlviews import QUERY_DRAWS as D
-from tidemark.plans.sqlviews import h32
+from tidemark.plans.sqlviews import h32, mult_sql
+from tidemark.session import materialize
 
 # margins carry a planted error on a few rows
 _MARGIN = f"""(SELECT repeat, row_key, 0.1e0 * repeat AS base, 0.1e0 * repeat + sum(phi)
@@ -189,19 +191,37 @@ def trajectory_rows(x):
         F.when(km > 90, 9).when(km > 60, 1).when(km.isNotNull(), 0).alias("flag"), (F.col("rel") >= -3).alias("gate"))
 
 
-_TRAJECTORY_DRAWS = 6  # still rows x draws x event times (README, "Open")
+def _trajectory_draws(x):
+    from tidemark.operators import splits
+
+    rows = trajectory_rows(x)
+    ent = rows.groupBy("entity").agg(F.max("case").alias("case"))
+    w = splits.bootstrap_weights(ent, draws=TRAJECTORY_DRAWS, entity="entity")
+    return attribution.trajectory_draws(rows, _TR_FEATURES, w, draws=TRAJECTORY_DRAWS)
 
 
 @query("int_10_draws")
 def int_10_draws(x):
-    """Resampled trajectories: intervals of the estimate over shared entity draws."""
-    from tidemark.operators import metrics, splits
+    """Intervals of trajectory estimates and of paired changes over all shared entity draws."""
+    from tidemark.operators import metrics
 
-    rows = trajectory_rows(x)
-    ent = rows.groupBy("entity").agg(F.max("case").alias("case"))
-    w = splits.stratified_bootstrap(ent, draws=_TRAJECTORY_DRAWS, entity="entity")
-    t = attribution.trajectories(rows, _TR_FEATURES, weights=w)
-    return metrics.interval_summary(t, ["alignment", "t", "cohort", "feature"], value="estimate", draws=_TRAJECTORY_DRAWS)
+    drawn, cell = materialize(_trajectory_draws(x)), ["alignment", "t", "cohort", "feature"]
+    out = metrics.interval_summary(drawn, cell, value="estimate", draws=TRAJECTORY_DRAWS, minimum=TRAJECTORY_VALID)
+    delta = metrics.interval_summary(drawn, cell, value="delta", draws=TRAJECTORY_DRAWS, minimum=TRAJECTORY_VALID)
+    return out.join(delta.select(*cell, *[F.col(c).alias(f"delta_{c}") for c in ("estimate", "valid_draws", "ci_lo", "ci_hi")]), cell)
+
+
+_EACH = TRAJECTORY_DRAWS // 10
+_SOME = "mu AS (" + mult_sql(TRAJECTORY_DRAWS, '(SELECT entity AS stay, max(cs) AS "case" FROM tr GROUP BY entity)', every=_EACH) + """),
+ dw AS (SELECT tv.*, 0 AS draw, 1 AS m FROM tv UNION ALL SELECT tv.*, mu.draw, mu.m FROM tv JOIN mu ON mu.stay = tv.entity),"""
+
+
+@query("int_10_every", f"""WITH {_TR.format(weights=_SOME)} SELECT draw, alignment, CAST(t AS INTEGER) AS t, cohort, feature, CASE WHEN ok THEN round(CASE WHEN feature = 'flag' THEN mean ELSE median END, 6) + 0e0 END AS estimate,
+ CASE WHEN ok THEN round(delta_median, 6) + 0e0 END AS delta
+ FROM (SELECT q.*, CASE WHEN cohort = 'standardized_control' THEN df.ok ELSE TRUE END AS ok FROM ({_TRQ}) q LEFT JOIN df ON df.draw = q.draw AND df.t = q.t) WHERE nonmissing > 0 OR pairs > 0""")
+def int_10_every(x):
+    """Every hundredth draw of the run that int_10_draws summarises."""
+    return r6(_trajectory_draws(x).where(F.col("draw") % _EACH == 0), "estimate", "delta")
 
 
 @query("int_11", f"""SELECT unnest(['unexplained', 'explained_twice', 'outside_targets', 'mixed_models']) AS "check", unnest([count(*) FILTER (d = 1), count(*) FILTER (d = 2), count(*) FILTER (d = 3),
