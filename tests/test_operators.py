@@ -304,3 +304,63 @@ def test_fingerprint_ignores_row_order(x):
     a, b = src.fingerprint(t).first(), src.fingerprint(t.orderBy(F.desc("o_totalprice")).repartition(5)).first()
     assert a == b
     assert src.fingerprint(t.where("o_orderkey > 0")).first() != a
+
+
+def test_resampled_quantiles_brute_force(spark):
+    """Weighted medians of every draw, in blocks of a few rows, with and without factors, against sorting each draw."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(e), "ab"[rng.integers(2)], int(rng.integers(3)), None if rng.random() < 0.1 else float(rng.integers(0, 40)) / 4) for e in rng.integers(0, 60, 400)]
+    draws, level = 5, 0.5
+    mult = {e: rng.integers(0, 4, draws) for e in range(55)}  # five entities have no weights: draw 0 only
+    factor = {("b", p): rng.random(draws + 1) * (p != 2) for p in range(3)}
+    df = spark.createDataFrame(rows, "stay int, g string, p int, v double")
+    w = spark.createDataFrame([(e, bytes(m.astype(np.uint8))) for e, m in mult.items()], "stay int, w binary")
+    f = spark.createDataFrame([(g, p, x.tobytes()) for (g, p), x in factor.items()], "g string, p int, f binary")
+    for factors in (None, f):
+        got = {(r["draw"], r["g"]): r["quantile"] for r in resample.resampled_quantiles(df, w, ["g"], "v", draws=draws, level=level, part="p", factors=factors, block_rows=16).collect()}
+        want = {}
+        for d in range(draws + 1):
+            for g in "ab":
+                pairs = sorted((v, (1 if d == 0 else int(mult[e][d - 1]) if e in mult else 0) * (factor[(g, p)][d] if factors is not None and g == "b" else 1)) for e, h, p, v in rows if h == g and v is not None)
+                total, run = sum(x for _, x in pairs), 0.0
+                for v, x in pairs:
+                    run += x
+                    if total and run >= (level - 1e-9) * total:
+                        want[(d, g)] = v
+                        break
+        assert got == want
+
+
+def test_stopping_round():
+    assert models.stopping_round([(1, 0.5), (2, 0.6), (3, 0.6), (4, 0.59), (5, 0.9)], 2) == 2
+    assert models.stopping_round([(1, 0.5), (2, 0.6), (3, 0.61)], 2) is None
+    assert models.stopping_round([(1, None), (2, None), (3, None)], 2) == 1
+    assert models.stopping_round([], 3) is None
+
+
+def test_stopping_summary(spark):
+    fits = [("a", f, i, "completed", 3 * f + i + 1, 0.5 + f / 10) for f in range(3) for i in range(3)]
+    fits += [("b", f, i, "failed" if f == i == 2 else "completed", 4, 0.6) for f in range(3) for i in range(3)]
+    fits += [("c", f, i, "completed", 4, None if f == 1 else 0.6) for f in range(3) for i in range(3)]
+    fits += [("d", f, i, "completed", 4, 0.6) for f in range(2) for i in range(3)]
+    got = {r["arm"]: (r["complete"], r["rounds"], r["mean_auc"]) for r in models.stopping_summary(spark.createDataFrame(fits, "arm string, fold int, init int, status string, best_round long, auc double")).collect()}
+    assert got["a"][:2] == (1, 5) and got["a"][2] == pytest.approx(0.6)
+    assert all(got[x] == (0, None, None) for x in "bcd")
+
+
+def test_slice_arms_and_frame(spark):
+    arms = models.slice_arms(["b"], {"x": ["p"], "y": ["q", "r"]})
+    assert [a["arm"] for a in arms] == ["x-w1", "x-w7", "y-w1", "y-w7", "all-w1", "all-w7", "background-w1"]
+    assert [len(a["columns"]) for a in arms] == [2, 2 * 7 + 8, 3, 3 * 7 + 8, 4, 4 * 7 + 8, 1]
+    rows = spark.createDataFrame([(1, 1, 1.0, 5.0), (1, 3, 2.0, None)], "stay int, day int, b double, p double")
+    last = models.slice_frame(rows, arms[1], keys=["stay", "day"], entity="stay", day="day").where("day = 3").first()
+    assert (last["p__lag0"], last["row_observed__lag0"], last["p__lag1"], last["row_observed__lag1"], last["p__lag2"], last["window_observed_day_count"]) == (None, 1, None, 0, 5.0, 2)
+
+
+def test_sources_agree(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", None), ("twice", 1.0), ("twice", 1.0)], "feature string, v double")
+    b = spark.createDataFrame([("x", 1.0), ("y", 2.5), ("z", None), ("twice", 1.0), ("only", 1.0)], "feature string, v double")
+    got = {r["feature"]: r["agrees"] for r in cohort.sources_agree(a, b, ["feature"], ["v"]).collect()}
+    assert got == {"x": True, "y": False, "z": True, "twice": False, "only": False}
