@@ -29,7 +29,7 @@ WORDS = BITS // 64
 LONG_SET, LONG_BITS = 500, 16_384  # larger sets are first compared by masks of so many bits
 FREQUENT, MOST_FREQUENT = 64, 100_000  # shingles of so many documents go last in the order; the order's table is bounded, not the work
 ROUNDS, HUBS = 6, 4  # further star rounds at most, and the hubs of a list in each
-DENSE, SAMPLE = 4, 32  # a further round is run while the pairs left, estimated from one class in SAMPLE, are over DENSE a class
+DENSE, SAMPLE = 4, 32  # a further round is run while the pairs of classes left, estimated from one group in SAMPLE, are over DENSE a class
 SMALL_IDS = 500_000  # up to so many ids (some 20 MB) are sent to all executors to pick texts, which then need no shuffle; beyond, Spark joins
 
 
@@ -225,7 +225,7 @@ def ngram_jaccard(df: DataFrame, *, size: int = 5, num: int = 4, den: int = 5) -
     live, at = _live(posted, of, joined)
     for turn in range(ROUNDS):
         parts = _parts(live, at, masks)
-        sampled = _group_pairs(parts, masks, num, den, one_in=SAMPLE).count()
+        sampled = _group_pairs(parts, masks, num, den, one_in=SAMPLE).agg(F.sum("k")).first()[0] or 0
         if sampled * SAMPLE <= DENSE * at.count():
             break
         new = _verified(_nearest(_hubs(live, at, turn), at, masks, num, den, apart=True), docs, classes, size, num, den)
@@ -312,13 +312,13 @@ def _hubs(live: DataFrame, at: DataFrame, turn: int) -> DataFrame:
 
 
 def _parts(live: DataFrame, at: DataFrame, masks: list[str]) -> DataFrame:
-    """Live postings per (group, component): gram, place, g, c, n and the AND and OR of the masks of the classes in it."""
+    """Live postings per (group, component): gram, place, g, c, n, k classes in it and the AND and OR of their masks."""
     held = [F.bit_and(m).alias(f"a{i}") for i, m in enumerate(masks)] + [F.bit_or(m).alias(f"o{i}") for i, m in enumerate(masks)]
-    return written(live.join(at.groupBy("g", "c", "n").agg(*held), "g"), "ngram")
+    return written(live.join(at.groupBy("g", "c", "n").agg(F.count("*").alias("k"), *held), "g"), "ngram")
 
 
 def _group_pairs(parts: DataFrame, masks: list[str], num: int, den: int, *, one_in: int = 1) -> DataFrame:
-    """(ga, ca, gb, cb): pairs of parts of different components that share a list and whose sizes, places and masks allow the threshold.
+    """(ga, ca, gb, cb, k): pairs of parts of different components that share a list and whose sizes, places and masks allow the threshold; k: pairs of their classes.
 
     ``one_in``: for an estimate, only the pairs of one group in so many.
     """
@@ -331,7 +331,7 @@ def _group_pairs(parts: DataFrame, masks: list[str], num: int, den: int, *, one_
     if one_in > 1:
         first = parts.where(F.pmod(F.xxhash64("g"), F.lit(one_in)) == 0)
     pairs = first.alias("x").join(parts.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & once & fits)
-    return pairs.select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb")).distinct()
+    return pairs.select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb"), (F.col("x.k") * F.col("y.k")).alias("k")).distinct()
 
 
 def _remaining(pairs: DataFrame, at: DataFrame, masks: list[str], num: int, den: int) -> DataFrame:
