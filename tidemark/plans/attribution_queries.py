@@ -310,7 +310,7 @@ def mod_05(x):
     keys = ["row_key", "day", "y", "fold"]
     for arm in models.slice_arms(["l_tax"], {"quantity": ["l_quantity"], "price": ["l_discount", "l_extendedprice"]}):
         framed = models.slice_frame(rows, arm, keys=["stay", *keys], entity="stay", day="day")
-        p, info = models.tree_program(framed.where("fold < 3"), framed.where("fold = 3"), arm["columns"], fold="fold", keep=["y"], rounds=16, patience=4, primary=F.col("day") >= _POST_DAY)
+        p, info = models.tree_program(framed.where("fold < 3"), framed.where("fold = 3"), arm["columns"], fold="fold", keep=["y"], rounds=8, patience=3, primary=F.col("day") >= _POST_DAY)
         out.append(p.select("y", "probability", F.lit(arm["arm"]).alias("arm"), F.lit(len(arm["columns"])).alias("columns"), F.lit(info["rounds"]).alias("rounds")))
     return metrics.rank_metrics(aggregates.union_all(out), ["arm", "columns", "rounds"])
 
