@@ -242,7 +242,7 @@ _COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
 # Bounds of the fits: most rounds, and rounds without a better AUC after which a fit stops.
-_ROUNDS, _PATIENCE = 64, 5
+_ROUNDS, _PATIENCE, _SLICE_ROUNDS = 64, 5, 8
 _POST_DAY = 3  # primary rows: days from here on
 
 
@@ -303,16 +303,19 @@ def mod_04(x):
 
 @query("mod_05")
 def mod_05(x):
-    """Fixed feature-slice arms over the same rows: windows of one and of seven days, inner stopping, refit."""
+    """Fixed feature-slice arms over the same rows, windows of one and of seven days, each fitted with ``_SLICE_ROUNDS`` rounds."""
     from tidemark.operators import metrics
 
     rows, out = model_rows(x), []
-    keys = ["row_key", "day", "y", "fold"]
     for arm in models.slice_arms(["l_tax"], {"quantity": ["l_quantity"], "price": ["l_discount", "l_extendedprice"]}):
-        framed = models.slice_frame(rows, arm, keys=["stay", *keys], entity="stay", day="day")
-        p, info = models.tree_program(framed.where("fold < 3"), framed.where("fold = 3"), arm["columns"], fold="fold", keep=["y"], rounds=8, patience=3, primary=F.col("day") >= _POST_DAY)
-        out.append(p.select("y", "probability", F.lit(arm["arm"]).alias("arm"), F.lit(len(arm["columns"])).alias("columns"), F.lit(info["rounds"]).alias("rounds")))
-    return metrics.rank_metrics(aggregates.union_all(out), ["arm", "columns", "rounds"])
+        framed = models.slice_frame(rows, arm, keys=["stay", "y", "fold"], entity="stay", day="day")
+        fill = models.medians(framed.where("fold < 3"), arm["columns"])
+        filled, columns = models.with_indicators(framed, arm["columns"], fill)
+        filled = materialize(filled)
+        model = models.fit_trees(filled.where("fold < 3"), columns, rounds=_SLICE_ROUNDS)
+        scored = models.apply_model(model, filled.where("fold = 3"), columns, ["y"])
+        out.append(scored.select("y", "probability", F.lit(arm["arm"]).alias("arm"), F.lit(len(arm["columns"])).alias("columns")))
+    return metrics.rank_metrics(aggregates.union_all(out), ["arm", "columns"])
 
 
 _FITS = """SELECT p_type AS arm, CAST(l_linenumber % 3 AS INTEGER) AS fold, CAST(l_suppkey % 3 AS INTEGER) AS init,
