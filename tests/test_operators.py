@@ -281,12 +281,17 @@ def test_text_folder_round_trip(spark, tmp_path):
     assert got == {"7": ("café", 44270.0), "8": ("NA", None)}
 
 
-def test_cp1252_fallback(spark, tmp_path):
-    (tmp_path / "t.csv").write_bytes("id,note\n1,café – “x”\n".encode("cp1252"))
-    path = str(tmp_path / "t.csv")
-    enc = src.with_encoding_fallback(spark, path)
-    assert enc == "windows-1252"
-    assert src.read_text_table(spark, path, ["id", "note"], encoding=enc).first()["note"] == "café – “x”"
+def test_encoding_of_each_file(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_bytes("\ufeffid,note\n1,café – “x”\n2,ÿž\n".encode())
+    (tmp_path / "t" / "b.csv").write_bytes("id,note\n3,café – “x”\n4,\"ÿ\"\"ž, Ā\"\n".replace("Ā", "ü").encode("cp1252"))
+    (tmp_path / "t" / "c.csv").write_bytes(b"id,note\n5,\n")
+    path = str(tmp_path / "t")
+    assert [r["file"].rsplit("/", 1)[1] for r in src.windows_files(spark, path).collect()] == ["b.csv"]
+    got = dict(map(tuple, src.read_text_table(spark, path, ["id", "note"], encoding=None).collect()))
+    assert got == {"1": "café – “x”", "2": "ÿž", "3": "café – “x”", "4": 'ÿ"ž, ü', "5": ""}
+    only = src.read_text_table(spark, f"{path}/b.csv", ["id", "note"], encoding="windows-1252")
+    assert only.first()["note"] == "café – “x”"
 
 
 def test_writer_rejects_other_schema_and_bad_probability(spark, tmp_path):

@@ -268,6 +268,22 @@ def src_01(x):
     return r6(t.select("entity", "txt__serial"), "txt__serial")
 
 
+@query("src_01_files", """SELECT CAST(o_orderkey AS VARCHAR) AS entity, concat('caf\u00e9 \u2013 \u201c', o_orderpriority, '\u201d') AS note,
+  CASE WHEN o_orderkey % 2 = 0 THEN '\u00ff\u017e' ELSE '\u00fc' END AS tail FROM orders""")
+def src_01_files(x):
+    """A table folder whose files differ in encoding: one half of the orders in UTF-8, the other in windows-1252."""
+    path = src.scratch_path(x.spark, "mixed")
+    o = x.table("orders")
+    note = F.concat(F.lit("caf\u00e9 \u2013 \u201c"), "o_orderpriority", F.lit("\u201d"))
+    tail = F.when(F.col("o_orderkey") % 2 == 0, "\u00ff\u017e").otherwise("\u00fc")
+    rows = o.select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("id"), note.alias("note"), tail.alias("tail"))
+    even = o["o_orderkey"] % 4 < 2
+    for part, encoding in ((rows.where(even), "UTF-8"), (rows.where(~even), "windows-1252")):
+        src.write_text_table(part, f"{path}/notes", encoding=encoding)
+    t = src.read_text_folder(x.spark, {"notes": {"columns": ["id", "note", "tail"], "entity": "id"}}, path)["notes"]
+    return t.select("entity", "note", "tail")
+
+
 @query(
     "src_02",
     f"""SELECT unnest(['rows', 'entities', 'blank_entity_rows', 'txt_missing', 'txt_parsed', 'txt_parse_failure',

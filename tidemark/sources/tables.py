@@ -30,28 +30,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_text_table(
     spark: SparkSession, path: str, columns: Sequence[str], *, entity: str | None = None, dates: Sequence[str] = (),
-    encoding: str = "UTF-8", strict: bool = True,
+    encoding: str | None = "UTF-8", strict: bool = True,
 ) -> DataFrame:
     """CSV with every column as text and no token read as missing.
 
     Adds ``entity`` (normalised id) and ``<date>__serial`` per date column. ``strict`` stops on a
-    malformed line. The header must name the columns in order.
+    malformed line. The header must name the columns in order. Without an ``encoding`` each file is UTF-8 where all of it
+    decodes, else windows-1252; column names are ASCII then.
     """
-    if encoding not in ("UTF-8", "windows-1252"):
+    if encoding not in (None, "UTF-8", "windows-1252"):
         raise ValueError("encoding must be UTF-8 or windows-1252")
-    windows = encoding == "windows-1252"
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("encoding", "iso-8859-1" if windows else "UTF-8")
+        .option("encoding", "UTF-8" if encoding == "UTF-8" else "iso-8859-1")
         .option("emptyValue", "")
         .option("nullValue", "\u0000")
+        .option("escape", '"')
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .csv(path)
     )
-    text = lambda c: F.translate(F.col(c), _C1_LATIN, _C1_WINDOWS) if windows else F.col(c)
+    windows = lambda c: F.translate(F.col(c), _C1_LATIN, _C1_WINDOWS)
+    if encoding == "UTF-8":
+        text = F.col
+    elif encoding:
+        text = windows
+    else:  # a character of ISO-8859-1 is a byte, and separators and quotes are ASCII in both encodings
+        raw = raw.select(*columns, F.col("_metadata.file_path").alias("__file"))
+        raw = raw.join(windows_files(spark, path).select(F.col("file").alias("__file"), F.lit(True).alias("__windows")), "__file", "left")
+        text = lambda c: F.when(F.col("__windows"), windows(c)).otherwise(F.encode(c, "ISO-8859-1").cast("string"))
     out = raw.select(*[F.coalesce(text(c), F.lit("")).alias(c) for c in columns])
     extra = [serial_day(c).alias(f"{c}__serial") for c in dates]
     if entity:
@@ -59,20 +68,22 @@ def read_text_table(
     return out.select("*", *extra)
 
 
-def with_encoding_fallback(spark: SparkSession, path: str) -> str:
-    """UTF-8 when the whole file decodes, else windows-1252. The bytes are tested in the executors."""
-    lines = spark.read.text(path)
-    bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
-    return "windows-1252" if bad else "UTF-8"
+def write_text_table(df: DataFrame, path: str, *, encoding: str = "UTF-8") -> None:
+    """CSV files with a header, added to ``path``; all columns must be text. windows-1252 has no other characters than its own."""
+    windows = encoding == "windows-1252"
+    out = df.select(*[F.translate(F.col(c), _C1_WINDOWS, _C1_LATIN).alias(c) if windows else F.col(c) for c in df.columns])
+    out.write.mode("append").option("header", True).option("emptyValue", "").option("escape", '"').option("encoding", "iso-8859-1" if windows else "UTF-8").csv(path)
+
+
+def windows_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the files of a table folder with bytes that are not UTF-8. The bytes are tested in the executors."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(~F.is_valid_utf8("value")).select("file").distinct()
 
 
 def read_text_folder(spark: SparkSession, tables: Mapping[str, Mapping], folder: str) -> dict[str, DataFrame]:
-    """All tables of a folder: name -> {columns, entity, dates}."""
-    out = {}
-    for name, spec in tables.items():
-        path = f"{folder}/{name}"
-        out[name] = read_text_table(spark, path, encoding=with_encoding_fallback(spark, path), **spec)
-    return out
+    """All tables of a folder: name -> {columns, entity, dates}; each file is decoded by its own encoding."""
+    return {name: read_text_table(spark, f"{folder}/{name}", encoding=None, **spec) for name, spec in tables.items()}
 
 
 def inventory(df: DataFrame, *, entity: str, dates: Mapping[str, Column], record_key: str | None = None) -> DataFrame:
