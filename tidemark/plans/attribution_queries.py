@@ -12,7 +12,7 @@ from tidemark.plans.common import config_rows, r6, sr6
 from tidemark.plans.metric_queries import code_long
 from tidemark.plans.metric_sql import metrics_sql
 from tidemark.plans.sqlviews import QUERY_DRAWS as D
-from tidemark.plans.sqlviews import h32, mult_sql
+from tidemark.plans.sqlviews import EVERY, h32, mult_sql
 from tidemark.session import materialize
 
 # margins carry a planted error on a few rows
@@ -45,6 +45,42 @@ def int_03(x):
     return r6(grouped(x).select("repeat", "row_key", "feature", *_S4), *_S4)
 
 
+# each (repeat, fold) is a model; some do not select the rates or the price
+_SELECTED = f"""(SELECT * FROM f_phi WHERE NOT ("column" IN ('discount', 'tax') AND {h32("concat_ws('|', 'sel', repeat, fold)")} % 3 = 0) AND NOT ("column" = 'price' AND repeat = 2))"""
+_SOURCES = f"""(SELECT t.repeat, t.row_key, t.stay, t.pod, t."case", t.fold, u.feature, coalesce(sum(abs(phi)), 0) AS abs_sum, abs(coalesce(sum(phi), 0)) AS net_abs, coalesce(sum(phi), 0) AS signed,
+   coalesce(sum(CASE WHEN kind <> 'value' THEN abs(phi) END), 0) AS observation_abs, CAST(count(phi) > 0 AS INTEGER) AS included
+   FROM f_targets t CROSS JOIN (SELECT DISTINCT feature FROM f_layout) u LEFT JOIN (SELECT repeat, row_key, feature, kind, phi FROM {_SELECTED} JOIN f_layout USING ("column")) p
+   ON p.repeat = t.repeat AND p.row_key = t.row_key AND p.feature = u.feature GROUP BY ALL)"""
+
+
+def selected_phi(x):
+    out = F.col("column").isin("discount", "tax") & (hash32(F.lit("sel"), "repeat", "fold") % 3 == 0) | (F.col("column") == "price") & (F.col("repeat") == 2)
+    return x.phi.where(~out)
+
+
+def sources(x):
+    """Grouped attributions over the whole universe of features, with the flag of the model's selection."""
+    keys = ("repeat", "row_key", "stay", "pod", "case", "fold")
+    return attribution.group_by_source(selected_phi(x), x.layout, keys, rows=x.targets, universe=["quantity", "rate", "price"])
+
+
+@query("int_03_sources", f"SELECT repeat, row_key, feature, included, {', '.join(sr6(s, s) for s in _S4)} FROM {_SOURCES}")
+def int_03_sources(x):
+    return r6(sources(x).select("repeat", "row_key", "feature", "included", *_S4), *_S4)
+
+
+@query("int_03_identities", f"""WITH g AS (SELECT repeat, row_key, sum(abs_sum) AS pg, sum(signed) AS ps, max(abs(net_abs - abs(signed))) AS net FROM {_SOURCES} GROUP BY ALL),
+ w AS (SELECT repeat, row_key, sum(abs(phi)) AS g, sum(phi) + CASE WHEN {h32("concat_ws('|', 'm', repeat, row_key)")} % 500 = 0 THEN 0.01e0 ELSE 0e0 END AS s FROM {_SELECTED} GROUP BY repeat, row_key),
+ e AS (SELECT unnest(['gross', 'signed', 'net']) AS "identity", unnest([abs(w.g - pg), abs(w.s - ps), net]) AS e FROM g JOIN w USING (repeat, row_key))
+ SELECT "identity", count(*) AS "rows", count(*) FILTER (e > 1e-4) AS failed, {sr6('max(e)', 'max_error')} FROM e GROUP BY 1""")
+def int_03_identities(x):
+    """Partition identities of the grouped form, against columns with a planted error on a few rows."""
+    off = F.when((F.col("column") == "quantity") & (hash32(F.lit("m"), "repeat", "row_key") % 500 == 0), 0.01).otherwise(0.0)
+    planted = selected_phi(x).withColumn("phi", F.col("phi") + off)
+    gross = attribution.group_identities(selected_phi(x), sources(x)).where("identity <> 'signed'")
+    return r6(gross.unionByName(attribution.group_identities(planted, sources(x)).where("identity = 'signed'")), "max_error")
+
+
 @query("int_03_lags", f"SELECT feature, CAST(lag AS INTEGER) AS lag, {sr6('avg(m)', 'mean_abs')} FROM (SELECT repeat, feature, lag, sum(abs(phi)) / count(DISTINCT row_key) AS m FROM f_phi JOIN f_layout USING (\"column\") GROUP BY ALL) GROUP BY ALL")
 def int_03_lags(x):
     return r6(attribution.lag_profile(x.phi, x.layout), "mean_abs")
@@ -58,29 +94,67 @@ def int_04(x):
     return r.select("entity", "day", *[F.array_join(attribution.strata(v, pod="rel"), ";").alias(n) for v, n in (("overall", "overall"), ("pod", "pods"), ("lead", "leads"))])
 
 
-_CELLS = f"""cl AS (SELECT stratum, repeat, stay, feature, count(*) AS n, sum(abs_sum) AS abs_sum, sum(net_abs) AS net_abs, sum(signed) AS signed, sum(observation_abs) AS observation_abs FROM
-  (SELECT g.*, s.stratum FROM {_GROUPED} g, (SELECT unnest(['post', 'all']) AS stratum) s WHERE s.stratum = 'all' OR pod >= 0) GROUP BY ALL)"""
+_CELLS = f"""sg AS MATERIALIZED (SELECT g.*, s.stratum FROM {_SOURCES} g, (SELECT unnest(['post', 'all']) AS stratum) s WHERE s.stratum = 'all' OR pod >= 0),
+ cl AS (SELECT stratum, repeat, stay, feature, count(*) AS n, sum(abs_sum) AS abs_sum, sum(net_abs) AS net_abs, sum(signed) AS signed, sum(observation_abs) AS observation_abs FROM sg GROUP BY ALL),
+ sl AS (SELECT stratum, feature, repeat, fold, max(included) AS i FROM sg GROUP BY ALL), sr AS (SELECT stratum, feature, repeat, max(i) AS i FROM sl GROUP BY ALL),
+ sf AS (SELECT stratum, feature, sum(i) / count(*) AS selection_frequency, CAST(max(i) AS INTEGER) AS included FROM sl GROUP BY ALL),
+ per AS (SELECT stratum, repeat, feature, {', '.join(f'sum({s}) / sum(n) AS {s}' for s in _S4)}, avg(abs_sum / n) AS equal_entity FROM cl GROUP BY ALL),
+ rk AS (SELECT per.*, row_number() OVER (PARTITION BY stratum, repeat ORDER BY abs_sum DESC, feature) AS r, sr.i FROM per JOIN sr USING (stratum, repeat, feature)),
+ pt AS (SELECT stratum, feature, {', '.join(f'avg({s}) AS {s}' for s in _S4)}, avg(equal_entity) AS equal_entity, CAST(min(r) AS INTEGER) AS rank_min, CAST(max(r) AS INTEGER) AS rank_max,
+  {', '.join(f'avg(CASE WHEN r <= {k} AND i = 1 THEN 1e0 ELSE 0e0 END) AS top{k}' for k in (10, 20))} FROM rk GROUP BY ALL)"""
 
 
-@query("int_05", f"""WITH {_CELLS},
- per AS (SELECT stratum, repeat, feature, {', '.join(f'sum({s}) / sum(n) AS {s}' for s in _S4)}, avg(abs_sum / n) AS equal_entity FROM cl GROUP BY ALL),
- rk AS (SELECT *, row_number() OVER (PARTITION BY stratum, repeat ORDER BY abs_sum DESC, feature) AS r FROM per),
- pt AS (SELECT stratum, feature, {', '.join(f'avg({s}) AS {s}' for s in _S4)}, avg(equal_entity) AS equal_entity, CAST(min(r) AS INTEGER) AS rank_min, CAST(max(r) AS INTEGER) AS rank_max, avg(CASE WHEN r <= 10 THEN 1e0 ELSE 0e0 END) AS top10 FROM rk GROUP BY ALL),
- dr AS (SELECT draw, stratum, feature, avg(v) AS v FROM (SELECT draw, stratum, repeat, feature, sum(m * abs_sum) / sum(m * n) AS v FROM cl JOIN f_mult m ON m.stay = cl.stay GROUP BY ALL) GROUP BY ALL),
- dk AS (SELECT *, row_number() OVER (PARTITION BY draw, stratum ORDER BY v DESC, feature) AS r FROM dr),
- ci AS (SELECT stratum, feature, count(v) AS valid_draws, quantile_cont(v, 0.025) AS ci_lo, quantile_cont(v, 0.975) AS ci_hi, quantile_cont(CAST(r AS DOUBLE), 0.025) AS rank_lo, quantile_cont(CAST(r AS DOUBLE), 0.975) AS rank_hi FROM dk GROUP BY ALL)
-SELECT stratum, feature, {', '.join(sr6(s, s) for s in _S4)}, {sr6('equal_entity', 'equal_entity')}, {sr6('abs_sum / sum(abs_sum) OVER (PARTITION BY stratum)', 'share')}, valid_draws, rank_min, rank_max, top10,
- {', '.join(sr6(s, s) for s in ('ci_lo', 'ci_hi', 'rank_lo', 'rank_hi'))} FROM pt JOIN ci USING (stratum, feature)""", drawn=True)
+def _importance_draws_sql(mult: str) -> str:
+    return f"""dr AS (SELECT draw, stratum, feature, avg(v) AS v, avg(e) AS e FROM (SELECT draw, stratum, repeat, feature, sum(m * abs_sum) / sum(m * n) AS v, sum(m * abs_sum / n) / sum(m) AS e FROM cl JOIN {mult} m ON m.stay = cl.stay GROUP BY ALL) GROUP BY ALL),
+ dk AS (SELECT *, row_number() OVER (PARTITION BY draw, stratum ORDER BY v DESC, feature) AS r FROM dr)"""
+
+
+_POINT05 = f"""stratum, feature, {', '.join(sr6(s, s) for s in _S4)}, {sr6('equal_entity', 'equal_entity')}, {sr6('abs_sum / sum(abs_sum) OVER (PARTITION BY stratum)', 'share')},
+ {sr6('selection_frequency', 'selection_frequency')}, included, rank_min, rank_max, top10, top20"""
+_CI05 = ("ci_lo", "ci_hi", "equal_entity_lo", "equal_entity_hi", "rank_lo", "rank_hi")
+
+
+@query("int_05", f"""WITH {_CELLS}, {_importance_draws_sql('f_mult')},
+ ci AS (SELECT stratum, feature, count(v) AS valid_draws, {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), {q}) AS {n}_{end}' for c, n in (('v', 'ci'), ('e', 'equal_entity'), ('r', 'rank')) for q, end in ((0.025, 'lo'), (0.975, 'hi')))} FROM dk GROUP BY ALL)
+SELECT {_POINT05}, valid_draws, {', '.join(sr6(s, s) for s in _CI05)} FROM pt JOIN ci USING (stratum, feature) JOIN sf USING (stratum, feature)""", drawn=True)
 def int_05(x):
-    out = attribution.importance(grouped(x), x.weights, attribution.strata("overall"), draws=D)
-    return r6(out, *_S4, "equal_entity", "share", "ci_lo", "ci_hi", "rank_lo", "rank_hi")
+    out = attribution.importance(sources(x), x.weights, attribution.strata("overall"), draws=D)
+    return r6(out, *_S4, "equal_entity", "share", "selection_frequency", *_CI05)
+
+
+@query("int_05_point", f"WITH {_CELLS} SELECT {_POINT05} FROM pt JOIN sf USING (stratum, feature)")
+def int_05_point(x):
+    """The point columns of int_05: no draws."""
+    none = x.targets.where("false").select("stay", F.lit(None).cast("binary").alias("w"))
+    out = attribution.importance(sources(x), none, attribution.strata("overall"), draws=0)
+    return r6(out.drop("valid_draws", *_CI05), *_S4, "equal_entity", "share", "selection_frequency")
 
 
-@query("int_06", f"""WITH b AS (SELECT CASE WHEN pod BETWEEN 0 AND 2 THEN 1 ELSE 2 END AS b, repeat, fold, stay, feature, avg(abs_sum) AS v FROM {_GROUPED} WHERE pod BETWEEN 0 AND 7 GROUP BY ALL),
+@query("int_05_draws", f"""WITH {_CELLS}, {_importance_draws_sql('f_mult_some')}
+SELECT draw, stratum, feature, {sr6('v', 'abs_sum')}, {sr6('e', 'equal_entity')}, CAST(r AS INTEGER) AS rank FROM dk UNION ALL
+SELECT 0, stratum, feature, {sr6('abs_sum', 'abs_sum')}, {sr6('equal_entity', 'equal_entity')}, CAST(row_number() OVER (PARTITION BY stratum ORDER BY abs_sum DESC, feature) AS INTEGER) FROM pt""")
+def int_05_draws(x):
+    """Every ``EVERY``-th draw of the run that int_05 summarises."""
+    drawn = attribution.importance_draws(sources(x), x.weights, attribution.strata("overall"), draws=D).where(F.col("draw") % EVERY == 0)
+    return r6(drawn.select("draw", "stratum", "feature", "abs_sum", "equal_entity", F.col("rank").cast("int").alias("rank")), "abs_sum", "equal_entity")
+
+
+_PAIRS = f"""b AS (SELECT CASE WHEN pod BETWEEN 0 AND 2 THEN 1 ELSE 2 END AS b, repeat, fold, stay, feature, avg(abs_sum) AS v FROM {_GROUPED} WHERE pod BETWEEN 0 AND 7 GROUP BY ALL),
  d AS (SELECT e.repeat, e.stay, e.feature, l.v - e.v AS diff FROM b e JOIN b l ON e.b = 1 AND l.b = 2 AND e.repeat = l.repeat AND e.fold = l.fold AND e.stay = l.stay AND e.feature = l.feature),
- dr AS (SELECT draw, feature, avg(v) AS v FROM (SELECT draw, repeat, feature, sum(m * diff) / sum(m) AS v FROM d JOIN f_mult m ON m.stay = d.stay GROUP BY ALL) GROUP BY ALL)
-SELECT '0-2' AS earlier, '3-7' AS later, p.feature, {sr6('p.v', 'change')}, c.valid_draws, {sr6('c.lo', 'ci_lo')}, {sr6('c.hi', 'ci_hi')} FROM
- (SELECT feature, avg(v) AS v FROM (SELECT repeat, feature, avg(diff) AS v FROM d GROUP BY ALL) GROUP BY feature) p JOIN
+ dr AS (SELECT draw, feature, avg(v) AS v FROM (SELECT draw, repeat, feature, sum(m * diff) / sum(m) AS v FROM d JOIN {{mult}} m ON m.stay = d.stay GROUP BY ALL) GROUP BY ALL),
+ pt AS (SELECT feature, avg(v) AS v FROM (SELECT repeat, feature, avg(diff) AS v FROM d GROUP BY ALL) GROUP BY feature)"""
+
+
+@query("int_06_draws", f"""WITH {_PAIRS.format(mult='f_mult_some')}
+SELECT draw, '0-2' AS earlier, '3-7' AS later, feature, {sr6('v', 'change')} FROM (SELECT draw, feature, v FROM dr UNION ALL SELECT 0, feature, v FROM pt)""")
+def int_06_draws(x):
+    """Every ``EVERY``-th draw of the run that int_06 summarises."""
+    v = attribution.paired_change_draws(grouped(x), x.weights, draws=D).where(F.col("draw") % EVERY == 0)
+    return r6(v.select("draw", "earlier", "later", "feature", F.col("value").alias("change")), "change")
+
+
+@query("int_06", f"""WITH {_PAIRS.format(mult='f_mult')}
+SELECT '0-2' AS earlier, '3-7' AS later, p.feature, {sr6('p.v', 'change')}, c.valid_draws, {sr6('c.lo', 'ci_lo')}, {sr6('c.hi', 'ci_hi')} FROM pt p JOIN
  (SELECT feature, count(v) AS valid_draws, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dr GROUP BY feature) c USING (feature)""", drawn=True)
 def int_06(x):
     return r6(attribution.paired_changes(grouped(x), x.weights, draws=D), "change", "ci_lo", "ci_hi")
@@ -93,6 +167,22 @@ def int_07(x):
     return attribution.permutation_groups(x.layout, ranking, fixed={"rates": ["rate"], "money": ["price"]})
 
 
+# the price is derived from the quantity, the tax from the price
+_NAMES = """n0 AS (SELECT "group", feature AS name FROM gr), """ + ", ".join(
+    f"""n{k} AS (SELECT "group", name FROM n{k - 1} UNION SELECT n."group", unnest([l."column", l.feature]) FROM n{k - 1} n JOIN ly l ON n.name = l.feature OR n.name = l.dep)""" for k in range(1, 5))
+
+
+@query("int_07_columns", f"""WITH r AS (SELECT feature, avg(abs_sum) AS a FROM {_GROUPED} GROUP BY feature),
+ ly AS (SELECT *, CASE "column" WHEN 'price' THEN 'quantity' WHEN 'tax' THEN 'price' END AS dep FROM f_layout),
+ gr AS (SELECT 'feature:' || feature AS "group", feature FROM (SELECT * FROM r ORDER BY a DESC, feature LIMIT 20) UNION ALL SELECT 'semantic:rates', 'rate' UNION ALL SELECT 'semantic:money', 'price'), {_NAMES}
+SELECT "group", split_part("group", ':', 1) AS kind, name AS "column" FROM n4 WHERE name IN (SELECT "column" FROM ly)
+UNION ALL SELECT 'lag:' || lag, 'lag', "column" FROM ly""")
+def int_07_columns(x):
+    """Columns that each permutation group moves: closures of sources, and lag blocks."""
+    dep = F.when(F.col("column") == "price", F.array(F.lit("quantity"))).when(F.col("column") == "tax", F.array(F.lit("price")))
+    return attribution.group_columns(x.layout.withColumn("dependencies", dep), int_07(x))
+
+
 _LIN = "1e0 / (1e0 + exp(-(0.0213e0 * ({q} - 25) + 3.7e0 * ({d} - 0.05e0))))"
 _TRIALS = 2
 
