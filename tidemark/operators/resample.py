@@ -39,7 +39,7 @@ class _Draws:
         some = [i for i, w in enumerate(packed) if w is not None]
         if some:
             self.bytes[some, 1:] = np.frombuffer(b"".join(packed[i][:draws] for i in some), np.uint8).reshape(len(some), draws)
-        self.summed = {i: np.frombuffer(x, np.int64) for i, x in enumerate(table.column("sums").to_pylist()) if x is not None}
+        self.summed = {i: np.frombuffer(x, np.float64) for i, x in enumerate(table.column("sums").to_pylist()) if x is not None}
 
     def slab(self, lo: int, hi: int) -> np.ndarray:
         """(rows, hi - lo)"""
@@ -78,9 +78,9 @@ def _blocks(rows: DataFrame, weights: DataFrame, group: list[str], *, draws: int
     arrow = to_arrow_schema(schema)
 
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        sums = _Draws(table, draws).total().astype(np.int64)
+        sums = _Draws(table, draws).total()
         head = _keys(key[: len(merge)], merge, arrow, 1)
-        return pa.Table.from_arrays([*head, pa.array([1], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], schema=arrow)
+        return pa.Table.from_arrays([*head, pa.array([1], arrow.field("c").type), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], schema=arrow)
 
     salt = F.pmod(F.xxhash64(entity), F.col("parts")).alias("salt")
     large = placed.where("parts > 1").select(*merge, "c", "w", "sums", salt).groupBy(*merge, "salt").applyInArrow(total, schema)
@@ -118,15 +118,16 @@ def _offsets(per_block: DataFrame, group: list[str]) -> DataFrame:
 
 def resampled_metrics(
     df: DataFrame, weights: DataFrame, group: Sequence[str], *, draws: int, entity: str = "stay", score: str = "probability",
-    y: str = "y", scopes: Sequence[str] = SCOPES, block_rows: int = BLOCK_ROWS,
+    y: str = "y", scopes: Sequence[str] = SCOPES, block_rows: int = BLOCK_ROWS, unit: str | None = None,
 ) -> DataFrame:
     """(draw, group, scope, n_pos, n_neg, auc, ap, brier) for draws 1..``draws`` and draw 0 with unit weights.
 
     ``weights`` is (entity, w): one byte per draw (``splits.bootstrap_weights``); entities without a row count in draw 0 only.
+    ``unit``: a column with what a row weighs in each draw, times its entity's multiplicity (1 without it); it may be a fraction.
     """
     group = list(group)
     post = (F.col("pod") >= 0).cast("int") if "pod" in df.columns else F.lit(0)
-    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg(F.count("*").cast("int").alias("c"))
+    rows = df.groupBy(entity, *group, F.col(score).alias("s"), F.col(y).cast("int").alias("y"), post.alias("post")).agg((F.sum(unit) if unit else F.count("*")).cast("double").alias("c"))
     merged = _blocks(rows, weights, group, draws=draws, entity=entity, block_rows=block_rows)
     keys, schema = [*group, "block"], merged.schema
 

@@ -195,33 +195,57 @@ def _donor(trial: int) -> str:
    AND q.rank = CASE WHEN p.n >= 5 THEN (p.rank - 1 + {sh.replace('repeat', 'p.repeat').replace('pod', 'p.pod').replace('pat)', 'p.pat)')} % (p.n - 1) + 1) % p.n + 1 END)"""
 
 
-_INT08 = (
-    "WITH t AS (SELECT *, CASE WHEN l_tax > 0.04 THEN '11' ELSE '01' END AS pat FROM f_targets), sc AS (SELECT repeat, stay, y, pod, 'base' AS grp, 0 AS trial, "
-    + _LIN.format(q="l_quantity", d="l_discount") + " AS probability FROM t"
-    + "".join(
+def _reliance_sql(mult: str) -> str:
+    """ls (draw, scope, grp, v, e): losses by rows and by equal entities."""
+    arms = "".join(
         f" UNION ALL SELECT repeat, stay, y, pod, '{g}', {k}, CASE WHEN donor IS NULL THEN {_LIN.format(q='l_quantity', d='l_discount')} ELSE {_LIN.format(q=q, d=d)} END FROM {_donor(k)}"
-        for k in range(_TRIALS) for g, q, d in (("quantity", "dq", "l_discount"), ("both", "dq", "dd"))
-    )
-    + "), sw AS (SELECT s.*, scope, 0 AS draw, 1 AS w FROM sc s, (SELECT unnest(['total', 'post']) AS scope) WHERE scope = 'total' OR pod >= 0 UNION ALL "
-    + "SELECT s.*, scope, m.draw, m.m FROM sc s JOIN f_mult m ON m.stay = s.stay, (SELECT unnest(['total', 'post']) AS scope) WHERE scope = 'total' OR pod >= 0), "
-    + f"au AS (SELECT draw, repeat, scope, grp, avg(auc) AS auc FROM ({metrics_sql('sw', 'draw, repeat, scope, grp, trial', w='w')}) GROUP BY ALL), "
-    + "ls AS (SELECT a.draw, a.scope, a.grp, avg(b.auc - a.auc) AS v FROM au a JOIN au b ON b.draw = a.draw AND b.repeat = a.repeat AND b.scope = a.scope AND b.grp = 'base' WHERE a.grp <> 'base' GROUP BY ALL), "
-    + "fin AS (SELECT scope, grp, max(CASE WHEN draw = 0 THEN v END) AS e, count(CASE WHEN draw > 0 THEN v END) AS n, quantile_cont(CASE WHEN draw > 0 THEN v END, 0.025) AS lo, quantile_cont(CASE WHEN draw > 0 THEN v END, 0.975) AS hi FROM ls GROUP BY ALL) "
-    + f"SELECT scope, grp AS \"group\", {sr6('e', 'auc_loss')}, n AS valid_draws, {sr6('lo', 'ci_lo')}, {sr6('hi', 'ci_hi')}, (SELECT {sr6('avg(CASE WHEN donor IS NULL THEN 0e0 ELSE 1e0 END)', 'c')} FROM {_donor(0)}) AS coverage, "
-    + "CAST(row_number() OVER (PARTITION BY scope ORDER BY e DESC, grp) AS INTEGER) AS rank FROM fin"
-)
+        for k in range(_TRIALS) for g, q, d in (("feature:quantity", "dq", "l_discount"), ("feature:rate", "l_quantity", "dd"), ("semantic:both", "dq", "dd")))
+    return f"""t AS (SELECT *, CASE WHEN l_tax > 0.04 THEN '11' ELSE '01' END AS pat FROM f_targets),
+ sc AS MATERIALIZED (SELECT repeat, stay, y, pod, '' AS grp, 0 AS trial, {_LIN.format(q='l_quantity', d='l_discount')} AS probability FROM t{arms}),
+ sp AS (SELECT s.*, scope, 1e0 / count(*) OVER (PARTITION BY repeat, stay, grp, trial, scope) AS u FROM sc s, (SELECT unnest(['total', 'post']) AS scope) WHERE scope = 'total' OR pod >= 0),
+ sw AS (SELECT *, 0 AS draw, 1 AS w, u AS wu FROM sp UNION ALL SELECT sp.*, m.draw, m.m, m.m * u FROM sp JOIN {mult} m ON m.stay = sp.stay),
+ au AS (SELECT draw, repeat, scope, grp, avg(auc) AS auc, avg(eauc) AS eauc FROM ({metrics_sql('sw', 'draw, repeat, scope, grp, trial', w='w')})
+   JOIN (SELECT draw, repeat, scope, grp, trial, auc AS eauc FROM ({metrics_sql('sw', 'draw, repeat, scope, grp, trial', w='wu')})) USING (draw, repeat, scope, grp, trial) GROUP BY ALL),
+ ls AS (SELECT a.draw, a.scope, a.grp, avg(b.auc - a.auc) AS v, avg(b.eauc - a.eauc) AS e FROM au a JOIN au b ON b.draw = a.draw AND b.repeat = a.repeat AND b.scope = a.scope AND b.grp = '' WHERE a.grp <> '' GROUP BY ALL)"""
+
+
+_ENDS08 = (("v", "ci"), ("e", "equal_entity"), ("r", "rank"))
+_INT08 = f"""WITH {_reliance_sql('f_mult')},
+ rk AS (SELECT *, row_number() OVER (PARTITION BY draw, scope, split_part(grp, ':', 1) ORDER BY v DESC, grp) AS r FROM ls),
+ fin AS (SELECT scope, grp, max(CASE WHEN draw = 0 THEN v END) AS v, max(CASE WHEN draw = 0 THEN e END) AS e, max(CASE WHEN draw = 0 THEN r END) AS r, count(CASE WHEN draw > 0 THEN v END) AS n,
+  {', '.join(f'quantile_cont(CASE WHEN draw > 0 THEN CAST({c} AS DOUBLE) END, {q}) AS {n}_{end}' for c, n in _ENDS08 for q, end in ((0.025, 'lo'), (0.975, 'hi')))} FROM rk GROUP BY ALL),
+ cv AS (SELECT scope, avg(CASE WHEN donor IS NULL THEN 0e0 ELSE 1e0 END) AS c FROM {_donor(0)}, (SELECT unnest(['total', 'post']) AS scope) WHERE scope = 'total' OR pod >= 0 GROUP BY scope)
+SELECT scope, grp AS "group", n AS valid_draws, {sr6('v', 'auc_loss')}, {sr6('e', 'equal_entity_loss')}, {', '.join(sr6(f'{n}_{end}', f'{n}_{end}') for _, n in _ENDS08 for end in ('lo', 'hi'))},
+ {sr6('c', 'coverage')}, CAST(r AS INTEGER) AS rank FROM fin JOIN cv USING (scope)"""
+
+
+def _reliance(x):
+    """Rows, groups and the fixed model of the reliance queries."""
+    rows = x.targets.select("repeat", "row_key", "stay", "y", "pod", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.04, "11").otherwise("01").alias("pat"))
+
+    def predict(df):
+        return expit(F.lit(0.0213) * (df["l_quantity"] - 25) + F.lit(3.7) * (df["l_discount"] - F.lit(0.05)))
+
+    return rows, {"feature:quantity": ["l_quantity"], "feature:rate": ["l_discount"], "semantic:both": ["l_quantity", "l_discount"]}, predict
 
 
 @query("int_08", _INT08, drawn=True)
 def int_08(x):
-    rows = x.targets.select("repeat", "row_key", "stay", "y", "pod", "l_quantity", "l_discount", F.when(F.col("l_tax") > 0.04, "11").otherwise("01").alias("pat"))
+    rows, groups, predict = _reliance(x)
+    out = attribution.grouped_reliance(rows, x.weights, groups, predict, match=["pod", "pat"], trials=_TRIALS, draws=D)
+    return r6(out, "auc_loss", "equal_entity_loss", *[f"{n}_{end}" for _, n in _ENDS08 for end in ("lo", "hi")], "coverage")
+
+
+_FEW = max(1, D // 4)
 
-    def predict(df):
-        return expit(F.lit(0.0213) * (df["l_quantity"] - 25) + F.lit(3.7) * (df["l_discount"] - F.lit(0.05)))
 
-    out = attribution.grouped_reliance(rows, x.weights, {"quantity": ["l_quantity"], "both": ["l_quantity", "l_discount"]}, predict,
-                                       match=["pod", "pat"], trials=_TRIALS, draws=D)
-    return r6(out, "auc_loss", "ci_lo", "ci_hi", "coverage")
+@query("int_08_draws", f"WITH mf AS ({mult_sql(D, every=_FEW)}), {_reliance_sql('mf')} SELECT draw, scope, grp AS \"group\", {sr6('v', 'auc_loss')}, {sr6('e', 'equal_entity_loss')} FROM ls")
+def int_08_draws(x):
+    """The point and every fourth part's last draw of the run that int_08 summarises."""
+    rows, groups, predict = _reliance(x)
+    swapped = attribution.donor_trials(rows, ["l_discount", "l_quantity"], match=["pod", "pat"], trials=_TRIALS)
+    v = attribution.reliance_draws(rows, swapped, x.weights, groups, predict, draws=D).where(F.col("draw") % _FEW == 0)
+    return r6(v, "auc_loss", "equal_entity_loss")
 
 
 @query("int_09", f"SELECT feature, {sr6('g / sum(g) OVER ()', 'normalised_gain')} FROM (SELECT feature, sum(g) AS g FROM (SELECT \"column\", sum(phi * phi) AS g FROM f_phi GROUP BY 1) JOIN f_layout USING (\"column\") GROUP BY feature)")
