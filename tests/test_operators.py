@@ -270,6 +270,40 @@ def test_best_round_uses_prefixes(x):
     assert last.join(direct, "row_key").where("abs(probability - q) > 1e-9").count() == 0
 
 
+def test_group_columns_has_closures_and_lag_blocks(spark):
+    rows = [("a0", "a", 0, None), ("a1", "a", 1, None), ("b0", "b", 0, ["a"]), ("n", "s", None, None)]
+    layout = spark.createDataFrame(rows, "column string, feature string, lag int, dependencies array<string>")
+    groups = spark.createDataFrame([("feature:a", "a"), ("semantic:x", "b")], "`group` string, feature string")
+    got = sorted(map(tuple, attribution.group_columns(layout, groups).collect()))
+    want = [("feature:a", "feature", c) for c in ("a0", "a1", "b0")] + [("lag:0", "lag", "a0"), ("lag:0", "lag", "b0"), ("lag:1", "lag", "a1"), ("semantic:x", "semantic", "b0")]
+    assert got == want
+    one = attribution.group_columns(layout.where("lag = 0 or lag is null"), groups)
+    assert one.where("kind = 'lag'").count() == 0
+
+
+def test_group_identities_find_rows_that_do_not_add_up(spark):
+    phi = spark.createDataFrame([(1, "r", "c", 1.0), (1, "r", "d", -1.0), (1, "q", "c", 2.0)], "repeat int, row_key string, column string, phi double")
+    layout = spark.createDataFrame([("c", "f", "value"), ("d", "f", "value")], "column string, feature string, kind string")
+    rows = phi.select("repeat", "row_key").distinct()
+    grouped = attribution.group_by_source(phi, layout, keys=("repeat", "row_key"), rows=rows, universe=["f", "g"])
+    assert {(r["row_key"], r["feature"]): (r["abs_sum"], r["signed"], r["included"]) for r in grouped.collect()} == {
+        ("r", "f"): (2.0, 0.0, 1), ("q", "f"): (2.0, 2.0, 1), ("r", "g"): (0.0, 0.0, 0), ("q", "g"): (0.0, 0.0, 0)}
+    failed = lambda p, g: {r["identity"]: r["failed"] for r in attribution.group_identities(p, g).collect()}
+    assert failed(phi, grouped) == {"gross": 0, "signed": 0, "net": 0}
+    assert failed(phi, grouped.where("row_key = 'r'")) == {"gross": 1, "signed": 1, "net": 1}
+    assert failed(phi, grouped.withColumn("net_abs", F.col("net_abs") + 1)) == {"gross": 0, "signed": 0, "net": 2}
+
+
+def test_fractional_units_weigh_rows(spark):
+    from tidemark.operators.resample import resampled_metrics
+
+    rows = spark.createDataFrame([("a", 1, 0.9, 0.5), ("a", 0, 0.1, 0.5), ("b", 0, 0.95, 0.25), ("c", 1, 0.2, 1.0)], "stay string, y int, probability double, unit double")
+    w = spark.createDataFrame([("a", bytes([2])), ("b", bytes([1])), ("c", bytes([0]))], "stay string, w binary")
+    for size in (4096, 1):
+        m = {r["draw"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in resampled_metrics(rows.withColumn("g", F.lit(1)), w, ["g"], draws=1, scopes=("total",), unit="unit", block_rows=size).collect()}
+        assert m[0] == pytest.approx((1.5, 0.75, 0.75 / 1.125)) and m[1] == pytest.approx((1.0, 1.25, 0.8))
+
+
 # --- sources ---
 
 

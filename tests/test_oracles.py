@@ -13,7 +13,7 @@ from tidemark.plans.catalog import DRAWN_ORACLES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # resampling at 2,000 draws and model fits take most of the time (the former are compared at six draws below); TEST_ALL=1 runs them too (scripts/verify.py always does)
-SLOW = ("met_05", "met_06", "met_07", "met_08", "met_09", "met_19", "int_05", "int_06", "int_08", "mod_0", "val_17", "src_08")
+SLOW = ("met_05", "met_06", "met_07", "met_08", "met_09", "met_19", "met_20_intervals", "int_05", "int_06", "int_08", "mod_0", "val_17", "src_08")
 NAMES = [n for n in sorted(QUERIES) if os.environ.get("TEST_ALL") or not n.startswith(SLOW)]
 
 

@@ -340,6 +340,16 @@ def learning_slope(points: DataFrame, group: Sequence[str], *, value: str = "auc
     return points.groupBy(*group).agg(F.when(ok, F.regr_slope(F.col(value), F.log2(cases))).alias("slope"))
 
 
+def learning_slope_draws(scores: DataFrame, cases: DataFrame, weights: DataFrame, *, draws: int, arm: str = "arm", entity: str = "stay") -> DataFrame:
+    """(draw, arm, slope): equal-repeat mean of the slopes of the AUC on log2(training cases), fixed predictions, shared draws.
+
+    ``scores``: repeat, arm, fraction, the entity, y, probability; ``cases``: fraction, cases.
+    """
+    m = resampled_metrics(scores, weights, ["repeat", arm, "fraction"], draws=draws, entity=entity, scopes=("total",))
+    slopes = learning_slope(m.join(cases, "fraction"), ["draw", "repeat", arm])
+    return equal_repeat(slopes, ["draw", arm], "slope")
+
+
 # --- thresholds, detection and calibration ---
 
 

@@ -432,6 +432,34 @@ def met_20(x):
     return r6(slopes.groupBy("arm").agg(F.avg("slope").alias("slope")), "slope")
 
 
+def _slope_draws_sql(mult: str) -> str:
+    """(draw, arm, slope) with the point as draw 0."""
+    w = f"(SELECT s.*, 0 AS draw, 1 AS w FROM sub s UNION ALL SELECT s.*, m.draw, m.m FROM sub s JOIN {mult} m ON m.stay = s.stay)"
+    return f"""sub AS MATERIALIZED ({' UNION ALL '.join(_subset_sql(f) for f in _FRACS)}),
+ sd AS (SELECT draw, arm, CASE WHEN count(slope) = count(*) THEN avg(slope) END AS slope FROM (SELECT draw, repeat, arm, CASE WHEN count(auc) = count(*) THEN regr_slope(auc, log2(cases)) END AS slope
+   FROM ({metrics_sql(w, 'draw, repeat, arm, cases', w='w')}) GROUP BY ALL) GROUP BY draw, arm)"""
+
+
+def _slope_draws(x):
+    sub = splits.nested_subsets(x.targets.select("stay", "case").distinct(), entity="stay", strata="case", fractions=_FRACS)
+    cases = sub.groupBy("fraction").agg(F.sum("case").alias("cases"))
+    scores = x.scores.drop("case").join(sub.select("fraction", "stay"), "stay")
+    return metrics.learning_slope_draws(scores, cases, x.weights, draws=D)
+
+
+@query("met_20_intervals", f"""WITH {_slope_draws_sql('f_mult')} SELECT arm, {sr6('max(CASE WHEN draw = 0 THEN slope END)', 'slope')}, count(CASE WHEN draw > 0 THEN slope END) AS valid_draws,
+ {sr6('quantile_cont(CASE WHEN draw > 0 THEN slope END, 0.025)', 'ci_lo')}, {sr6('quantile_cont(CASE WHEN draw > 0 THEN slope END, 0.975)', 'ci_hi')} FROM sd GROUP BY arm""", drawn=True)
+def met_20_intervals(x):
+    out = metrics.interval_summary(_slope_draws(x), ["arm"], value="slope", draws=D)
+    return r6(out.select("arm", F.col("estimate").alias("slope"), "valid_draws", "ci_lo", "ci_hi"), "slope", "ci_lo", "ci_hi")
+
+
+@query("met_20_draws", f"WITH {_slope_draws_sql('f_mult_some')} SELECT draw, arm, {sr6('slope', 'slope')} FROM sd")
+def met_20_draws(x):
+    """Every ``EVERY``-th draw of the run that met_20_intervals summarises."""
+    return r6(_slope_draws(x).where(F.col("draw") % EVERY == 0), "slope")
+
+
 _LEDGER = """fits AS (SELECT l_orderkey * 10 + l_linenumber AS attempt_id, concat(p_brand, '/', l_linenumber) AS fit_key, p_type AS arm,
    CASE WHEN l_linestatus = 'O' THEN 'inner' ELSE 'outer' END AS kind, CASE WHEN l_returnflag = 'A' AND l_suppkey % 3 = 0 THEN 'completed' ELSE 'failed' END AS status
    FROM f_lines JOIN part ON p_partkey = l_partkey),
