@@ -90,3 +90,10 @@ def test_hash_rank_is_a_permutation(spark):
         assert mine == list(range(1, 251))
     again = {(r["id"], r["rank"]) for r in hash_rank(df.coalesce(1), ["g"], "h", "id").collect()}
     assert again == {(r["id"], r["rank"]) for r in got}
+
+
+def test_negative_zero_is_not_non_negative(spark):
+    rows = frame(spark, [("-0.0",), ("-0",), ("0",), ("-1",), ("2",)], "t string").select(
+        scalars.finite_number("t").alias("x"), scalars.finite_number("t", non_negative=True).alias("n")).collect()
+    assert [r["n"] for r in rows] == [None, None, 0.0, None, 2.0]
+    assert [r["x"] for r in rows] == [0.0, 0.0, 0.0, -1.0, 2.0]
