@@ -97,3 +97,13 @@ def test_negative_zero_is_not_non_negative(spark):
         scalars.finite_number("t").alias("x"), scalars.finite_number("t", non_negative=True).alias("n")).collect()
     assert [r["n"] for r in rows] == [None, None, 0.0, None, 2.0]
     assert [r["x"] for r in rows] == [0.0, 0.0, 0.0, -1.0, 2.0]
+
+
+def test_multiplicities_of_some_slots():
+    from tidemark.operators import splits
+
+    rng, strata = np.random.default_rng(0), ((5, 1 << 18), (4123456789, 300_001))
+    whole = splits.multiplicities(strata, 0, 61)
+    for size in (1, 7, 400, 60_000):  # few slots are turned back, many are counted
+        some = np.sort(rng.choice(whole.shape[1] - 1, size, replace=False))
+        assert (splits.slot_multiplicities(strata, some, 60) == whole[:, some]).all()
