@@ -107,3 +107,13 @@ def test_multiplicities_of_some_slots():
     for size in (1, 7, 400, 60_000):  # few slots are turned back, many are counted
         some = np.sort(rng.choice(whole.shape[1] - 1, size, replace=False))
         assert (splits.slot_multiplicities(strata, some, 60) == whole[:, some]).all()
+
+
+def test_running_merges_equal_values_in_bounded_tasks(spark):
+    rows = [("a", v, w) for v in (0.0, 0.25, 0.25, 0.5, 0.50001, 3.0, None) for w in (1, 2)] + [("b", 0.1, 5)]
+    df = frame(spark, rows, "g string, x double, w int")
+    out = running(df, ["g"], ["x"], block=value_block("x"), sums={"c": "w"}, maxes={"m": "w"}, totals=True, merge=True, tasks=3)
+    got = sorted(((r["g"], r["x"], r["c"], r["m"], r["c_total"]) for r in out.collect()), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    assert got == [("a", None, 3, 2, 21), ("a", 0.0, 6, 2, 21), ("a", 0.25, 12, 2, 21), ("a", 0.5, 15, 2, 21), ("a", 0.50001, 18, 2, 21), ("a", 3.0, 21, 2, 21), ("b", 0.1, 5, 5, 5)]
+    with pytest.raises(ValueError):
+        running(df, ["g"], ["x"], block=value_block("x"), sums={"c": "w"}, before=True, merge=True)

@@ -200,7 +200,8 @@ WINDOW w AS (PARTITION BY arm ORDER BY probability)""",
 def win_09(x):
     from tidemark.functions.ordered import running, value_block
 
-    g = x.scores.groupBy("arm", "probability").agg(
+    # an order's rows of one score are merged where they are, all others behind the one exchange by block
+    g = x.scores.groupBy("stay", "arm", "probability").agg(
         F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("q"))
-    return running(g, ["arm"], ["probability"], block=value_block("probability"),
+    return running(g.drop("stay"), ["arm"], ["probability"], block=value_block("probability"), merge=True, tasks=x.tasks,
                    sums={"cum_pos": "p", "cum_neg": "q"}).select("arm", "probability", "cum_pos", "cum_neg")
