@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
+
 
 class ContractError(ValueError):
     """A contract check found violations."""
@@ -158,10 +160,17 @@ def check_targets(
 
 
 def check_predictions(
-    targets: DataFrame, predictions: DataFrame, *, metadata: Sequence[str] = ("stay", "y", "pod", "case")
+    targets: DataFrame, predictions: DataFrame, *, metadata: Sequence[str] = ("stay", "y", "pod", "case"), within: str | None = None
 ) -> DataFrame:
-    """Per arm: coverage both ways, identical metadata, probability within [0, 1], no duplicate keys."""
+    """Per arm: coverage both ways, identical metadata, probability within [0, 1], no duplicate keys.
+
+    ``within``: one of the metadata. Tables that are partitioned by it are compared where they are; only predictions without a target
+    there are looked up among all targets. If one of them has its target elsewhere (a wrong ``within``), or target keys repeat or are
+    null, or an arm is, all rows are joined by key, as without ``within``. The report is the same in each case.
+    """
     key = ["repeat", "row_key"]
+    if within is not None and (found := _predictions_within(targets, predictions, key, metadata, within)) is not None:
+        return found
     arms = predictions.select("arm").distinct()
     arm_list = arms.agg(F.sort_array(F.collect_set("arm")).alias("a")).select("a").scalar()
     want = targets.select(*key, *metadata).withColumn("arm", F.explode(arm_list))
@@ -185,6 +194,59 @@ def check_predictions(
     )
 
 
+def _predictions_within(targets: DataFrame, predictions: DataFrame, key: Sequence[str], metadata: Sequence[str], within: str) -> DataFrame | None:
+    """The report of ``check_predictions`` from one sort per ``within``; None where rows have to be joined by key."""
+    others = [m for m in metadata if m != within]
+    lane = [within, *key]
+    none, prob, has = F.lit(None), F.col("probability"), F.col("__n_t") == 1
+    t = targets.select(*lane, *others, none.cast(predictions.schema["arm"].dataType).alias("arm"), none.cast("double").alias("probability"), F.lit(1).alias("__t"))
+    p = predictions.select(*lane, *others, "arm", F.col("probability").cast("double").alias("probability"), F.lit(0).alias("__t"))
+    at = Window.partitionBy(*lane).orderBy("arm")  # a target, without an arm, comes first
+    all_at = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = t.unionByName(p).select(
+        *key, within, "arm", "probability", "__t", F.sum("__t").over(all_at).alias("__n_t"), F.collect_set("arm").over(all_at).alias("__arms"), F.lag("arm").over(at).alias("__last"),
+        *[F.col(m).alias(f"__p_{m}") for m in others], *[F.first(m).over(all_at).alias(f"__t_{m}") for m in others])
+    differs, odd = F.lit(False), F.col("__n_t") > 1
+    for m in others:
+        differs = differs | ~F.col(f"__t_{m}").eqNullSafe(F.col(f"__p_{m}"))
+    for c in lane:
+        odd = odd | F.col(c).isNull()
+    is_p, again = F.col("__t") == 0, F.col("arm").eqNullSafe(F.col("__last"))
+    odd = odd | (is_p & F.col("arm").isNull())
+    foreign = is_p & ~has
+    invalid = is_p & (prob.isNull() | F.isnan(prob) | (prob < 0) | (prob > 1))
+    first_again = is_p & has & again
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+    # few groups a task: sets of arms at a target, arms of predictions; keys of predictions without a target, or named twice, are listed by task
+    listed = F.when(foreign | first_again, F.struct(*[F.col(c).alias(c) for c in key], name.alias("k")))
+    marked = rows.withColumn("part", F.spark_partition_id())
+    groups = marked.groupBy("part", "__t", "arm", F.when(F.col("__t") == 1, F.col("__arms")).alias("arms"), foreign.alias("foreign")).agg(
+        F.count("*").alias("n"), F.min(name).alias("k"), F.count_if(differs & is_p & has).alias("n_differs"), F.min(F.when(differs & is_p & has, name)).alias("k_differs"),
+        F.count_if(invalid).alias("n_invalid"), F.min(F.when(invalid, name)).alias("k_invalid"), F.max(odd).alias("odd"), F.collect_list(listed).alias("listed"))
+    groups = materialize(groups)
+    keyed = groups.where("size(listed) > 0").select("arm", "foreign", F.explode("listed").alias("x")).select("arm", "foreign", "x.*")
+    lost = keyed.where("foreign")
+    elsewhere = targets.select(*key).join(lost.select(*key).distinct(), list(key), "left_semi")
+    if groups.where("odd").limit(1).count() or elsewhere.limit(1).count():
+        return None
+    arm, of = F.col("arm"), lambda a, k: F.concat_ws("|", a, k)
+    arm_list = groups.where("__t = 0").agg(F.sort_array(F.collect_set("arm")).alias("a")).select("a").scalar()
+    missing = groups.where("__t = 1").select(F.explode(F.array_except(arm_list, F.col("arms"))).alias("arm"), "n", "k")
+    preds = groups.where("__t = 0")
+    twice = lost.groupBy("arm", *key).agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c > 1").select("arm", "k")
+    twice = twice.unionByName(keyed.where("not foreign").select("arm", "k").distinct())
+
+    def line(df: DataFrame, check: str, n: Column, k: Column) -> DataFrame:
+        return df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.min(k).alias("sample_key")).select(F.lit(check).alias("check"), "n", "sample_key")
+
+    return stack(
+        line(missing, "prediction_missing", F.sum("n"), of(arm, F.col("k"))),
+        line(preds.where("foreign"), "prediction_without_target", F.sum("n"), of(arm, F.col("k"))),
+        line(preds, "metadata_differs", F.sum("n_differs"), F.when(F.col("n_differs") > 0, of(arm, F.col("k_differs")))),
+        line(preds, "invalid_probability", F.sum("n_invalid"), F.when(F.col("n_invalid") > 0, of(arm, F.col("k_invalid")))),
+        line(twice, "duplicate_prediction", F.count("*"), of(arm, F.col("k"))))
+
+
 def align_predictions(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions joined to the independent targets by exact key; check coverage with ``check_predictions``."""
     key = ["repeat", "row_key"]

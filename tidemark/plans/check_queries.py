@@ -150,7 +150,7 @@ def val_06(x):
     p = p.select("repeat", "row_key", "arm", "stay", F.when(F.col("d") == 1, 1 - F.col("y")).otherwise(F.col("y")).alias("y"),
                  "pod", "case", F.when(F.col("d") == 2, F.col("probability") + 2).otherwise(F.col("probability")).alias("probability"))
     t = x.targets.where(hash32(F.lit("tgt"), "row_key") % 700 != 5)
-    return checks.check_predictions(t, p)
+    return checks.check_predictions(t, p, within="stay")
 
 
 @query(
